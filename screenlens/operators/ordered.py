@@ -163,10 +163,13 @@ def asof(
     take: dict[str, Column],
     tie: Column | None = None,
     forward: bool = False,
+    strict: bool = False,
 ) -> DataFrame:
     """For each left row the last right row at or before its time (``forward``: the first right
-    row at or after it). Every left row is kept; without a match the taken columns are null."""
-    right_side, left_side = (1, 0) if forward else (0, 1)
+    row at or after it; ``strict``: not at the same time). Among equal right times the highest
+    ``tie`` wins backward and the lowest forward. Every left row is kept; without a match the
+    taken columns are null."""
+    right_side, left_side = (1, 0) if forward != strict else (0, 1)
     found = F.struct(*[value.alias(name) for name, value in take.items()])
     rows_right = right.select(
         *keys,
@@ -193,6 +196,41 @@ def asof(
     )
 
 
+def around(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_time: Column,
+    right_time: Column,
+    take: dict[str, Column],
+    tie: Column | None = None,
+) -> DataFrame:
+    """Each left row with ``_prev`` (last right row at or before it) and ``_next`` (first one after
+    it) in one pass."""
+    rows_right = right.select(
+        *keys,
+        right_time.cast("double").alias("_time"),
+        F.lit(0).alias("_side"),
+        (tie if tie is not None else F.lit(0)).cast("long").alias("_tie"),
+        F.struct(*[value.alias(name) for name, value in take.items()]).alias("_found"),
+    )
+    rows_left = left.select(
+        *keys,
+        left_time.cast("double").alias("_time"),
+        F.lit(1).alias("_side"),
+        F.lit(0).cast("long").alias("_tie"),
+        F.struct(*left.columns).alias("_left"),
+    )
+    both = rows_left.unionByName(rows_right, allowMissingColumns=True)
+    return (
+        Ordered.of(both, keys, ["_time", "_side", "_tie"])
+        .scan(_prev=latest(F.col("_found")), _next=upcoming(F.col("_found")))
+        .rows()
+        .filter(F.col("_left").isNotNull())
+        .select("_left.*", "_prev", "_next")
+    )
+
+
 def joined_text(
     df: DataFrame,
     keys: list[str],
