@@ -58,7 +58,12 @@ def voice_prefix(body: Column, entities: str | None = "all") -> Column:
     )
 
 
-@F.pandas_udf("text string, encoding string")
+DECODED = T.StructType(
+    [T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]
+)
+
+
+@F.pandas_udf(DECODED)
 def decode_subtitle_bytes(data: pd.Series) -> pd.DataFrame:
     """A byte order mark decides; otherwise UTF-8, then CP949, then Latin-1 (never fails)."""
     return pd.DataFrame([_decode(b) for b in data], columns=["text", "encoding"])

@@ -67,7 +67,7 @@ def sections(
 
 
 def rag_rows(section_rows: DataFrame) -> DataFrame:
-    """Screen state and the explanation spoken over it, as training or retrieval pairs."""
+    """Screen state and the explanation spoken over it, as rows to search in."""
     return section_rows.filter("images IS NOT NULL AND trim(text) <> ''").select(
         *RUN, "section", "part", "start", "end", "images", F.trim("text").alias("text")
     )
