@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenlens.plans import detection, dialogue, marks
+from screenlens.plans import detection, dialogue, marks, subtitles
 from screenlens.plans.bridges import Corpus
 
-MODULES = [detection, dialogue, marks]
+MODULES = [detection, dialogue, marks, subtitles]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
