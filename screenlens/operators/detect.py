@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlens import params as P
+from screenlens.functions.rounding import exact_round
 from screenlens.operators.ordered import (
     Ordered,
     asof,
@@ -431,7 +432,7 @@ def sweep_report(events: DataFrame, baseline: str, tolerance: float) -> DataFram
         "setting",
         "n_events",
         n_found.alias("n_recovered"),
-        F.round(n_found / F.nullif(n_base, F.lit(0)), 4).alias("recall"),
+        exact_round(n_found / F.nullif(n_base, F.lit(0)), 4).alias("recall"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenlens.functions.rounding import exact_round
 from screenlens.operators.intervals import interval_at, overlap_pairs
 from screenlens.operators.ordered import asof, joined_text, union_all
 
@@ -92,8 +93,8 @@ def attach_dialogue(frames: DataFrame, screens: DataFrame, assigned: DataFrame)
     spans = screens.select(
         *RUN,
         "screen",
-        F.round("start", 2).alias("interval_start"),
-        F.round("end", 2).alias("interval_end"),
+        exact_round(F.col("start"), 2).alias("interval_start"),
+        exact_round(F.col("end"), 2).alias("interval_end"),
     )
     said = assigned.select(
         *RUN,
@@ -147,7 +148,7 @@ def request_holder(
     whole = held.join(videos.select("video_id", "duration"), "video_id", "left").withColumns(
         {
             "interval_start": F.coalesce("interval_start", F.lit(0.0)),
-            "interval_end": F.coalesce("interval_end", F.round("duration", 2)),
+            "interval_end": F.coalesce("interval_end", exact_round(F.col("duration"), 2)),
         }
     )
     said = segment_at(whole, segments, "at", ["run", "request_no"])
@@ -185,8 +186,8 @@ def transcript_segments(cues: DataFrame) -> DataFrame:
     """Cues as transcript segments, times at three decimals."""
     return cues.select(
         *[c for c in cues.columns if c not in ("start", "end")],
-        F.round("start", 3).alias("start"),
-        F.round("end", 3).alias("end"),
+        exact_round(F.col("start"), 3).alias("start"),
+        exact_round(F.col("end"), 3).alias("end"),
     )
 
 

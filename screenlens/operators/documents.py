@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenlens.functions.rounding import exact_round
 from screenlens.functions.text import srt_time
 from screenlens.operators.budget import read_path
 from screenlens.operators.ordered import joined_text, number_rows, union_all
@@ -74,7 +75,7 @@ def rag_rows(section_rows: DataFrame) -> DataFrame:
 
 
 def _seconds(value: Column) -> Column:
-    return F.round(value, 2).cast("string")
+    return exact_round(value, 2).cast("string")
 
 
 def render_context(
@@ -165,7 +166,7 @@ def render_index(titles: DataFrame, index: DataFrame) -> DataFrame:
         ).alias("piece"),
     )
     span = F.when(F.col("lo").isNull(), F.lit("whole video")).otherwise(
-        F.format_string("%.1f-%.1f s", "lo", "hi")
+        F.format_string("%.1f-%.1f s", exact_round(F.col("lo"), 1), exact_round(F.col("hi"), 1))
     )
     rows = index.select(
         "video_id",
@@ -211,13 +212,13 @@ def export_metadata(
     def literal(slot: int, text: Column) -> DataFrame:
         return titles.select(*RUN, F.lit(slot).alias("slot"), text.alias("piece"))
 
-    source = F.to_json(F.struct(F.lit(schema).alias("schema"), "title", F.round("duration", 2).alias("duration")))
+    source = F.to_json(F.struct(F.lit(schema).alias("schema"), "title", exact_round(F.col("duration"), 2).alias("duration")))
     opening = F.concat(F.lit('{"source":'), source, F.lit(',"screens":['))
-    frame = F.struct(F.round("t", 2).alias("time"), "image", "sources", "screen")
-    refused = F.struct(F.round("t", 2).alias("time"), "image", "sources", "screen", "reject_reason")
+    frame = F.struct(exact_round(F.col("t"), 2).alias("time"), "image", "sources", "screen")
+    refused = F.struct(exact_round(F.col("t"), 2).alias("time"), "image", "sources", "screen", "reject_reason")
     pieces = [
         literal(0, opening),
-        _json_list(screens, 1, ["screen"], F.struct(F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))),
+        _json_list(screens, 1, ["screen"], F.struct(exact_round(F.col("start"), 2).alias("start"), exact_round(F.col("end"), 2).alias("end"))),
         literal(2, F.lit('],"frames":[')),
         _json_list(frames.filter("status = 'accepted'"), 3, ["t", "ord"], frame),
         literal(4, F.lit('],"rejected":[')),

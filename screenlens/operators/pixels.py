@@ -345,12 +345,12 @@ def stable_capture_time(
     not half a second on."""
     end = F.col("duration") - 0.05
     timed = points.join(videos.select("video_id", "duration"), "video_id").withColumn(
-        "_t", F.least(F.col(at) + offset, end)
+        "_first_at", F.least(F.col(at) + offset, end)
     )
-    timed = timed.withColumn("_u", F.least(F.col("_t") + 0.5, F.col("duration") - 0.02))
+    timed = timed.withColumn("_second_at", F.least(F.col("_first_at") + 0.5, F.col("duration") - 0.02))
     later = F.least(F.col(at) + offset + retry, end)
     return (
-        _compared(timed, frames, "_t", "_u")
-        .withColumn("stable_t", F.when(F.col("similarity") < below, later).otherwise(F.col("_t")))
+        _compared(timed, frames, "_first_at", "_second_at")
+        .withColumn("stable_t", F.when(F.col("similarity") < below, later).otherwise(F.col("_first_at")))
         .select(*points.columns, "stable_t", "similarity")
     )

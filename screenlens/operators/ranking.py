@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenlens.functions.rounding import exact_round
 from screenlens import params as P
 from screenlens.functions.lang import (
     forced_name,
@@ -244,8 +245,8 @@ def transcript_source(chosen: DataFrame, quality: DataFrame, target: str | None,
         ),
         language_mismatch(language, want).alias("language_mismatch"),
         F.coalesce("n_cues", F.lit(0)).cast("long").alias("n_cues"),
-        F.round(F.coalesce("coverage", F.lit(0.0)), 4).alias("coverage"),
-        F.round("span_start", 2).alias("span_start"),
-        F.round("span_end", 2).alias("span_end"),
+        exact_round(F.coalesce("coverage", F.lit(0.0)), 4).alias("coverage"),
+        exact_round(F.col("span_start"), 2).alias("span_start"),
+        exact_round(F.col("span_end"), 2).alias("span_end"),
         F.when(~F.col("kind").isin(P.SOURCE_KINDS), F.lit("unknown kind")).alias("error"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenlens.functions.rounding import exact_round
 from screenlens import params as P
 from screenlens.operators.ordered import Ordered, latest, neighbours, number_rows, running_sum
 
@@ -120,7 +121,7 @@ def sequence_names(candidates: DataFrame, keys: list[str] = RUN) -> DataFrame:
     """Sequence number by time and the file name that carries both."""
     named = number_rows(candidates, keys, ["t", "ord"], "seq")
     return named.withColumn(
-        "image", F.format_string("frames/scene_%03d_t%07.2f.jpg", F.col("seq"), F.col("t"))
+        "image", F.format_string("frames/scene_%03d_t%07.2f.jpg", F.col("seq"), exact_round(F.col("t"), 2))
     )
 
 
@@ -164,7 +165,9 @@ def validate_range(requests: DataFrame, text: str = "range_text") -> DataFrame:
 
 def run_name(lo: Column, hi: Column) -> Column:
     return F.when(lo.isNull(), F.lit("full")).otherwise(
-        F.translate(F.format_string("%07.1f-%07.1f", lo, hi), ".", "_")
+        F.translate(
+            F.format_string("%07.1f-%07.1f", exact_round(lo, 1), exact_round(hi, 1)), ".", "_"
+        )
     )
 
 

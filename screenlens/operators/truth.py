@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenlens.functions.rounding import exact_round
 from screenlens import params as P
 from screenlens.operators.ordered import Ordered, around, latest, running_sum
 from screenlens.session import materialize
@@ -34,7 +35,7 @@ def flag_match(flags: DataFrame, detections: DataFrame, tolerance: float) -> Dat
     return near.withColumns(
         {
             "detected_t": F.when(hit, F.col("_d")),
-            "gap": F.when(hit, F.round(F.col("_d") - F.col("t"), 2)),
+            "gap": F.when(hit, exact_round(F.col("_d") - F.col("t"), 2)),
         }
     ).drop("_d")
 
@@ -81,10 +82,10 @@ def compare_metrics(
     return filled.withColumns(
         {
             "n_missed": F.col("n_flags") - F.col("n_matched"),
-            "recall": F.round(F.col("n_matched") / F.nullif("n_flags", none), 3),
+            "recall": exact_round(F.col("n_matched") / F.nullif("n_flags", none), 3),
             "precision": F.when(
                 F.col("n_flags") > 0,
-                F.round(
+                exact_round(
                     (F.col("n_detected") - F.col("n_extra")) / F.nullif("n_detected", none), 3
                 ),
             ),
@@ -102,7 +103,7 @@ def flag_dedupe(
     ones each round keeps every press that precedes all its undecided neighbours and drops those
     neighbours, until none is left: the same result without holding the group in one task.
     """
-    rounded = presses.withColumn("t", F.round("t", 2))
+    rounded = presses.withColumn("t", exact_round(F.col("t"), 2))
     rest = [c for c in presses.columns if c not in ("video_id", "t")]
     first = rounded.groupBy("video_id", "t").agg(
         F.min_by(F.struct(*rest), "press_no").alias("_r")

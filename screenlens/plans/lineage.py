@@ -296,7 +296,7 @@ pd AS (SELECT video_id, arg_min(run, position) AS run, arg_min(state, position)
 ORACLE = {
     "validate_range": f"WITH {RANGES} SELECT o_orderkey, range_text, duration, error, CASE WHEN error IS NULL THEN a::DOUBLE END AS lo, CASE WHEN error IS NULL THEN least(b, 200)::DOUBLE END AS hi FROM re",
     "run_name": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'full' ELSE
-  replace(printf('%07.1f-%07.1f', floor((o_orderkey % 400) / 8.0::DOUBLE * 10 + 0.5) / 10, floor(((o_orderkey % 400) / 8.0::DOUBLE + 100.25::DOUBLE) * 10 + 0.5) / 10), '.', '_') END AS run FROM orders""",
+  replace(printf('%07.1f-%07.1f', (o_orderkey % 400) / 8.0::DOUBLE, (o_orderkey % 400) / 8.0::DOUBLE + 100.25::DOUBLE), '.', '_') END AS run FROM orders""",
     "distinct_ranges": """SELECT DISTINCT o_custkey::VARCHAR AS video_id, (o_orderkey % 4) * 10.0::DOUBLE AS lo, (o_orderkey % 4) * 10.0::DOUBLE + 50 AS hi,
   replace(printf('%07.1f-%07.1f', (o_orderkey % 4) * 10.0::DOUBLE, (o_orderkey % 4) * 10.0::DOUBLE + 50), '.', '_') AS run FROM orders""",
     "merge_run_index": f"""WITH {INDEX} SELECT video_id, run, lo, hi, n_frames, row_number() OVER (PARTITION BY video_id ORDER BY lo IS NOT NULL, lo, hi) - 1 AS position

@@ -152,8 +152,8 @@ e AS (SELECT video_id, count(*) AS n_extra FROM ud GROUP BY 1),
 m AS (SELECT v.video_id, coalesce(n_flags, 0) AS n_flags, coalesce(n_detected, 0) AS n_detected,
              coalesce(n_matched, 0) AS n_matched, coalesce(n_extra, 0) AS n_extra
       FROM (SELECT DISTINCT video_id FROM timed) v LEFT JOIN a USING (video_id) LEFT JOIN b USING (video_id) LEFT JOIN e USING (video_id)),
-sc AS (SELECT *, n_flags - n_matched AS n_missed, round(n_matched / nullif(n_flags, 0)::DOUBLE, 3) AS recall,
-              CASE WHEN n_flags > 0 THEN round((n_detected - n_extra) / nullif(n_detected, 0)::DOUBLE, 3) END AS precision FROM m)"""
+sc AS (SELECT *, n_flags - n_matched AS n_missed, round_even(n_matched / nullif(n_flags, 0)::DOUBLE, 3) AS recall,
+              CASE WHEN n_flags > 0 THEN round_even((n_detected - n_extra) / nullif(n_detected, 0)::DOUBLE, 3) END AS precision FROM m)"""
 MARKS = SCREENS + CANDIDATES + """,
 mk AS (SELECT video_id, 'frame' AS kind, t, 1 AS o FROM gated WHERE run = 'full' AND status = 'accepted'
        UNION ALL SELECT video_id, 'rejected', t, 2 FROM gated WHERE run = 'full' AND status = 'rejected'

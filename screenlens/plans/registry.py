@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenlens.plans import detection, dialogue, lineage, marks, subtitles
+from screenlens.plans import detection, dialogue, lineage, marks, pixels, subtitles
 from screenlens.plans.bridges import Corpus
 
-MODULES = [detection, dialogue, marks, subtitles, lineage]
+MODULES = [detection, dialogue, marks, subtitles, lineage, pixels]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
