@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from screenlens import params as P
+from screenlens.functions.documents import json_object
 
 
 def safe_url(value: Column) -> Column:
@@ -18,7 +19,7 @@ def safe_url(value: Column) -> Column:
 
 
 def _first_from_json(document: Column) -> Column:
-    parsed = F.try_parse_json(document)
+    parsed = json_object(document)
     return F.coalesce(
         *[safe_url(F.try_variant_get(parsed, f"$.{key}", "string")) for key in P.INFO_KEYS]
     )

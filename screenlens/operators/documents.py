@@ -190,17 +190,34 @@ def srt_documents(cues: DataFrame, key: str = "video_id", order: str = "seg_no")
     return joined_text(numbered, [key], [order], block, "\n")
 
 
-def _json_list(df: DataFrame, slot: int, order: list[str], value: Column) -> DataFrame:
+def _json_list(
+    df: DataFrame, slot: int, order: list[str], value: Column, keys: list[str] = RUN
+) -> DataFrame:
     """Array elements of one list as pieces, every one but the first led by a comma."""
     position = F.struct(*[F.col(c).cast("double") for c in order])
-    first = df.groupBy(*RUN).agg(F.min(position).alias("_first"))
+    first = df.groupBy(*keys).agg(F.min(position).alias("_first"))
     comma = F.when(position == F.col("_first"), F.lit("")).otherwise(F.lit(","))
     columns = [F.col(c).cast("double").alias(f"o{i}") for i, c in enumerate(order)]
-    return df.join(first, RUN).select(
-        *RUN, F.lit(slot).alias("slot"), *columns, F.concat(comma, F.to_json(value)).alias("piece")
+    return df.join(first, keys).select(
+        *keys, F.lit(slot).alias("slot"), *columns, F.concat(comma, F.to_json(value)).alias("piece")
     )
 
 
+def json_list_documents(df: DataFrame, field: str, order: str, value: Column) -> DataFrame:
+    """One JSON object per video with a single list, such as ``segments`` or ``flags``
+    (video_id, part, text)."""
+    keys = ["video_id"]
+    videos = df.select(*keys).distinct()
+    opening = F.lit('{"' + field + '":[')
+    pieces = [
+        videos.select(*keys, F.lit(0).alias("slot"), opening.alias("piece")),
+        _json_list(df, 1, [order], value, keys),
+        videos.select(*keys, F.lit(2).alias("slot"), F.lit("]}").alias("piece")),
+    ]
+    filled = union_all(pieces).withColumn("o0", F.coalesce("o0", F.lit(0.0)))
+    return joined_text(filled, keys, ["slot", "o0"], F.col("piece"), "")
+
+
 def export_metadata(
     titles: DataFrame, screens: DataFrame, frames: DataFrame, segments: DataFrame, schema: str
 ) -> DataFrame:

@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenlens.plans import detection, dialogue, lineage, marks, pixels, streams, subtitles
+from screenlens.plans import (
+    detection,
+    dialogue,
+    files,
+    lineage,
+    marks,
+    pixels,
+    streams,
+    subtitles,
+)
 from screenlens.plans.bridges import Corpus
 
-MODULES = [detection, dialogue, marks, subtitles, lineage, pixels, streams]
+MODULES = [detection, dialogue, marks, subtitles, lineage, pixels, files, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

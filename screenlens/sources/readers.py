@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from screenlens.functions.documents import json_object
 from screenlens.operators.ranking import subtitle_format
 
 SUBTITLE_GLOB = "*.{[sS][rR][tT],[vV][tT][tT],[wW][eE][bB][vV][tT][tT],[sS][mM][iI],[sS][aA][mM][iI]}"
@@ -18,7 +19,20 @@ TRANSCRIPT = f"text string, segments {SEGMENT}, words {WORD}, backend string, de
 
 
 def _folder(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    """Value of a ``video_id=`` folder in the path, otherwise the parent folder's name."""
+    parent = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    keyed = F.regexp_extract(path, r"/video_id=([^/]+)/", 1)
+    return F.when(keyed != "", keyed).otherwise(parent)
+
+
+def _documents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """Whole small files (origin, value)."""
+    raw = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", pattern)
+        .text(path, wholetext=True)
+    )
+    return raw.select(F.col("_metadata.file_path").alias("origin"), "value")
 
 
 def _name(path: Column) -> Column:
@@ -81,52 +95,52 @@ def read_subtitle_corpus(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Transcript documents, one JSON file per video; the parent folder names the video."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.json"
-    ).text(path)
-    origin = F.col("_metadata.file_path")
-    parsed = raw.select(
-        _folder(origin).alias("video_id"),
-        F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", TRANSCRIPT)).alias("_d"),
+def read_transcripts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """Transcript documents, one JSON file per video; the folder names the video."""
+    parsed = _documents(spark, path, pattern).select(
+        _folder(F.col("origin")).alias("video_id"),
+        F.when(json_object(F.col("value")).isNotNull(), F.from_json("value", TRANSCRIPT)).alias("_d"),
     )
     return parsed.filter("_d IS NOT NULL").select("video_id", "_d.*")
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
+def read_segments(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """(video_id, seg_no, start, end, text)"""
-    rows = read_transcripts(spark, path).select("video_id", F.posexplode("segments").alias("seg_no", "_s"))
+    documents = read_transcripts(spark, path, pattern)
+    rows = documents.select("video_id", F.posexplode("segments").alias("seg_no", "_s"))
     return rows.select("video_id", F.col("seg_no").cast("long").alias("seg_no"), "_s.*")
 
 
-def read_words(spark: SparkSession, path: str) -> DataFrame:
-    return read_transcripts(spark, path).select("video_id", F.explode("words").alias("_w")).select("video_id", "_w.*")
+def read_words(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    documents = read_transcripts(spark, path, pattern)
+    return documents.select("video_id", F.explode("words").alias("_w")).select("video_id", "_w.*")
 
 
-def read_info_json(spark: SparkSession, path: str) -> DataFrame:
+def read_info_json(spark: SparkSession, path: str, pattern: str = "*.info.json") -> DataFrame:
     """Sidecar documents (dir, name, document); files that are not one JSON object are left out."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.info.json"
-    ).text(path)
-    origin = F.col("_metadata.file_path")
-    sound = F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT")
-    return raw.filter(sound).select(
-        F.regexp_extract(origin, r"^(.*)/[^/]+$", 1).alias("dir"), _name(origin).alias("name"),
+    sound = json_object(F.col("value")).isNotNull()
+    return _documents(spark, path, pattern).filter(sound).select(
+        F.regexp_extract("origin", r"^(.*)/[^/]+$", 1).alias("dir"),
+        _name(F.col("origin")).alias("name"),
         F.col("value").alias("document"),
     )
 
 
-def read_flags(spark: SparkSession, path: str) -> DataFrame:
+def read_flags(spark: SparkSession, path: str, pattern: str = "*flags.json") -> DataFrame:
     """Ground-truth flags (video_id, press_no, t, note) from one JSON file per video; unreadable
     files hold no flags."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*flags.json"
-    ).text(path)
     schema = "flags array<struct<time: double, note: string>>"
-    parsed = F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", schema))
-    rows = raw.select(_folder(F.col("_metadata.file_path")).alias("video_id"), F.posexplode(parsed["flags"]).alias("press_no", "_f"))
-    return rows.select("video_id", F.col("press_no").cast("long").alias("press_no"), F.col("_f.time").alias("t"), "_f.note")
+    parsed = F.when(json_object(F.col("value")).isNotNull(), F.from_json("value", schema))
+    rows = _documents(spark, path, pattern).select(
+        _folder(F.col("origin")).alias("video_id"),
+        F.posexplode(parsed["flags"]).alias("press_no", "_f"),
+    )
+    return rows.select(
+        "video_id",
+        F.col("press_no").cast("long").alias("press_no"),
+        F.col("_f.time").alias("t"),
+        "_f.note",
+    )
 
 
 def read_file_sizes(spark: SparkSession, path: str) -> DataFrame:

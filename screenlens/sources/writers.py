@@ -57,7 +57,7 @@ def write_documents(documents: DataFrame, path: str, keys: list[str]) -> None:
 
 def read_documents(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     schema = ", ".join(f"{k} string" for k in keys) + ", part bigint, text string"
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     cast = [F.col(k).cast("string").alias(k) for k in keys]
     return raw.select(
         *cast, F.col("part").cast("long").alias("part"), F.regexp_replace("value", r"\n\z", "").alias("text")
