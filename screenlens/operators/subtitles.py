@@ -9,7 +9,6 @@ from screenlens import params as P
 from screenlens.functions.text import clean_text, voice_prefix
 from screenlens.operators.ordered import (
     Ordered,
-    latest,
     neighbours,
     number_rows,
     running_max,
@@ -69,15 +68,15 @@ def parse_timed_blocks(files: DataFrame, entities: str | None = "all") -> DataFr
         .withColumn(
             "_stamps",
             F.regexp_extract_all(
-                F.element_at("_lines", F.col("_arrow").cast("int")), F.lit(STAMP), F.lit(0)
+                F.get("_lines", F.col("_arrow").cast("int") - 1), F.lit(STAMP), F.lit(0)
             ),
         )
         .filter(F.size("_stamps") >= 2)
         .select(
             "file_id",
             "_pos",
-            _seconds(F.col("_stamps")[0]).alias("start"),
-            _seconds(F.col("_stamps")[1]).alias("end"),
+            _seconds(F.get("_stamps", F.lit(0))).alias("start"),
+            _seconds(F.get("_stamps", F.lit(1))).alias("end"),
             voice_prefix(body, entities).alias("text"),
         )
         .filter("end > start AND text <> ''")
