@@ -5,9 +5,10 @@ sequence into chunks instead:
 
 * :func:`neighbours` uses a dense ordinal (frame number, sample index). Chunk = ordinal div size,
   and rows at a chunk edge are copied to the adjacent chunk. One shuffle, nothing written.
-* :class:`Ordered` needs only an order. Rows are range-partitioned by (keys, order), so chunks are
-  even whatever the skew; each running value is computed inside the chunk, and what flows from
-  chunk to chunk is one summary row per (key, chunk).
+* :class:`Ordered` needs only an order. It first counts the largest group. If no key has more than
+  ``GROUP_LIMIT`` rows, plain windows per key are safe and take one shuffle. Otherwise rows are
+  range-partitioned by (keys, order), so chunks are even whatever the skew; each running value is
+  computed inside the chunk, and what flows from chunk to chunk is one summary row per (key, chunk).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from screenlens.session import materialize
 
 CHUNK = "_chunk"
+GROUP_LIMIT = 500_000
 
 
 @dataclass(frozen=True)
@@ -50,26 +52,28 @@ def upcoming(value, inclusive: bool = True) -> Scan:
 
 
 class Ordered:
-    """A table cut into even chunks along (keys, order). ``order`` must be unique within a key
-    wherever a scan value is not null; keys must not be null."""
+    """A table to be read along (keys, order). ``order`` must be unique within a key wherever a scan
+    value is not null; keys must not be null."""
 
-    def __init__(self, frame: DataFrame, keys: list[str], order: list[str]):
+    def __init__(self, frame: DataFrame, keys: list[str], order: list[str], chunked: bool):
         self.frame = frame
         self.keys = keys
         self.order = order
+        self.chunked = chunked
 
     @classmethod
     def of(cls, df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None):
-        spark = df.sparkSession
-        n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if chunks is None and largest_group(df, keys) <= GROUP_LIMIT:
+            return cls(df, keys, order, chunked=False)
+        n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         cut = df.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
-        return cls(materialize(cut, "ordered"), keys, order)
+        return cls(materialize(cut, "ordered"), keys, order, chunked=True)
 
     def with_columns(self, **columns: Column) -> "Ordered":
-        return Ordered(self.frame.withColumns(columns), self.keys, self.order)
+        return Ordered(self.frame.withColumns(columns), self.keys, self.order, self.chunked)
 
     def scan(self, **scans: Scan) -> "Ordered":
-        chunk_keys = [*self.keys, CHUNK]
+        chunk_keys = [*self.keys, CHUNK] if self.chunked else self.keys
         position = F.struct(*self.order)
         ascending = Window.partitionBy(*chunk_keys).orderBy(*self.order)
         descending = Window.partitionBy(*chunk_keys).orderBy(*[F.desc(c) for c in self.order])
@@ -110,20 +114,28 @@ class Ordered:
             else:
                 raise ValueError(f"unknown scan: {s.kind}")
 
-        summary = staged.groupBy(*chunk_keys).agg(*totals).withColumns(carried)
-        summary = summary.select(*chunk_keys, *carried)
+        inside_chunks = staged.withColumns(local)
+        if self.chunked:
+            summary = staged.groupBy(*chunk_keys).agg(*totals).withColumns(carried)
+            inside_chunks = inside_chunks.join(summary.select(*chunk_keys, *carried), chunk_keys, "left")
+        else:
+            inside_chunks = inside_chunks.withColumns(
+                {carry: F.lit(None).cast(staged.schema[f"_v_{name}"].dataType)
+                 for name, carry in ((name, f"_c_{name}") for name in scans)}
+            )
         kept = [c for c in self.frame.columns if c not in final]
-        done = (
-            staged.withColumns(local)
-            .join(summary, chunk_keys, "left")
-            .select(*kept, *[column.alias(name) for name, column in final.items()])
-        )
-        return Ordered(done, self.keys, self.order)
+        done = inside_chunks.select(*kept, *[column.alias(name) for name, column in final.items()])
+        return Ordered(done, self.keys, self.order, self.chunked)
 
     def rows(self) -> DataFrame:
         return self.frame.drop(CHUNK)
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest key (counted with map-side aggregation)."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, first: int = 0):
     """Exact dense numbering per key in the given (unique) order."""
     numbered = Ordered.of(df, keys, order).scan(**{name: running_sum(F.lit(1).cast("long"))})

@@ -22,3 +22,10 @@ def rows():
         return [tuple(r) for r in df.orderBy(*order).collect()] if order else [tuple(r) for r in df.collect()]
 
     return collect
+
+
+@pytest.fixture(params=["plain windows", "chunks"])
+def both_ways(request, monkeypatch):
+    """Run a test with plain windows per key and with every group cut into chunks."""
+    if request.param == "chunks":
+        monkeypatch.setattr("screenlens.operators.ordered.GROUP_LIMIT", 0)

@@ -101,7 +101,7 @@ def brute_force(rows, anchor_thr=0.02, rate_thr=0.0015, cut_thr=0.002, merge=0.5
     return out
 
 
-def test_random_series_match_brute_force_however_they_are_cut(spark):
+def test_random_series_match_brute_force_however_they_are_cut(spark, both_ways):
     rng = random.Random(5)
     data = []
     for v in range(4):

@@ -20,7 +20,7 @@ def make_segments(spark, spans):
     )
 
 
-def test_screen_periods(spark, rows):
+def test_screen_periods(spark, rows, both_ways):
     events = spark.createDataFrame([("v", 0, 10.0, 10.1), ("v", 1, 30.0, 30.1)], EVENTS)
     runs = spark.createDataFrame(
         [("v", "full", 0.0, 50.0), ("v", "part", 20.0, 30.05), ("quiet", "full", 0.0, 9.0)], RUNS
@@ -72,7 +72,7 @@ def brute_hosts(segs, spans, owner):
     return out
 
 
-def test_random_assignment_and_hosts_match_brute_force(spark):
+def test_random_assignment_and_hosts_match_brute_force(spark, both_ways):
     rng = random.Random(11)
     spans, t = [], 0.0
     for _ in range(120):
@@ -98,7 +98,7 @@ def test_frame_before_a_cut_stays_on_its_screen(spark):
     assert got == {9.97: 0, 10.1: 1, -1.0: 0}
 
 
-def test_moment_lookups(spark):
+def test_moment_lookups(spark, both_ways):
     said = make_segments(spark, [(0, 5), (4, 6), (10, 12)]).drop("run")
     points = spark.createDataFrame([("v", i, at) for i, at in enumerate([4.5, 7.0, 9.5, 13.0, 5.5])] + [("none", 9, 1.0)], "video_id string, n int, at double")
     got = {r.n: r.seg_no for r in dialogue.segment_at(points, said, "at", ["n"]).collect()}

@@ -30,8 +30,8 @@ def reference_fold(stack, a_thr, c_thr, r_thr):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_anchor_pieces_equal_the_sequential_fold(spark, seed):
+@pytest.mark.parametrize("seed", [1, 2])
+def test_anchor_pieces_equal_the_sequential_fold(spark, seed, both_ways):
     rng = np.random.default_rng(seed)
     picture, stack = rng.uniform(0, 255, (9, 16)), []
     for i in range(300):

@@ -70,7 +70,7 @@ def verdict(spark, spans, duration, texts=None):
     return subtitles.subtitle_quality(df, given).first()
 
 
-def test_coverage_is_a_union(spark):
+def test_coverage_is_a_union(spark, both_ways):
     got = verdict(spark, [(0, 10), (1, 9), (5, 12), (50, 55), (56, 58)], 100)
     assert abs(got.coverage - 0.19) < 1e-12 and (got.span_start, got.span_end) == (0.0, 58.0)
 
