@@ -126,7 +126,9 @@ def render_index(c):
     whole = made.withColumns(
         {n: F.when(F.col("run") != "full", F.col(n)) for n in ("lo", "hi")}
     )
-    index = screens.merge_run_index(whole.limit(0), whole, whole.select("video_id", "run"))
+    index = screens.merge_run_index(
+        whole.filter("run = 'full'"), whole.filter("run <> 'full'"), whole.select("video_id", "run")
+    )
     return documents.render_index(c.videos, index)
 
 

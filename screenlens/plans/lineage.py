@@ -95,13 +95,11 @@ def request_ledger_upsert(c):
 
 def source_changed(c):
     parts = c.table("part").select(
-        F.col("p_partkey").cast("string").alias("video_id"), "p_partkey", F.col("p_name").alias("path"),
-        F.col("p_size").alias("size"),
+        F.col("p_partkey").cast("string").alias("video_id"), F.col("p_name").alias("path"),
+        F.col("p_size").alias("size"), "p_retailprice",
     )
-    key = F.col("p_partkey")
-    old = parts.filter(key % 10 != 0)
-    new = parts.filter(key % 7 != 0).withColumn("size", F.when(key % 3 == 0, F.col("size") + 1).otherwise(F.col("size")))
-    return lineage.source_changed(old, new)
+    grown = F.when(F.col("p_retailprice") > 1000, F.col("size") + 1).otherwise(F.col("size"))
+    return lineage.source_changed(parts.filter("size > 5"), parts.filter("size < 45").withColumn("size", grown))
 
 
 def subtitle_changed(c):
@@ -304,8 +302,8 @@ FROM xm WHERE EXISTS (SELECT 1 FROM xl WHERE xl.video_id = xm.video_id AND xl.ru
     "live_runs": f"WITH {INDEX} SELECT * FROM xa WHERE EXISTS (SELECT 1 FROM xl WHERE xl.video_id = xa.video_id AND xl.run = xa.run)",
     "request_ledger_upsert": f"""WITH {LEDGER} SELECT *, false AS is_new FROM le UNION ALL SELECT *, true FROM la
 WHERE NOT EXISTS (SELECT 1 FROM le WHERE le.video_id = la.video_id AND le."at" = la."at" AND le.reason = la.reason)""",
-    "source_changed": """SELECT p_partkey::VARCHAR AS video_id, CASE WHEN p_partkey % 10 = 0 THEN 'new' WHEN p_partkey % 7 = 0 THEN 'missing'
-  WHEN p_partkey % 3 = 0 THEN 'changed' ELSE 'same' END AS state FROM part WHERE p_partkey % 10 <> 0 OR p_partkey % 7 <> 0""",
+    "source_changed": """SELECT p_partkey::VARCHAR AS video_id, CASE WHEN p_size <= 5 THEN 'new' WHEN p_size >= 45 THEN 'missing'
+  WHEN p_retailprice > 1000 THEN 'changed' ELSE 'same' END AS state FROM part""",
     "subtitle_changed": """SELECT o_orderkey, o_orderstatus = 'F' AND ((o_orderkey % 3 <> 0) IS DISTINCT FROM (o_orderkey % 4 <> 0)
   OR (o_orderkey % 3 <> 0 AND o_orderkey % 2 <> o_orderkey % 5 % 2)) AS redo FROM orders""",
     "fingerprint_target": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'given/' || o_orderkey WHEN o_orderkey % 2 = 0 THEN 'beside/' || o_orderkey END AS target FROM orders",

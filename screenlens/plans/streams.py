@@ -108,14 +108,15 @@ def stream_subtitle_intake(c):
 def refresh_on_change(c):
     parts = c.table("part").select(
         F.col("p_partkey").cast("string").alias("video_id"), F.col("p_name").alias("path"),
-        F.col("p_size").alias("size"), "p_partkey",
+        F.col("p_size").alias("size"), "p_retailprice",
     )
-    recorded = parts.filter("p_partkey % 10 <> 0")
-    now = parts.withColumn("size", F.when(F.col("p_partkey") % 3 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    recorded = parts.filter("size > 5")
+    grown = F.when(F.col("p_retailprice") > 1000, F.col("size") + 1).otherwise(F.col("size"))
+    now = parts.withColumn("size", grown)
     runs = c.table("lineitem").select(
         F.col("l_partkey").cast("string").alias("video_id"), F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("run")
     ).distinct()
-    sightings = _stream_of(c, now.drop("p_partkey"), "inventory-in")
+    sightings = _stream_of(c, now.drop("p_retailprice"), "inventory-in")
     return _finished(c, streams.refresh_on_change(sightings, recorded, runs), "refresh-out")
 
 
@@ -145,5 +146,5 @@ FROM w WHERE window_start + 60 <= (SELECT max(t) FROM sig) - 10 GROUP BY 1, 2"""
     .replace("SELECT file_id, reason IS NULL AS ok, reason, n_cues, round(coverage, 6) AS coverage, round(a, 6) AS span_start, round(b, 6) AS span_end, round(rollup, 6) AS rollup FROM r",
              "SELECT file_id || '.srt' AS path, reason IS NULL AS ok, reason, n_cues, round(coverage, 6) AS coverage FROM r"),
     "refresh_on_change": """SELECT DISTINCT l_partkey::VARCHAR AS video_id, 'r' || l_linenumber AS run FROM lineitem JOIN part ON p_partkey = l_partkey
-WHERE p_partkey % 10 = 0 OR p_partkey % 3 = 0""",
+WHERE p_size <= 5 OR p_retailprice > 1000""",
 }

@@ -76,11 +76,12 @@ def _gray(w: int, h: int):
     return shrink
 
 
-def read_subtitle_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """All subtitle files below a folder with their bytes (path, dir, name, format, length, content)."""
+def read_subtitle_corpus(spark: SparkSession, path: str, pattern: str = SUBTITLE_GLOB) -> DataFrame:
+    """All subtitle files below a folder with their bytes (path, dir, name, format, length, content).
+    The format is null for suffixes that are not subtitles."""
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", SUBTITLE_GLOB)
+        .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(path)
     )

@@ -1,3 +1,4 @@
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -165,3 +166,19 @@ def test_range_requests(spark):
 def test_run_names(spark):
     pairs = spark.createDataFrame([(120.0, 300.0), (6.25, 6.75), (None, None)], "lo double, hi double")
     assert [r[0] for r in pairs.select(screens.run_name(F.col("lo"), F.col("hi"))).collect()] == ["00120_0-00300_0", "00006_2-00006_8", "full"]
+
+
+def test_audit_document_is_whole_json(spark):
+    titles = spark.createDataFrame([("v", "full", 'a "talk"', 50.004), ("w", "full", "empty", 1.0)], "video_id string, run string, title string, duration double")
+    shown = make_screens(spark, [(0, 10), (10.1, 30)])
+    said = make_segments(spark, [(1, 3), (12, 20)])
+    frames = spark.createDataFrame(
+        [("v", "full", 0, 1.005, "a.jpg", ["initial"], 0, "accepted", None), ("v", "full", 1, 11.0, "b.jpg", ["screen-start"], 1, "rejected", "blank"), ("v", "full", 2, 12.0, "c.jpg", ["screen-end"], 1, "accepted", None)],
+        "video_id string, run string, ord bigint, t double, image string, sources array<string>, screen bigint, status string, reject_reason string",
+    )
+    got = {r.video_id: json.loads(r.text) for r in documents.export_metadata(titles, shown, frames, said, "s@1").collect()}
+    assert got["v"]["source"] == {"schema": "s@1", "title": 'a "talk"', "duration": 50.0}
+    assert got["v"]["screens"] == [{"start": 0.0, "end": 10.0}, {"start": 10.1, "end": 30.0}]
+    assert [f["image"] for f in got["v"]["frames"]] == ["a.jpg", "c.jpg"] and got["v"]["frames"][0]["time"] == round(1.005, 2)
+    assert got["v"]["rejected"][0]["reject_reason"] == "blank" and [s["text"] for s in got["v"]["segments"]] == ["s0", "s1"]
+    assert got["w"]["frames"] == got["w"]["screens"] == []
