@@ -309,14 +309,15 @@ def settle_points(
     from its last (not past the next cluster's first), within ``settle_limit`` seconds: the nearest
     quiet sample other than the start, otherwise the quietest one scanned, nearest first.
     """
-    bounded = (
+    bounded = materialize(
         Ordered.of(clusters, keys, ["idx"])
         .scan(
             _low=latest(F.col("last_idx"), inclusive=False),
             _high=upcoming(F.col("idx"), inclusive=False),
             event_no=running_sum(F.lit(1).cast("long"), inclusive=False),
         )
-        .rows()
+        .rows(),
+        "clusters",
     )
     threshold = rate_threshold if isinstance(rate_threshold, Column) else F.lit(rate_threshold)
     width = float(settle_limit) if settle_limit > 0 else 1.0

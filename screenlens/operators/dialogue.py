@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from screenlens.functions.rounding import exact_round
 from screenlens.operators.intervals import interval_at, overlap_pairs
 from screenlens.operators.ordered import asof, joined_text, union_all
+from screenlens.session import materialize
 
 RUN = ["video_id", "run"]
 VIDEO = ["video_id"]
@@ -42,12 +43,13 @@ def assign_segments(segments: DataFrame, screens: DataFrame) -> DataFrame:
     named = _screens_named(screens)
     seg = segments.select(*RUN, "seg_no", F.col("start").alias("_s"), F.col("end").alias("_e"))
     overlap = F.least("_e", "_b") - F.greatest("_s", "_a")
-    best = (
+    best = materialize(
         overlap_pairs(seg, named, RUN, ("_s", "_e"), ("_a", "_b"), overlap > 0)
         .groupBy(*RUN, "seg_no")
-        .agg(F.max_by("screen", F.struct(overlap, -F.col("screen"))).alias("screen"))
+        .agg(F.max_by("screen", F.struct(overlap, -F.col("screen"))).alias("screen")),
+        "overlaps",
     )
-    rest = seg.join(best, [*RUN, "seg_no"], "left_anti")
+    rest = materialize(seg.join(best, [*RUN, "seg_no"], "left_anti"), "rest")
     assigned = best.unionByName(_nearest_screen(rest, named))
     return segments.join(assigned, [*RUN, "seg_no"])
 

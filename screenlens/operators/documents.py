@@ -13,6 +13,7 @@ from screenlens.functions.rounding import exact_round
 from screenlens.functions.text import srt_time
 from screenlens.operators.budget import read_path
 from screenlens.operators.ordered import joined_text, number_rows, union_all
+from screenlens.session import materialize
 
 RUN = ["video_id", "run"]
 NO_IMAGE = "(no image: the screen was empty)"
@@ -115,7 +116,7 @@ def render_context(
             ).alias("piece"),
         )
     )
-    spans = section_spans(screens, hosts, assigned, frames)
+    spans = materialize(section_spans(screens, hosts, assigned, frames), "sections")
 
     def piece(df: DataFrame, slot: int, a: Column, b: Column, text: Column) -> DataFrame:
         return df.select(

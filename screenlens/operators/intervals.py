@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenlens.operators.ordered import asof, union_all
+from screenlens.session import materialize
 
 BUCKET = 60.0
 
@@ -61,12 +62,13 @@ def interval_at(
     slim = points.select(*keys, *point_id, F.col(at).alias("_p"), F.col(at).alias("_q"))
     upper = F.col("_p") <= F.col("_b") if closed_end else F.col("_p") < F.col("_b")
     values = ["_ord", "_a", "_b", *[f"_x_{c}" for c in take]]
-    inside = (
+    inside = materialize(
         overlap_pairs(slim, named, keys, ("_p", "_q"), ("_a", "_b"), (F.col("_a") <= F.col("_p")) & upper)
         .groupBy(*keys, *point_id)
-        .agg(F.min_by(F.struct(*values), "_ord").alias("_hit"))
+        .agg(F.min_by(F.struct(*values), "_ord").alias("_hit")),
+        "inside",
     )
-    outside = slim.drop("_q").join(inside, [*keys, *point_id], "left_anti")
+    outside = materialize(slim.drop("_q").join(inside, [*keys, *point_id], "left_anti"), "outside")
     taken = {"_hit": F.struct(*values)}
     ends = asof(outside, named, keys, F.col("_p"), F.col("_b"), taken, tie=-F.col("_ord"))
     starts = asof(outside, named, keys, F.col("_p"), F.col("_a"), taken, tie=F.col("_ord"), forward=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from screenlens.operators import budget, dialogue, documents, screens
 from screenlens.plans import bridges as B
 from screenlens.plans.detection import TIMED
+from screenlens.session import materialize
 
 
 def screen_periods(c):
@@ -101,7 +102,7 @@ def hosts(c):
 def _shown(c):
     all_screens, scoped = c.screens, c.scoped_segments
     said = c.assigned
-    hosted = dialogue.hosts(scoped, all_screens, said)
+    hosted = materialize(dialogue.hosts(scoped, all_screens, said), "hosts")
     frames = c.frames_on_screens.filter("status = 'accepted'")
     return all_screens, hosted, said, frames
 
