@@ -206,7 +206,7 @@ def merge_peaks(
     longest = long_trains.agg(F.max("train_size")).first()[0]
     if longest is not None:
         led = led.unionByName(_leaders_by_doubling(long_trains, keys, merge_window, longest))
-    return (
+    clusters = (
         led.groupBy(*keys, "leader")
         .agg(
             F.min_by("t", "idx").alias("t"),
@@ -222,6 +222,7 @@ def merge_peaks(
             "signals",
         )
     )
+    return materialize(clusters, "clusters")
 
 
 def _leaders_by_fold(trains: DataFrame, keys: list[str], merge_window: float) -> DataFrame:
@@ -309,15 +310,14 @@ def settle_points(
     from its last (not past the next cluster's first), within ``settle_limit`` seconds: the nearest
     quiet sample other than the start, otherwise the quietest one scanned, nearest first.
     """
-    bounded = materialize(
+    bounded = (
         Ordered.of(clusters, keys, ["idx"])
         .scan(
             _low=latest(F.col("last_idx"), inclusive=False),
             _high=upcoming(F.col("idx"), inclusive=False),
             event_no=running_sum(F.lit(1).cast("long"), inclusive=False),
         )
-        .rows(),
-        "clusters",
+        .rows()
     )
     threshold = rate_threshold if isinstance(rate_threshold, Column) else F.lit(rate_threshold)
     width = float(settle_limit) if settle_limit > 0 else 1.0
