@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from screenlens.llm import line_dedup
+from screenlens.llm import line_dedup, packing, simhash, url_filter
 from screenlens.llm.common import table
 
 
+def op1_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark, sf_dir):
     return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
 
 
+def op7_url_filter(spark, sf_dir):
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
+
+
+def op9_simhash_dedup(spark, sf_dir):
+    return simhash.digest(simhash.simhash_dedup(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op7_url_filter": op7_url_filter,
+    "op9_simhash_dedup": op9_simhash_dedup,
 }
 
 ORACLE = {
     "op4_line_dedup": line_dedup.SQL,
+    "op7_url_filter": url_filter.SQL,
 }
