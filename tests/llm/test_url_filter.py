@@ -39,7 +39,7 @@ def brute(url, rules, default="allow"):
         path = rest[: min([rest.find(c) for c in "?#" if c in rest], default=len(rest))]
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
     fits = [
-        (len(h) + len(p), len(h), h + p, v)
+        (len(h) + len(p or ""), len(h), h + (p or ""), v)
         for v, h, p in rules
         if h and (host == h or host.endswith("." + h)) and path.startswith(p or "")
     ]
