@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenlens.llm.common import WHITE, ascii_lower, only
+from screenlens.session import materialize
 
 MIN_CHARS = 10
 MIN_DOCUMENTS = 2
@@ -39,13 +40,15 @@ def dropped_positions(
         .where(F.length("key") >= min_chars)
         .select("doc_id", "text_hash", "pos", F.unhex(F.md5("key")).alias("hash"))
     )
-    shared = (
+    # a table, not an aggregation below the join: the join may then split the rows of a frequent line
+    shared = materialize(
         lines.select("hash", "doc_id")
         .distinct()
         .groupBy("hash")
         .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keeper"))
         .where(F.col("n") >= min_documents)
-        .select("hash", "keeper")
+        .select("hash", "keeper"),
+        "shared-lines",
     )
     return (
         lines.join(shared, "hash")
