@@ -58,6 +58,22 @@ def dropped_positions(
     )
 
 
+def _with_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_documents: int) -> DataFrame:
+    """``docs`` with __positions, the line numbers that its text loses (null for none)."""
+    own = only(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    drops = dropped_positions(own, min_chars, min_documents).toDF("__id", "__hash", "__positions")
+    text_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    joined = docs.withColumn("__own_hash", text_hash)
+    same = (joined[id_col] == F.col("__id")) & (F.col("__own_hash") == F.col("__hash"))
+    return joined.join(drops, same, "left").drop("__id", "__hash", "__own_hash")
+
+
+def _kept(text: Column) -> Column:
+    """The text without the lines of __positions; no lines to drop leave it as it is."""
+    kept = F.array_join(F.filter(_lines(text), lambda _, i: ~F.array_contains("__positions", i)), "\n")
+    return F.when(F.col("__positions").isNull(), text).otherwise(kept)
+
+
 def line_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -75,20 +91,31 @@ def line_dedup(
     An empty table gives an empty table; other columns are ignored. There is no limit on text or line length.
     """
     own = only(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    drops = dropped_positions(own, min_chars, min_documents).withColumnRenamed("doc_id", "drop_id")
-    joined = own.withColumn("row_hash", F.xxhash64("text")).join(
-        drops, (F.col("doc_id") == F.col("drop_id")) & (F.col("row_hash") == F.col("text_hash")), "left"
-    )
-    lines = _lines(F.col("text"))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("positions", i)), "\n")
-    return joined.select(
+    return _with_positions(own, "doc_id", "text", min_chars, min_documents).select(
         "doc_id",
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("positions"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("positions").isNull(), F.col("text")).otherwise(kept).alias("kept"),
+        F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),
+        F.coalesce(F.size("__positions"), F.lit(0)).cast("long").alias("n_dropped"),
+        _kept(F.col("text")).alias("kept"),
     )
 
 
+def deduplicated(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length_col: str = "n_chars",
+    min_chars: int = MIN_CHARS,
+    min_documents: int = MIN_DOCUMENTS,
+) -> DataFrame:
+    """``docs``, all rows and columns, with the texts that ``line_dedup`` keeps and their lengths, if there is such a
+    column; null texts become empty."""
+    kept = _kept(F.coalesce(text_col, F.lit("")))
+    result = _with_positions(docs, id_col, text_col, min_chars, min_documents).withColumn(text_col, kept)
+    if length_col in docs.columns:
+        result = result.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    return result.select(*docs.columns)
+
+
 def digest(result: DataFrame) -> DataFrame:
     """``line_dedup``'s rows with the SHA-256 of the kept text in its place."""
     return result.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
