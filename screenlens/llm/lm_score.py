@@ -30,8 +30,8 @@ from screenlens.session import materialize
 #: Counts up to this are discounted.
 K = 5
 #: Tokens of a shard (more only where one document has more), and tokens whose bigrams share a bucket.
-SHARD_TOKENS = 2_000_000
-BUCKET_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
+BUCKET_TOKENS = 1_000_000
 
 BEGIN, END = 0, 1
 # no word holds white space, so these clash with none
