@@ -112,30 +112,36 @@ def nearest(codes: DataFrame, queries: DataFrame, bits: int, k: int = K) -> Data
     parts = segments(bits, max(1, entries.count()))
     values = F.array(*[segment_value(F.col("code"), *p) for p in parts])
     index = materialize(
-        entries.select("entry", "code", "ids", F.posexplode(values).alias("in_segment", "in_value")), "code-index"
+        entries.select(
+            "entry", "code", F.col("ids")[0].alias("first_id"), F.posexplode(values).alias("in_segment", "in_value")
+        ),
+        "code-index",
     )
     open_ = materialize(queries.distinct(), "open-queries")
     spark = codes.sparkSession
     best = None
     radius = 0
     found = spark.createDataFrame([], "query_id long, rank int, id long, distance int")
-    nearest_entries = Window.partitionBy("query_id").orderBy("distance", F.col("ids")[0])
+    nearest_entries = Window.partitionBy("query_id").orderBy("distance", "first_id")
     while True:
         probes = _probes(open_, parts, radius)
-        met = probes.join(index, (F.col("segment") == F.col("in_segment")) & (F.col("value") == F.col("in_value")))
-        new = met.select("query_id", "entry", "ids", distance("query", "code").alias("distance"))
+        # the size of probes is not seen before they are made: merged, never broadcast
+        same = (F.col("segment") == F.col("in_segment")) & (F.col("value") == F.col("in_value"))
+        met = probes.hint("merge").join(index, same)
+        new = met.select("query_id", "entry", "first_id", distance("query", "code").alias("distance"))
         if best is not None:
             new = new.unionByName(best.join(open_.select("query_id"), "query_id", "left_semi"))
         best = materialize(
             new.groupBy("query_id", "entry")
-            .agg(F.first("ids").alias("ids"), F.first("distance").alias("distance"))
+            .agg(F.first("first_id").alias("first_id"), F.first("distance").alias("distance"))
             .withColumn("n", F.row_number().over(nearest_entries))
             .where(F.col("n") <= k + 1)
             .drop("n"),
             "nearest-codes",
         )
         ranked = (
-            best.select("query_id", "distance", F.explode("ids").alias("id"))
+            best.join(entries.select("entry", "ids"), "entry")
+            .select("query_id", "distance", F.explode("ids").alias("id"))
             .where("id <> query_id")
             .withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
             .where(F.col("rank") <= k)
