@@ -94,6 +94,9 @@ class Tokens:
         unit = (kinds == _UNIT) & (_before(kinds) != _NUMBER)
         self.kinds = np.where(unit, np.where(self.hashes == _PERCENT, _BREAK, _WORD), kinds)
 
+    def has_names(self) -> bool:
+        return bool(((self.kinds == _CAPITAL) & (_before(self.kinds) != _BREAK)).any())
+
 
 def _before(kinds: np.ndarray) -> np.ndarray:
     """The kind of the token before each; a break before the first."""
@@ -188,7 +191,8 @@ def windows(docs: DataFrame, table: bytes | None, size: int, literals: int) -> D
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 tokens = Tokens(text, vocabulary)
-                for names in (False, True):
+                # without names both views are the same, and whatever has the slot of a name is elsewhere
+                for names in (False, True) if table is None or tokens.has_names() else (False,):
                     view = Canonical(tokens, names)
                     start, hashes = view.windows(size, literals)
                     if bits is not None:
