@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from screenlens.operators import pixels as px
+from screenlens.operators import ranking
 from screenlens.operators import subtitles as sub
 from screenlens.plans import pixels as P
 from screenlens.plans import subtitles as S
 from screenlens.plans.detection import EVENTS, SIG
+from screenlens.plans.dialogue import SEGMENTS
 from screenlens.plans.marks import ORACLE as MARK_SQL
 from screenlens.plans.marks import _presses
 from screenlens.session import scratch_path
@@ -31,18 +32,16 @@ def _finished(c, stream, label):
     return c.spark.read.schema(stream.schema).parquet(out)
 
 
-def _arriving(c, df, time, operator, label, update=False):
-    """Rows arrive in three slices of video time; after each the stream resumes from its checkpoint
+def _arriving(c, df, time, operator, label):
+    """Rows arrive in three slices of ``time``; after each the stream resumes from its checkpoint
     and runs until nothing is left. A batch holds one slice of a video, never all of it."""
     source, out, state = (scratch_path(c.spark, label + end) for end in ("-in", "-out", "-state"))
     edges = [float("-inf"), *SLICES, float("inf")]
-    run = streams.run_updates if update else streams.run_to_table
     for low, high in zip(edges, edges[1:]):
         df.filter((time >= low) & (time < high)).write.mode("append").parquet(source)
         result = operator(c.spark.readStream.schema(df.schema).parquet(source))
-        run(result, out, state)
-    fields = [*result.schema.fields, T.StructField("batch", T.IntegerType())]
-    return c.spark.read.schema(T.StructType(fields) if update else result.schema).parquet(out)
+        streams.run_to_table(result, out, state)
+    return c.spark.read.schema(result.schema).parquet(out)
 
 
 def stream_signals(c):
@@ -59,19 +58,25 @@ def stream_signals(c):
 
 
 def stream_events(c):
+    """Samples arrive up to 24 hours late: the slices are cut by a time that every other sample is moved in. The last
+    slice ends all videos."""
+
     def detect(stream):
-        return streams.stream_events(stream, merge_window=12.0, settle_limit=24.0)
+        return streams.stream_events(stream, merge_window=12.0, settle_limit=24.0, lateness=24.0)
 
-    return _arriving(c, c.signals, F.col("t"), detect, "signals")
+    signals = c.signals.select("video_id", "idx", "t", "anchor", "rate", "area")
+    ends = signals.select("video_id").distinct().withColumn("arrives", F.lit(1e9))
+    arrives = F.col("t") + F.when(F.col("idx") % 2 == 0, 20.0).otherwise(0.0)
+    late = signals.withColumn("arrives", arrives).unionByName(ends, allowMissingColumns=True)
+    return _arriving(c, late, F.col("arrives"), detect, "signals")
 
 
 def stream_flags(c):
     def replay(stream):
         return streams.stream_flags(stream, 24.0)
 
-    updates = _arriving(c, _presses(c), F.col("t"), replay, "presses", update=True)
-    newest = updates.groupBy("video_id").agg(F.max_by("flags", "press_no").alias("flags"))
-    return newest.select("video_id", F.explode("flags").alias("t"))
+    changes = _arriving(c, _presses(c), F.col("t"), replay, "presses")
+    return changes.groupBy("video_id", "t").agg(F.sum("change").alias("n")).where("n > 0").select("video_id", "t")
 
 
 def stream_signal_windows(c):
@@ -88,9 +93,7 @@ def stream_signal_windows(c):
     )
 
 
-def stream_subtitle_intake(c):
-    documents = S._srt_files(c).withColumn("path", F.concat("file_id", F.lit(".srt")))
-    arriving = _stream_of(c, documents, "subtitles-in")
+def _judge(c):
     durations = c.videos.select(F.col("video_id").alias("file_id"), "duration")
 
     def judge(batch):
@@ -99,12 +102,54 @@ def stream_subtitle_intake(c):
         files = batch.select("file_id", "path").join(durations, "file_id")
         return sub.subtitle_quality(cues, files).join(files.select("file_id", "path"), "file_id")
 
+    return judge
+
+
+def _subtitle_files(c):
+    return S._srt_files(c).withColumn("path", F.concat("file_id", F.lit(".srt")))
+
+
+def stream_subtitle_intake(c):
+    arriving = _stream_of(c, _subtitle_files(c), "subtitles-in")
     out, state = scratch_path(c.spark, "verdicts"), scratch_path(c.spark, "verdicts-state")
-    streams.subtitle_intake(arriving, out, state, judge).awaitTermination()
+    streams.subtitle_intake(arriving, out, state, _judge(c)).awaitTermination()
     verdicts = streams.latest_verdicts(c.spark.read.parquet(out))
     return verdicts.select("path", "ok", "reason", "n_cues", F.round("coverage", 6).alias("coverage"))
 
 
+def stream_subtitle_choice(c):
+    """Each video has three candidates, its own file and the next two, in three languages. Files arrive in three
+    slices; after each the videos it touches are ranked again."""
+    k = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    each = c.videos.select("video_id", "has_audio", k.alias("k"))
+    file_id = (F.col("video_id").cast("long") + F.col("k")).cast("string")
+    candidates = each.select(
+        "video_id",
+        F.lit("sidecar").alias("kind"),
+        F.concat(file_id, F.lit(".srt")).alias("path"),
+        file_id.alias("name"),
+        F.lit("srt").alias("format"),
+        F.when(F.col("k") == 0, "de").when(F.col("k") == 2, "fr").alias("language"),
+        file_id.alias("label"),
+        F.lit(False).alias("forced"),
+        F.lit(False).alias("is_default"),
+        F.lit(None).cast("int").alias("track"),
+    )
+
+    def choose(again, verdicts):
+        videos = c.videos.join(again.select("video_id").distinct(), "video_id", "left_semi")
+        return ranking.choose_subtitle(ranking.rank_subtitles(again, "de"), verdicts, videos)
+
+    source, out, state, chosen = (scratch_path(c.spark, f"choice-{x}") for x in ("in", "out", "state", "chosen"))
+    files = _subtitle_files(c)
+    for n in range(3):
+        files.where(F.col("file_id").cast("long") % 3 == n).write.mode("append").parquet(source)
+        arriving = c.spark.readStream.schema(files.schema).parquet(source)
+        streams.subtitle_intake(arriving, out, state, _judge(c), candidates, choose, chosen).awaitTermination()
+    newest = streams.latest_verdicts(c.spark.read.parquet(chosen), "video_id")
+    return newest.select("video_id", "kind", "path", "n_candidates", "n_rejected")
+
+
 def refresh_on_change(c):
     parts = c.table("part").select(
         F.col("p_partkey").cast("string").alias("video_id"), F.col("p_name").alias("path"),
@@ -124,27 +169,33 @@ QUERIES = {
     f.__name__: f
     for f in (
         stream_signals, stream_events, stream_flags, stream_signal_windows, stream_subtitle_intake,
-        refresh_on_change,
+        stream_subtitle_choice, refresh_on_change,
     )
 }
 
+INTAKE = f"""{SEGMENTS},
+cu AS (SELECT video_id AS file_id, seg_no AS cue_no, start, "end", text FROM seg),
+{S.MEASURED},{S.VERDICTS}"""
+
 ORACLE = {
     "stream_signals": P.ORACLE["anchor_diff"],
-    "stream_events": f"""WITH RECURSIVE {EVENTS},
-mx AS (SELECT video_id, max(t) AS m FROM sig GROUP BY 1)
-SELECT e.video_id, event_no, e.idx, e.t, array_to_string(e.signals, '+') AS signals, before_idx, before_t, after_idx, after_t
-FROM ev e JOIN clusters c ON c.video_id = e.video_id AND c.idx = e.idx JOIN mx ON mx.video_id = e.video_id
-WHERE mx.m > greatest(c.t + 12, c.last_t + 24)""",
+    "stream_events": f"""WITH RECURSIVE {EVENTS}
+SELECT e.video_id, event_no, e.idx, e.t, array_to_string(e.signals, '+') AS signals, before_idx, before_t, after_idx, after_t FROM ev e""",
     "stream_flags": MARK_SQL["flag_toggle_replay"].replace("k.t AS t, k.note AS note", "k.t AS t"),
     "stream_signal_windows": f"""WITH {SIG}, w AS (SELECT *, floor(t / 60)::BIGINT * 60 AS window_start FROM sig)
 SELECT video_id, window_start, max(area) AS max_area, round(avg(rate), 8) AS mean_rate, round(avg((rate <= 0.0015::DOUBLE)::INT), 6) AS quiet_share, count(*) AS n_samples
 FROM w WHERE window_start + 60 <= (SELECT max(t) FROM sig) - 10 GROUP BY 1, 2""",
-    "stream_subtitle_intake": S.ORACLE["subtitle_quality"]
-    .replace("start + CASE video_id::INT % 7 WHEN 3 THEN 100.0::DOUBLE ELSE 0 END AS start", "start")
-    .replace("""CASE video_id::INT % 7 WHEN 5 THEN start + 0.5::DOUBLE ELSE "end" END + CASE video_id::INT % 7 WHEN 3 THEN 100.0::DOUBLE ELSE 0 END AS "end\"""", '"end"')
-    .replace("CASE video_id::INT % 5 WHEN 0 THEN repeat('la ', seg_no + 1) ELSE text END AS text", "text")
-    .replace("SELECT file_id, reason IS NULL AS ok, reason, n_cues, round(coverage, 6) AS coverage, round(a, 6) AS span_start, round(b, 6) AS span_end, round(rollup, 6) AS rollup FROM r",
-             "SELECT file_id || '.srt' AS path, reason IS NULL AS ok, reason, n_cues, round(coverage, 6) AS coverage FROM r"),
+    "stream_subtitle_intake": f"""WITH {INTAKE}
+SELECT file_id || '.srt' AS path, reason IS NULL AS ok, reason, n_cues, round(coverage, 6) AS coverage FROM r""",
+    "stream_subtitle_choice": f"""WITH {INTAKE},
+ca AS (SELECT video_id, substr('abc', k::INT, 1) AS side, (video_id::INT + k - 1)::VARCHAR AS file_id,
+         CASE k WHEN 1 THEN 'de' WHEN 2 THEN NULL ELSE 'fr' END AS language, k AS rank
+       FROM vid, (SELECT unnest([1, 2, 3]) AS k)),
+ok AS (SELECT ca.* FROM ca JOIN r USING (file_id) WHERE reason IS NULL),
+best AS (SELECT video_id, min(rank) AS rank FROM ok GROUP BY 1)
+SELECT v.video_id, CASE WHEN b.rank IS NOT NULL THEN 'sidecar' WHEN has_audio THEN 'whisper' ELSE 'none' END AS kind,
+       ca.file_id || '.srt' AS path, 3 AS n_candidates, coalesce(b.rank - 1, 3) AS n_rejected
+FROM vid v LEFT JOIN best b USING (video_id) LEFT JOIN ca ON ca.video_id = b.video_id AND ca.rank = b.rank""",
     "refresh_on_change": """SELECT DISTINCT l_partkey::VARCHAR AS video_id, 'r' || l_linenumber AS run FROM lineitem JOIN part ON p_partkey = l_partkey
 WHERE p_size <= 5 OR p_retailprice > 1000""",
 }
