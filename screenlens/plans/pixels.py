@@ -166,6 +166,22 @@ ch AS (SELECT a.video_id, a.frame_no, a.gray,
          coalesce(list_sum(list_transform(list_zip(a.gray, b.gray), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) / len(a.gray) / 255, 0) AS rate,
          coalesce(len(list_filter(list_zip(a.gray, b.gray), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE) > 25)) / len(a.gray)::DOUBLE, 0) AS area
        FROM bo a LEFT JOIN bo b ON b.video_id = a.video_id AND b.frame_no = a.frame_no - 1)"""
+#: Similarity (lk.similarity) of the frames shown at two moments x and y of pairs (pr): the mean over the four 7x7 windows
+#: of an 8x8 frame.
+SIMILAR = """,
+ft AS (SELECT video_id, frame_no, frame_no / 15.0::DOUBLE AS t FROM fr WHERE frame_no % 10 <> 9),
+lf AS (SELECT video_id, max(frame_no) AS n FROM ft GROUP BY 1),
+la AS (SELECT p.*, f.frame_no AS fa FROM pr p ASOF LEFT JOIN ft f ON f.video_id = p.video_id AND p.x - 0.001::DOUBLE <= f.t),
+lb AS (SELECT p.*, f.frame_no AS fb FROM la p ASOF LEFT JOIN ft f ON f.video_id = p.video_id AND p.y - 0.001::DOUBLE <= f.t),
+wd AS (SELECT k.video_id, k.pair_no, w, list_transform(range(49), lambda i: ga.gray[(w // 2 + i // 7) * 8 + w % 2 + i % 7 + 1]::DOUBLE) AS va,
+              list_transform(range(49), lambda i: gb.gray[(w // 2 + i // 7) * 8 + w % 2 + i % 7 + 1]::DOUBLE) AS vb
+       FROM lb k JOIN lf USING (video_id), fr ga, fr gb, (SELECT unnest(range(4)) AS w)
+       WHERE ga.video_id = k.video_id AND ga.frame_no = coalesce(k.fa, lf.n) AND gb.video_id = k.video_id AND gb.frame_no = coalesce(k.fb, lf.n)),
+mo AS (SELECT video_id, pair_no, list_avg(va) AS ma, list_avg(vb) AS mb, list_avg(list_transform(va, lambda v: v * v)) AS aa,
+              list_avg(list_transform(vb, lambda v: v * v)) AS bb, list_avg(list_transform(list_zip(va, vb), lambda z: z[1] * z[2])) AS ab FROM wd),
+sm AS (SELECT video_id, pair_no, avg((2 * ma * mb + 6.5025::DOUBLE) * (2 * 49 / 48.0::DOUBLE * (ab - ma * mb) + 58.5225::DOUBLE)
+              / ((ma * ma + mb * mb + 6.5025::DOUBLE) * (49 / 48.0::DOUBLE * (aa - ma * ma + bb - mb * mb) + 58.5225::DOUBLE))) AS similarity
+       FROM mo GROUP BY 1, 2)"""
 FIT = "CASE WHEN greatest(w, h) > {m} THEN round_even({s} * ({m}::DOUBLE / greatest(w, h)), 0)::BIGINT ELSE {s} END"
 SIZES = "s AS (SELECT l_orderkey, l_linenumber, l_partkey * 7 % 2500 + 1 AS w, l_partkey * 11 % 1900 + 1 AS h FROM lineitem)"
 
@@ -189,6 +205,15 @@ SELECT video_id, frame_no, round(d, 8) AS anchor, reset AS is_anchor_reset FROM
 SELECT video_id, frame_no, round(len(list_filter(gray, lambda x: abs(x - mid) > 25)) / 64.0::DOUBLE, 8) AS content_area FROM m""",
     "mean_luma": f"""WITH {FRAMES}, m AS (SELECT *, list_sum(list_transform(gray, lambda x: x::DOUBLE)) / 64 AS luma FROM fr)
 SELECT video_id, frame_no, round(luma, 4) AS luma, CASE WHEN luma - 120 < 5 THEN 'dark or empty screen' END AS warning FROM m""",
+    "pair_changed": f"""WITH {FRAMES},
+pr AS (SELECT video_id, frame_no AS pair_no, frame_no / 15.0::DOUBLE AS x, (frame_no + frame_no % 3) / 15.0::DOUBLE AS y FROM fr){SIMILAR}
+SELECT video_id, pair_no, x AS a, y AS b, round(similarity, 6) AS similarity, similarity < 0.93 AS changed FROM pr JOIN sm USING (video_id, pair_no)""",
+    "stable_capture_time": f"""WITH {FRAMES},
+du AS (SELECT video_id, (max(frame_no) + 1) / 15.0::DOUBLE AS d FROM fr GROUP BY 1),
+fi AS (SELECT video_id, frame_no AS pair_no, frame_no / 15.0::DOUBLE AS a, d, least(frame_no / 15.0::DOUBLE + 0.5, d - 0.05) AS x FROM fr JOIN du USING (video_id)),
+pr AS (SELECT *, least(x + 0.5, d - 0.02) AS y FROM fi){SIMILAR}
+SELECT video_id, pair_no, a, round(similarity, 6) AS similarity, round(CASE WHEN similarity < 0.97 THEN least(a + 1.5, d - 0.05) ELSE x END, 6) AS stable_t
+FROM pr JOIN sm USING (video_id, pair_no)""",
     "reduced_size": f"WITH {SIZES} SELECT *, {FIT.format(m=768, s='w')} AS read_w, {FIT.format(m=768, s='h')} AS read_h FROM s",
     "image_tokens": f"WITH {SIZES} SELECT *, ({FIT.format(m=1568, s='w')} * {FIT.format(m=1568, s='h')}) // 750 AS tokens FROM s",
     "read_path": f"WITH {CHANGES}{CANDIDATES} SELECT video_id, run, seq, replace(image, 'frames/', 'read/') AS read_path FROM named",
