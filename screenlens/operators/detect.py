@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +12,12 @@ from screenlens.operators.ordered import (
     asof,
     latest,
     neighbours,
+    replayed,
     running_sum,
     upcoming,
 )
-from screenlens.session import materialize
 
 VIDEO = ["video_id"]
-FOLD_LIMIT = 512
 
 
 def signal_peaks(signals: DataFrame, series: str, height: float) -> DataFrame:
@@ -74,11 +71,21 @@ def _peaks_per_setting(signals: DataFrame, settings: list[tuple]) -> DataFrame:
         )
         for name, anchor, rate, cut in settings
     ]
-    per_setting = near.withColumn("_s", F.explode(F.array(*rows))).select("*", "_s.*")
+
+    def peak(series: str, height: Column) -> Column:
+        return _is_peak(F.col(f"_p.{series}"), F.col(series), F.col(f"_n.{series}"), height)
 
     def tag(name: str, series: str, height: Column) -> Column:
-        hit = _is_peak(F.col(f"_p.{series}"), F.col(series), F.col(f"_n.{series}"), height)
-        return F.when(hit, F.lit(name))
+        return F.when(peak(series, height), F.lit(name))
+
+    # peaks of the lowest thresholds are a few samples in a hundred; only they are tried with every setting
+    lowest = [min(float(s[i]) for s in settings) for i in (1, 2, 3)]
+    any_peak = (
+        peak("anchor", F.lit(lowest[0]))
+        | peak("rate", F.lit(lowest[1] * P.RATE_PEAK_MULTIPLE))
+        | peak("area", F.lit(lowest[2]))
+    )
+    per_setting = near.filter(any_peak).withColumn("_s", F.explode(F.array(*rows))).select("*", "_s.*")
 
     tags = F.array_compact(
         F.array(
@@ -161,52 +168,31 @@ def frame_no_to_pts(
     return flagged.select("video_id", "frame_no", "t", "error")
 
 
-def merge_peaks(
-    peaks: DataFrame,
-    merge_window: float = P.MERGE_WINDOW,
-    keys: list[str] = VIDEO,
-    fold_limit: int = FOLD_LIMIT,
-) -> DataFrame:
+def merge_peaks(peaks: DataFrame, merge_window: float = P.MERGE_WINDOW, keys: list[str] = VIDEO) -> DataFrame:
     """Leader clustering: a peak joins the open cluster while it is at most ``merge_window`` after
     the cluster's *first* peak.
 
     A gap wider than the window always opens a cluster, so peaks split into independent trains
-    first. Short trains are folded as one array; a longer train (endless animation) is resolved by
-    pointer doubling over "first peak beyond my window", which needs no group in one task.
+    first. Each train is streamed in order with its open cluster's start as the only state, so a
+    train (endless animation) may be of any length.
     """
     samples = peaks.groupBy(*keys, "idx", "t").agg(F.collect_set("signal").alias("tags"))
     trains = (
         Ordered.of(samples, keys, ["idx"])
-        .scan(
-            _before=latest(F.col("t"), inclusive=False),
-            _after=upcoming(F.col("t"), inclusive=False),
-            _n=running_sum(F.lit(1).cast("long")),
-        )
-        .with_columns(
-            _opens=F.coalesce(F.col("t") - F.col("_before") > merge_window, F.lit(True)),
-            _closes=F.coalesce(F.col("_after") - F.col("t") > merge_window, F.lit(True)),
-        )
-        .scan(
-            _head=latest(F.when(F.col("_opens"), F.struct(F.col("idx"), F.col("_n")))),
-            _tail=upcoming(F.when(F.col("_closes"), F.col("_n"))),
-        )
+        .scan(_before=latest(F.col("t"), inclusive=False))
+        .with_columns(_opens=F.coalesce(F.col("t") - F.col("_before") > merge_window, F.lit(True)))
+        .scan(train=latest(F.when(F.col("_opens"), F.col("idx"))))
         .rows()
-        .select(
-            *keys,
-            "idx",
-            "t",
-            "tags",
-            F.col("_head.idx").alias("train"),
-            (F.col("_tail") - F.col("_head._n") + 1).alias("train_size"),
-        )
+        .select(*keys, "train", "idx", "t", "tags")
+    )
+    led = replayed(
+        trains,
+        [*keys, "train"],
+        ["idx"],
+        lambda: _leader(merge_window),
+        ", ".join(f"{k} string" for k in keys) + ", train long, idx long, t double, tags array<string>, leader long",
     )
-    trains = materialize(trains, "trains")
-    led = _leaders_by_fold(trains.filter(F.col("train_size") <= fold_limit), keys, merge_window)
-    long_trains = trains.filter(F.col("train_size") > fold_limit)
-    longest = long_trains.agg(F.max("train_size")).first()[0]
-    if longest is not None:
-        led = led.unionByName(_leaders_by_doubling(long_trains, keys, merge_window, longest))
-    clusters = (
+    return (
         led.groupBy(*keys, "leader")
         .agg(
             F.min_by("t", "idx").alias("t"),
@@ -222,79 +208,18 @@ def merge_peaks(
             "signals",
         )
     )
-    return materialize(clusters, "clusters")
 
 
-def _leaders_by_fold(trains: DataFrame, keys: list[str], merge_window: float) -> DataFrame:
-    packed = trains.groupBy(*keys, "train").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "t", "tags"))).alias("peaks")
-    )
-    folded = packed.withColumn(
-        "_led",
-        F.expr(
-            f"""aggregate(
-                  peaks,
-                  named_struct('idx', peaks[0].idx, 't', peaks[0].t, 'led', cast(array() as array<bigint>)),
-                  (s, p) -> if(p.t - s.t <= {merge_window!r}D,
-                    named_struct('idx', s.idx, 't', s.t, 'led', array_append(s.led, s.idx)),
-                    named_struct('idx', p.idx, 't', p.t, 'led', array_append(s.led, p.idx))),
-                  s -> s.led)"""
-        ),
-    )
-    return folded.select(
-        *keys, F.explode(F.arrays_zip("peaks", F.col("_led").alias("leader"))).alias("_z")
-    ).select(*keys, "_z.peaks.*", "_z.leader")
+def _leader(merge_window: float):
+    first = None
 
+    def take(idx: int, t: float, tags) -> list[tuple]:
+        nonlocal first
+        if first is None or t - first[1] > merge_window:
+            first = (idx, t)
+        return [(idx, t, tags, first[0])]
 
-def _leaders_by_doubling(
-    trains: DataFrame, keys: list[str], merge_window: float, longest: int
-) -> DataFrame:
-    group = [*keys, "train"]
-    peaks = trains.select(*group, "idx", "t")
-    with_next = (
-        Ordered.of(peaks, group, ["idx"])
-        .scan(_after=upcoming(F.struct("idx", "t"), inclusive=False))
-        .rows()
-    )
-    # The as-of time is a hair early so that the exact test t_j - t_i > window decides at the edge.
-    reach = asof(
-        peaks,
-        with_next,
-        group,
-        F.col("t") + (merge_window - 1e-9),
-        F.col("t"),
-        {"_j": F.struct("idx", "t"), "_k": F.col("_after")},
-        tie=F.col("idx"),
-        forward=True,
-    )
-    beyond = F.when(F.col("_j.t") - F.col("t") > merge_window, F.col("_j.idx")).otherwise(
-        F.col("_k.idx")
-    )
-    hop = materialize(
-        reach.select(*group, F.col("idx").alias("at"), beyond.alias("to")).filter("to IS NOT NULL"),
-        "hop",
-    )
-    leaders = materialize(
-        trains.filter("idx = train").select(*group, F.col("idx").alias("at")), "leaders"
-    )
-    for _ in range(math.ceil(math.log2(longest)) + 1):
-        stepped = leaders.join(hop, [*group, "at"]).select(*group, F.col("to").alias("at"))
-        leaders = materialize(leaders.unionByName(stepped).distinct(), "leaders")
-        further = hop.select(*group, F.col("at").alias("to"), F.col("to").alias("_far"))
-        hop = materialize(
-            hop.join(further, [*group, "to"]).select(*group, "at", F.col("_far").alias("to")), "hop"
-        )
-    marked = trains.join(
-        leaders.select(*keys, F.col("at").alias("idx"), F.col("at").alias("_lead")),
-        [*keys, "idx"],
-        "left",
-    )
-    return (
-        Ordered.of(marked, keys, ["idx"])
-        .scan(leader=latest(F.col("_lead")))
-        .rows()
-        .select(*keys, "idx", "t", "tags", "leader")
-    )
+    return take
 
 
 def settle_points(
@@ -402,8 +327,16 @@ def threshold_sweep(
 
 
 def sweep_report(events: DataFrame, baseline: str, tolerance: float) -> DataFrame:
-    """Per setting: events kept, and the share of the baseline's capture times recovered within
-    ``tolerance`` seconds. Matching is by time bucket, never all pairs."""
+    """Per setting: events and frames (samples to capture before and after events) kept, the share of
+    frames saved against the baseline, and the share of the baseline's capture times recovered
+    within ``tolerance`` seconds. Matching is by time bucket, never all pairs."""
+    captures = F.explode(F.array("before_idx", "after_idx")).alias("idx")
+    frames = (
+        events.select("setting", "video_id", captures)
+        .distinct()
+        .groupBy("setting")
+        .agg(F.count("*").alias("n_frames"))
+    )
     counts = events.groupBy("setting").agg(F.count("*").alias("n_events"))
     base = events.filter(F.col("setting") == baseline).select(
         "video_id", "event_no", F.col("after_t").alias("_want")
@@ -429,9 +362,13 @@ def sweep_report(events: DataFrame, baseline: str, tolerance: float) -> DataFram
     one_row_per_setting = Window.partitionBy(F.lit(1))
     n_found = F.coalesce("n_recovered", F.lit(0)).cast("long")
     n_base = F.max(F.when(F.col("setting") == baseline, F.col("n_events"))).over(one_row_per_setting)
-    return counts.join(found, "setting", "left").select(
+    base_frames = F.max(F.when(F.col("setting") == baseline, F.col("n_frames"))).over(one_row_per_setting)
+    saved = exact_round(1 - F.col("n_frames") / F.nullif(base_frames, F.lit(0)), 4)
+    return counts.join(frames, "setting").join(found, "setting", "left").select(
         "setting",
         "n_events",
+        "n_frames",
+        saved.alias("frames_saved"),
         n_found.alias("n_recovered"),
         exact_round(n_found / F.nullif(n_base, F.lit(0)), 4).alias("recall"),
     )

@@ -13,9 +13,11 @@ sequence into chunks instead:
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -244,32 +246,48 @@ def around(
 
 
 def joined_text(
+    df: DataFrame, keys: list[str], order: list[str], text: Column, separator: str
+) -> DataFrame:
+    """Ordered concatenation as one row (keys, text) per document, however long it is; null pieces are empty."""
+    line = F.struct(F.struct(*order).alias("p"), F.coalesce(text, F.lit("")).alias("s"))
+    pieces = F.array_sort(F.collect_list(line))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda x: x["s"]), separator).alias("text"))
+
+
+def replayed(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    text: Column,
-    separator: str,
-    part_bytes: int = 4 * 1024 * 1024,
+    start: Callable[[], Callable[..., list[tuple]]],
+    schema: str,
+    at_end: bool = False,
 ) -> DataFrame:
-    """Ordered concatenation as rows (keys, part, text).
+    """Each group's rows in ``order``, one after the other through what ``start()`` returns: a function of a row's
+    values without the keys, which keeps the group's state and gives result rows without the keys.
 
-    A text of ordinary length is one row with part 0. A longer one continues in part 1, 2, ...,
-    so no task ever holds more than ``part_bytes`` plus one line; joining the parts with
-    ``separator`` gives the whole text.
+    Groups are streamed, so a group may be of any size; a task holds one batch and one state. ``at_end``: the function
+    is called once more without values after the last row of a group.
     """
-    lines = df.withColumn("_line", F.coalesce(text, F.lit("")))
-    width = F.octet_length("_line") + len(separator.encode())
-    cut = (
-        Ordered.of(lines, keys, order)
-        .scan(_end=running_sum(width.cast("long"), inclusive=False))
-        .rows()
-        .withColumn("part", F.floor(F.col("_end") / part_bytes).cast("long"))
-    )
-    position = F.struct(*order)
-    pieces = F.array_sort(F.collect_list(F.struct(position.alias("p"), F.col("_line").alias("s"))))
-    return cut.groupBy(*keys, "part").agg(
-        F.array_join(F.transform(pieces, lambda x: x["s"]), separator).alias("text")
-    )
+    kept = [c for c in df.columns if c not in keys]
+    names = [part.strip().split(" ", 1)[0] for part in schema.split(",")]
+    arranged = df.select(*keys, *kept).repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, take = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.itertuples(index=False, name=None):
+                key = row[: len(keys)]
+                if key != group:
+                    if take and at_end:
+                        out += [group + r for r in take()]
+                    group, take = key, start()
+                out += [key + r for r in take(*row[len(keys) :])]
+            yield pd.DataFrame(out, columns=names)
+        if take and at_end:
+            yield pd.DataFrame([group + r for r in take()], columns=names)
+
+    return arranged.mapInPandas(stream, schema)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

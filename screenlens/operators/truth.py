@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenlens.functions.rounding import exact_round
 from screenlens import params as P
-from screenlens.operators.ordered import Ordered, around, latest, running_sum
-from screenlens.session import materialize
+from screenlens.operators.ordered import Ordered, around, latest, replayed, running_sum
 
 VIDEO = ["video_id"]
-FOLD_LIMIT = 512
 
 
 def _with_nearest(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
@@ -93,44 +90,41 @@ def compare_metrics(
     )
 
 
-def flag_dedupe(
-    presses: DataFrame, within: float = P.FLAG_DEDUPE, fold_limit: int = FOLD_LIMIT
-) -> DataFrame:
+def flag_dedupe(presses: DataFrame, within: float = P.FLAG_DEDUPE) -> DataFrame:
     """Presses in order; one within ``within`` seconds of a flag already kept is dropped.
 
     Only presses joined by gaps of at most ``within`` can affect each other, and of presses at the
-    same (rounded) time only the first can stay. Small groups are folded in press order. In larger
-    ones each round keeps every press that precedes all its undecided neighbours and drops those
-    neighbours, until none is left: the same result without holding the group in one task.
+    same (rounded) time only the first can stay. Each group of joined presses is streamed in press
+    order; its state is the sorted times of the flags kept.
     """
     rounded = presses.withColumn("t", exact_round(F.col("t"), 2))
     rest = [c for c in presses.columns if c not in ("video_id", "t")]
     first = rounded.groupBy("video_id", "t").agg(
         F.min_by(F.struct(*rest), "press_no").alias("_r")
     ).select("video_id", "t", "_r.*")
-    grouped = materialize(_linked(first, within), "flags")
-    small = grouped.filter(F.col("group_size") <= fold_limit)
-    kept = small.groupBy("video_id", "group").agg(
-        F.array_sort(F.collect_list(F.struct("press_no", "t"))).alias("ps")
-    ).select(
-        "video_id",
-        F.explode(
-            F.expr(
-                f"""aggregate(ps, cast(array() as array<struct<press_no: bigint, t: double>>),
-                      (k, p) -> if(exists(k, f -> abs(f.t - p.t) <= {within!r}D), k,
-                                   array_append(k, named_struct('press_no', p.press_no, 't', p.t))))"""
-            )
-        ).alias("_k"),
-    ).select("video_id", "_k.press_no")
-    large = grouped.filter(F.col("group_size") > fold_limit)
-    if not large.isEmpty():
-        kept = kept.unionByName(_kept_by_rounds(large, within))
+
+    def start():
+        kept: list[float] = []
+
+        def take(press: int, t: float) -> list[tuple]:
+            at = bisect_left(kept, t)
+            if any(abs(f - t) <= within for f in kept[max(at - 1, 0) : at + 1]):
+                return []
+            kept.insert(at, t)
+            return [(press,)]
+
+        return take
+
+    groups = _linked(first, within).select("video_id", "group", "press_no", "t")
+    kept = replayed(
+        groups, ["video_id", "group"], ["press_no"], start, "video_id string, group long, press_no long"
+    )
     return first.join(kept, ["video_id", "press_no"], "left_semi").select(*presses.columns)
 
 
 def _linked(points: DataFrame, gap: float) -> DataFrame:
-    """Groups of points whose neighbours in time are at most ``gap`` apart, with their size."""
-    marked = (
+    """Groups of points whose neighbours in time are at most ``gap`` apart."""
+    return (
         Ordered.of(points, VIDEO, ["t", "press_no"])
         .scan(_before=latest(F.col("t"), inclusive=False))
         .with_columns(_opens=F.coalesce(F.col("t") - F.col("_before") > gap, F.lit(True)))
@@ -138,40 +132,6 @@ def _linked(points: DataFrame, gap: float) -> DataFrame:
         .rows()
         .drop("_before", "_opens")
     )
-    sizes = marked.groupBy("video_id", "group").agg(F.count("*").alias("group_size"))
-    return marked.join(sizes, ["video_id", "group"])
-
-
-def _kept_by_rounds(points: DataFrame, within: float) -> DataFrame:
-    # Times lie on a 0.01 s grid, so a point has a fixed number of possible neighbours.
-    slim = points.select("video_id", "press_no", "t")
-    bucket = F.floor(F.col("t") / (within + 0.01))
-    near = slim.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    other = slim.select(
-        "video_id", F.col("press_no").alias("other_no"), F.col("t").alias("_ot"), bucket.alias("_b")
-    )
-    pairs = materialize(
-        near.join(other, ["video_id", "_b"])
-        .filter((F.col("press_no") != F.col("other_no")) & (F.abs(F.col("t") - F.col("_ot")) <= within))
-        .select("video_id", "press_no", "other_no"),
-        "pairs",
-    )
-    open_ = materialize(slim.select("video_id", "press_no"), "open")
-    kept = None
-    while not open_.isEmpty():
-        live = pairs.join(open_, ["video_id", "press_no"], "left_semi").join(
-            open_.withColumnRenamed("press_no", "other_no"), ["video_id", "other_no"], "left_semi"
-        )
-        blocked = live.filter("other_no < press_no").select("video_id", "press_no").distinct()
-        winners = materialize(open_.join(blocked, ["video_id", "press_no"], "left_anti"), "kept")
-        losers = live.select("video_id", "press_no", "other_no").join(
-            winners, ["video_id", "press_no"], "left_semi"
-        ).select("video_id", F.col("other_no").alias("press_no"))
-        open_ = materialize(
-            open_.join(winners.unionByName(losers), ["video_id", "press_no"], "left_anti"), "open"
-        )
-        kept = winners if kept is None else kept.unionByName(winners)
-    return kept
 
 
 def flag_toggle_replay(
@@ -180,43 +140,34 @@ def flag_toggle_replay(
     """Flags left after replaying presses: one near a kept flag removes the nearest, otherwise it
     adds a flag at its rounded time.
 
-    Presses further apart than ``within`` (plus rounding) never meet, so each group of nearby
-    presses replays alone. A group is streamed in press order and only its current flags are held.
+    Presses further apart than the larger of ``within`` and ``dedupe`` (plus rounding) never meet,
+    so each group of nearby presses replays alone: streamed in press order, with the sorted times
+    of its current flags as state.
     """
     points = presses.select("video_id", "press_no", "t", "note")
-    groups = _linked(points, within + 0.01).drop("group_size")
-    arranged = groups.repartition("video_id", "group").sortWithinPartitions(
-        "video_id", "group", "press_no"
-    )
-
-    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags: list[tuple[float, str, int]] = []
-        video, previous = None, -1
-        for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("video_id", "press_no", "t", "note")]
-            for video, press, t, note in zip(*columns):
-                if press <= previous:
-                    raise ValueError("presses arrived out of order")
-                previous = press
-                nearest = min(flags, key=lambda f: abs(f[0] - t), default=None)
-                if nearest is not None and abs(nearest[0] - t) <= within:
-                    flags.remove(nearest)
-                    continue
-                at = round(t, 2)
-                if all(abs(f[0] - at) > dedupe for f in flags):
-                    flags.append((at, note, press))
-                    flags.sort()
-        yield pa.RecordBatch.from_pydict(
-            {
-                "video_id": [video] * len(flags),
-                "t": [f[0] for f in flags],
-                "note": [f[1] for f in flags],
-            },
-            schema=pa.schema(
-                [("video_id", pa.string()), ("t", pa.float64()), ("note", pa.string())]
-            ),
-        )
-
-    return arranged.groupBy("video_id", "group").applyInArrow(
-        replay, "video_id string, t double, note string"
-    )
+    groups = _linked(points, max(within, dedupe) + 0.01).select("video_id", "group", "press_no", "t", "note")
+
+    def start():
+        times: list[float] = []
+        notes: list[str | None] = []
+
+        def take(press: int | None = None, t: float = 0.0, note: str | None = None) -> list[tuple]:
+            if press is None:
+                return list(zip(times, notes, strict=True))
+            at = bisect_left(times, t)
+            near = [i for i in (at - 1, at) if 0 <= i < len(times)]
+            nearest = min(near, key=lambda i: abs(times[i] - t), default=None)
+            if nearest is not None and abs(times[nearest] - t) <= within:
+                del times[nearest], notes[nearest]
+                return []
+            shown = round(t, 2)
+            at = bisect_left(times, shown)
+            if all(abs(f - shown) > dedupe for f in times[max(at - 1, 0) : at + 1]):
+                times.insert(at, shown)
+                notes.insert(at, note)
+            return []
+
+        return take
+
+    schema = "video_id string, group long, t double, note string"
+    return replayed(groups, ["video_id", "group"], ["press_no"], start, schema, at_end=True).drop("group")

@@ -211,9 +211,11 @@ FROM ratio r JOIN n USING (video_id) JOIN sig s ON s.video_id = r.video_id AND s
 {_settled(RATE_OF, "video_id, setting")},
 base AS (SELECT * FROM ev WHERE setting = 'base'),
 hit AS (SELECT DISTINCT e.setting, b.video_id, b.event_no FROM base b JOIN ev e
-        ON e.video_id = b.video_id AND abs(e.after_t - b.after_t) <= 6)
-SELECT e.setting, e.n_events, coalesce(h.n, 0) AS n_recovered,
+        ON e.video_id = b.video_id AND abs(e.after_t - b.after_t) <= 6),
+kept AS (SELECT setting, count(*) AS n_frames FROM (SELECT video_id, setting, before_idx AS idx FROM ev UNION SELECT video_id, setting, after_idx FROM ev) GROUP BY 1)
+SELECT e.setting, e.n_events, k.n_frames, round(1 - k.n_frames / (SELECT n_frames FROM kept WHERE setting = 'base')::DOUBLE, 4) AS frames_saved,
+       coalesce(h.n, 0) AS n_recovered,
        round(coalesce(h.n, 0) / (SELECT count(*) FROM base)::DOUBLE, 4) AS recall
-FROM (SELECT setting, count(*) AS n_events FROM ev GROUP BY 1) e
+FROM (SELECT setting, count(*) AS n_events FROM ev GROUP BY 1) e JOIN kept k USING (setting)
 LEFT JOIN (SELECT setting, count(*) AS n FROM hit GROUP BY 1) h USING (setting)""",
 }

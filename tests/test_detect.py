@@ -116,13 +116,29 @@ def test_random_series_match_brute_force_however_they_are_cut(spark, both_ways):
         for v in {r[0] for r in data}
         for e in brute_force([r for r in data if r[0] == v])
     }
-    for limit in (512, 2):  # the second forces long trains through pointer doubling
-        clusters = D.merge_peaks(D.tagged_peaks(df), fold_limit=limit)
-        found = D.settle_points(clusters, df)
-        got = {
-            (r.video_id, r.idx, "+".join(r.signals), r.before_idx, r.after_idx) for r in found.collect()
-        }
-        assert got == want
+    found = D.settle_points(D.merge_peaks(D.tagged_peaks(df)), df)
+    got = {(r.video_id, r.idx, "+".join(r.signals), r.before_idx, r.after_idx) for r in found.collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize(
+    "times",
+    [
+        [0, 0.3, 0.4999999995, 0.4999999999, 0.6, 0.9],
+        [0, 0.5, 0.5000000001, 1.0, 1.5, 1.5000000002],
+        [i * 0.2999 for i in range(10_000)],
+    ],
+)
+def test_trains_of_any_length_and_edge_times(spark, both_ways, times):
+    peaks = spark.createDataFrame([("v", i, float(t), "cut") for i, t in enumerate(times)], "video_id string, idx long, t double, signal string")
+    want, first = [], None
+    for i, t in enumerate(times):
+        if first is None or t - times[first] > 0.5:
+            first = i
+            want.append([i, i])
+        want[-1][1] = i
+    got = sorted([r.idx, r.last_idx] for r in D.merge_peaks(peaks).collect())
+    assert got == want
 
 
 def test_signal_counts(spark):

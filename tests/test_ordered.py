@@ -52,11 +52,10 @@ def test_asof_directions_and_ties(spark):
     assert found(forward=True, strict=True)[("a", 2.0)] == 3
 
 
-def test_long_texts_continue_in_parts(spark):
-    df = spark.range(100).select(F.lit("d").alias("k"), F.col("id").alias("i"), F.format_string("line %d", "id").alias("s"))
-    parts = O.joined_text(df, ["k"], ["i"], F.col("s"), "\n", part_bytes=100).orderBy("part").collect()
-    assert len(parts) > 5 and all(len(p.text) <= 120 for p in parts)
-    assert "\n".join(p.text for p in parts) == "\n".join(f"line {i}" for i in range(100))
+def test_a_long_text_is_one_row(spark):
+    df = spark.range(100_000).select(F.lit("d").alias("k"), F.col("id").alias("i"), F.format_string("%0100d", "id").alias("s"))
+    rows = O.joined_text(df, ["k"], ["i"], F.col("s"), "\n").collect()
+    assert [r.text for r in rows] == ["\n".join(f"{i:0100d}" for i in range(100_000))]
 
 
 def test_rounding_equals_correct_rounding(spark):
