@@ -16,9 +16,10 @@ OVERRIDE = r"\{\\[^}]*\}"
 INLINE_TIME = r"<\d{1,2}:\d{2}(?::\d{2})?[.,]\d{1,3}>"
 LINE_BREAK = r"(?i)<br\s*/?>"
 KNOWN_TAGS = (
-    "i b u s em strong font c v lang ruby rt rp p body sami head title style sync"
-)
-TAG = r"(?i)</?(?:" + "|".join(KNOWN_TAGS.split()) + r")\b[^>]*>"
+    "i", "b", "u", "s", "em", "strong", "font", "c", "v", "lang",
+    "ruby", "rt", "rp", "p", "body", "sami", "head", "title", "style", "sync",
+)
+TAG = r"(?i)</?(?:" + "|".join(KNOWN_TAGS) + r")\b[^>]*>"
 VOICE = r"(?i)<v(?:\.[^\s>]+)*\s+([^>]+)>"
 SPACE = r"(?U)[\s\x{00A0}]+"
 BASIC_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")]

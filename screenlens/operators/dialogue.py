@@ -194,7 +194,7 @@ def transcript_segments(cues: DataFrame) -> DataFrame:
 
 
 def transcript_text(cues: DataFrame, key: str = "video_id", order: str = "seg_no") -> DataFrame:
-    """Cue texts joined by one space in order, as (key, part, text)."""
+    """Cue texts joined by one space in order, as (key, text)."""
     return joined_text(cues, [key], [order], F.col("text"), " ")
 
 

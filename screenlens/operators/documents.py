@@ -1,7 +1,6 @@
 """Searchable sections and the documents made of them.
 
-A document is a set of ordered text pieces; ``joined_text`` puts them together part by part, so a
-very long recording never has to fit into one task.
+A document is a set of ordered text pieces; ``joined_text`` puts them together, one row per document.
 """
 
 from __future__ import annotations
@@ -54,7 +53,7 @@ def section_spans(
 def sections(
     screens: DataFrame, hosts: DataFrame, assigned: DataFrame, frames: DataFrame
 ) -> DataFrame:
-    """Sections with their images (one path per line) and their text, as (…, part, images, text).
+    """Sections with their images (one path per line) and their text, as (…, images, text).
     ``frames``: accepted frames with screen, t, frame_no, image."""
     spans = section_spans(screens, hosts, assigned, frames)
     keys = [*RUN, "section"]
@@ -62,16 +61,15 @@ def sections(
         _section_of(frames, hosts), keys, ["screen", "t", "frame_no"], F.col("image"), "\n"
     ).withColumnRenamed("text", "images")
     speech = joined_text(
-        assigned.withColumnRenamed("screen", "section"), keys, ["seg_no"], F.trim("text"), " "
+        assigned.filter(F.trim("text") != "").withColumnRenamed("screen", "section"), keys, ["seg_no"], F.trim("text"), " "
     )
-    parts = pictures.join(speech, [*keys, "part"], "full")
-    return spans.join(parts, keys, "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    return spans.join(pictures, keys, "left").join(speech, keys, "left")
 
 
 def rag_rows(section_rows: DataFrame) -> DataFrame:
     """Screen state and the explanation spoken over it, as rows to search in."""
     return section_rows.filter("images IS NOT NULL AND trim(text) <> ''").select(
-        *RUN, "section", "part", "start", "end", "images", F.trim("text").alias("text")
+        *RUN, "section", "start", "end", "images", F.trim("text").alias("text")
     )
 
 
@@ -87,7 +85,7 @@ def render_context(
     frames: DataFrame,
     costs: DataFrame,
 ) -> DataFrame:
-    """One Markdown document per run (video_id, run, part, text).
+    """One Markdown document per run (video_id, run, text).
 
     ``titles`` (video_id, run, title, duration), ``costs`` from ``read_budget``.
     """
@@ -125,12 +123,13 @@ def render_context(
         )
 
     none = F.lit(0)
-    first_said = assigned.groupBy(*RUN, F.col("screen").alias("section")).agg(
+    spoken = assigned.filter(F.trim("text") != "")
+    first_said = spoken.groupBy(*RUN, F.col("screen").alias("section")).agg(
         F.min("seg_no").alias("_first")
     )
-    speech = assigned.withColumnRenamed("screen", "section").join(first_said, [*RUN, "section"])
+    speech = spoken.withColumnRenamed("screen", "section").join(first_said, [*RUN, "section"])
     gap = F.when(F.col("seg_no") == F.col("_first"), F.lit("")).otherwise(F.lit(" "))
-    silent = F.when(F.col("n_segments") == 0, F.lit(NO_SPEECH + "\n\n")).otherwise(F.lit("\n\n"))
+    silent = F.when(F.col("_first").isNull(), F.lit(NO_SPEECH + "\n\n")).otherwise(F.lit("\n\n"))
     pieces = [
         head,
         piece(spans, 0, none, none, F.concat(F.lit("## "), _seconds(F.col("start")), F.lit("-"), _seconds(F.col("end")), F.lit("s\n"))),
@@ -144,13 +143,13 @@ def render_context(
             speech.join(spans.select(*RUN, "section"), [*RUN, "section"], "left_semi"),
             3, F.col("seg_no"), none, F.concat(gap, F.trim("text")),
         ),
-        piece(spans, 4, none, none, silent),
+        piece(spans.join(first_said, [*RUN, "section"], "left"), 4, none, none, silent),
     ]
     return joined_text(union_all(pieces), RUN, ["section", "slot", "a", "b"], F.col("piece"), "")
 
 
 def render_index(titles: DataFrame, index: DataFrame) -> DataFrame:
-    """One Markdown index per video over its runs (video_id, part, text). ``titles`` (video_id,
+    """One Markdown index per video over its runs (video_id, text). ``titles`` (video_id,
     title, duration), ``index`` from ``merge_run_index``."""
     counts = index.groupBy("video_id").agg(F.count("*").alias("n_runs"))
     overlap = F.when(
@@ -182,7 +181,7 @@ def render_index(titles: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def srt_documents(cues: DataFrame, key: str = "video_id", order: str = "seg_no") -> DataFrame:
-    """Cues as SRT text (key, part, text), numbered from 1 in order. Parts are joined by a newline."""
+    """Cues as SRT text (key, text), numbered from 1 in order."""
     numbered = number_rows(cues, [key], [order], "_no", first=1)
     block = F.concat(
         F.col("_no").cast("string"), F.lit("\n"), srt_time(F.col("start")), F.lit(" --> "),
@@ -206,7 +205,7 @@ def _json_list(
 
 def json_list_documents(df: DataFrame, field: str, order: str, value: Column) -> DataFrame:
     """One JSON object per video with a single list, such as ``segments`` or ``flags``
-    (video_id, part, text)."""
+    (video_id, text)."""
     keys = ["video_id"]
     videos = df.select(*keys).distinct()
     opening = F.lit('{"' + field + '":[')
@@ -219,31 +218,74 @@ def json_list_documents(df: DataFrame, field: str, order: str, value: Column) ->
     return joined_text(filled, keys, ["slot", "o0"], F.col("piece"), "")
 
 
+_ALL_KEYS = {"ignoreNullFields": "false"}
+
+
 def export_metadata(
-    titles: DataFrame, screens: DataFrame, frames: DataFrame, segments: DataFrame, schema: str
+    titles: DataFrame,
+    screens: DataFrame,
+    frames: DataFrame,
+    segments: DataFrame,
+    assigned: DataFrame,
+    costs: DataFrame,
+    requested: DataFrame,
+    schema: str,
 ) -> DataFrame:
-    """Audit document per run as JSON text (video_id, run, part, text): source, screens, accepted
-    frames, rejected ones with their reason, and the transcript. Parts join without separator.
+    """Audit document per run as JSON text (video_id, run, text); every key is always present.
 
-    ``frames``: every gated candidate with screen and status; ``segments`` keyed by run.
+    ``titles``: video_id, run, title, duration, fps, lo, hi, backend, model, params (a struct).
+    ``frames``: every gated candidate with screen, status and yavg; accepted ones are listed with
+    their screen's interval and dialogue (``assigned``), rejected ones with their reason.
+    ``segments`` keyed by run, ``costs`` from ``read_budget``, ``requested`` (video_id, run,
+    request_no, time) on-demand frames.
     """
-    def literal(slot: int, text: Column) -> DataFrame:
-        return titles.select(*RUN, F.lit(slot).alias("slot"), text.alias("piece"))
+    spoken = F.struct("seg_no", "start", "end", "text")
+    said = assigned.groupBy(*RUN, "screen").agg(F.array_sort(F.collect_list(spoken)).alias("_said"))
+    text = joined_text(segments, RUN, ["seg_no"], F.col("text"), " ").withColumnRenamed("text", "_text")
+    whole = titles.join(costs.select(*RUN, "n_images", "tokens", "long_edge"), RUN, "left").join(text, RUN, "left")
 
-    source = F.to_json(F.struct(F.lit(schema).alias("schema"), "title", exact_round(F.col("duration"), 2).alias("duration")))
-    opening = F.concat(F.lit('{"source":'), source, F.lit(',"screens":['))
-    frame = F.struct(exact_round(F.col("t"), 2).alias("time"), "image", "sources", "screen")
-    refused = F.struct(exact_round(F.col("t"), 2).alias("time"), "image", "sources", "screen", "reject_reason")
+    def literal(slot: int, piece: Column) -> DataFrame:
+        return whole.select(*RUN, F.lit(slot).alias("slot"), piece.alias("piece"))
+
+    def two(value: Column) -> Column:
+        return exact_round(value, 2)
+
+    zero = F.lit(0).cast("long")
+    opening = F.to_json(
+        F.struct(
+            F.lit(schema).alias("schema"),
+            F.struct(F.col("title").alias("file"), two(F.col("duration")).alias("duration"), "fps").alias("source"),
+            F.array(two(F.coalesce("lo", F.lit(0.0))), two(F.coalesce("hi", "duration"))).alias("window"),
+            F.struct(
+                F.coalesce("n_images", zero).alias("count"), F.coalesce("tokens", zero).alias("tokens"), "long_edge"
+            ).alias("images"),
+        ),
+        _ALL_KEYS,
+    )
+    heard = F.struct("backend", "model", F.coalesce("_text", F.lit("")).alias("text"))
+    placed = frames.join(screens.select(*RUN, "screen", "start", "end"), [*RUN, "screen"], "left").join(
+        said, [*RUN, "screen"], "left"
+    )
+    lines = F.transform("_said", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+    shown = [two(F.col("t")).alias("time"), "image", "sources", "screen"]
+    accepted = F.struct(
+        *shown,
+        F.array(two(F.col("start")), two(F.col("end"))).alias("interval"),
+        F.coalesce(lines, F.array().cast("array<struct<start:double,end:double,text:string>>")).alias("dialogue"),
+        "yavg",
+    )
     pieces = [
-        literal(0, opening),
-        _json_list(screens, 1, ["screen"], F.struct(exact_round(F.col("start"), 2).alias("start"), exact_round(F.col("end"), 2).alias("end"))),
+        literal(0, F.concat(F.regexp_replace(opening, r"\}$", ""), F.lit(',"screens":['))),
+        _json_list(screens, 1, ["screen"], F.array(two(F.col("start")), two(F.col("end")))),
         literal(2, F.lit('],"frames":[')),
-        _json_list(frames.filter("status = 'accepted'"), 3, ["t", "ord"], frame),
+        _json_list(placed.filter("status = 'accepted'"), 3, ["t", "ord"], accepted),
         literal(4, F.lit('],"rejected":[')),
-        _json_list(frames.filter("status = 'rejected'"), 5, ["t", "ord"], refused),
-        literal(6, F.lit('],"segments":[')),
-        _json_list(segments, 7, ["seg_no"], F.struct("start", "end", "text")),
-        literal(8, F.lit("]}")),
+        _json_list(frames.filter("status = 'rejected'"), 5, ["t", "ord"], F.struct(*shown, "reject_reason")),
+        literal(6, F.lit('],"requested":[')),
+        _json_list(requested, 7, ["request_no"], F.struct("request_no", two(F.col("time")).alias("time"))),
+        literal(8, F.concat(F.lit('],"transcript":'), F.regexp_replace(F.to_json(heard, _ALL_KEYS), r"\}$", ""), F.lit(',"segments":['))),
+        _json_list(segments, 9, ["seg_no"], F.struct("start", "end", "text")),
+        literal(10, F.concat(F.lit(']},"transcript_file":"transcript.json","params":'), F.to_json("params", _ALL_KEYS), F.lit("}"))),
     ]
     everything = union_all(pieces)
     filled = everything.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("o0", "o1")})

@@ -58,16 +58,8 @@ def stale_stages(stages: DataFrame, videos: DataFrame) -> DataFrame:
 
 
 def context_fingerprint(documents: DataFrame, keys: list[str] = RUN) -> DataFrame:
-    """sha256 of each document's text. A document that spans several parts is identified by the
-    hash over its parts' hashes."""
-    hashed = documents.select(*keys, "part", F.sha2("text", 256).alias("_sha"))
-    order = F.array_sort(F.collect_list(F.struct("part", "_sha")))
-    packed = hashed.groupBy(*keys).agg(F.count("*").alias("_n"), order.alias("_parts"))
-    joined = F.array_join(F.transform("_parts", lambda p: p["_sha"]), "")
-    return packed.select(
-        *keys,
-        F.when(F.col("_n") == 1, F.col("_parts")[0]["_sha"]).otherwise(F.sha2(joined, 256)).alias("context_sha256"),
-    )
+    """sha256 of each document's text."""
+    return documents.select(*keys, F.sha2("text", 256).alias("context_sha256"))
 
 
 def review_status(runs: DataFrame, reviews: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -116,7 +108,7 @@ def review_body_check(body: Column, max_bytes: int = P.REVIEW_MAX_BYTES) -> Colu
 
 def pending_head(statuses: DataFrame, index: DataFrame) -> DataFrame:
     """Per video the first run in index order without a current review, and all such runs as
-    (video_id, run, n_pending, part, pending)."""
+    (video_id, run, n_pending, pending)."""
     waiting = index.select(*RUN, "position").join(
         statuses.filter("state <> 'current'").select(*RUN, "state"), RUN
     )
@@ -125,17 +117,16 @@ def pending_head(statuses: DataFrame, index: DataFrame) -> DataFrame:
     )
     names = joined_text(waiting, VIDEO, ["position"], F.col("run"), ",")
     return head.join(names, "video_id").select(
-        "video_id", "_h.run", "_h.state", "n_pending", "part", F.col("text").alias("pending")
+        "video_id", "_h.run", "_h.state", "n_pending", F.col("text").alias("pending")
     )
 
 
 def next_action(videos: DataFrame, due: DataFrame, pending: DataFrame, costs: DataFrame) -> DataFrame:
     """run (a stage is due), read (a run waits for its review; with its cost) or done."""
-    head = pending.filter("part = 0").drop("part")
     joined = (
         videos.select("video_id")
         .join(due, "video_id", "left")
-        .join(head, "video_id", "left")
+        .join(pending, "video_id", "left")
         .join(costs.select(*RUN, "n_images", "tokens"), RUN, "left")
     )
     action = (
@@ -207,8 +198,8 @@ def request_ledger_upsert(ledger: DataFrame, asked: DataFrame) -> DataFrame:
 def clean_survey(files: DataFrame) -> DataFrame:
     """Bytes that each clean-up level would free (levels include the ones before them) and the
     total. ``files`` (video_id, path, length); only the two classes below are ever freed."""
-    level = F.when(F.col("path").rlike(r"(^|/)video\.mkv$"), F.lit(1)).when(
-        F.col("path").rlike(r"(^|/)runs/[^/]+/frames/"), F.lit(2)
+    level = F.when(F.col("path").rlike(r"^video\.mkv$"), F.lit(1)).when(
+        F.col("path").rlike(r"^runs/[^/]+/frames/"), F.lit(2)
     )
     zero = F.lit(0).cast("long")
     return files.groupBy("video_id").agg(

@@ -14,10 +14,11 @@ from screenlens.functions.lang import (
     language_mismatch,
     language_tag,
 )
-from screenlens.operators.ordered import joined_text, number_rows
+from screenlens.operators.ordered import joined_text, number_rows, union_all
 
 VIDEO = ["video_id"]
-RULE = "language match > undeclared > other, sidecar > embedded, forced last, default, format, track, name"
+FILE = ["video_id", "path"]
+RULE = "by language, then files beside the video, unforced, default, format, track number and name"
 
 
 def subtitle_format(name: Column) -> Column:
@@ -142,8 +143,9 @@ def rank_subtitles(candidates: DataFrame, target: str | None) -> DataFrame:
 
 def choose_subtitle(ranked: DataFrame, quality: DataFrame, videos: DataFrame) -> DataFrame:
     """Per video the best-ranked candidate whose cues pass, and how many better ones failed. Videos
-    without one fall to speech recognition (``whisper``) or, without audio, to ``none``."""
-    judged = ranked.join(quality.select("path", "ok", "reason"), "path", "left")
+    without one fall to speech recognition (``whisper``) or, without audio, to ``none``.
+    ``quality`` is keyed by video and path: embedded tracks of all videos have the same paths."""
+    judged = ranked.join(quality.select(*FILE, "ok", "reason"), FILE, "left")
     taken = judged.filter("ok").groupBy("video_id").agg(
         F.min_by(F.struct("kind", "path", "format", "language", "label", "track", "rank"), "rank").alias("_c"),
     )
@@ -173,7 +175,7 @@ def rejection_notes(ranked: DataFrame, quality: DataFrame, chosen: DataFrame) ->
     """One note per better-ranked candidate that failed."""
     limits = chosen.select("video_id", F.col("rank").alias("_taken"))
     return (
-        ranked.join(quality.select("path", "reason"), "path", "left")
+        ranked.join(quality.select(*FILE, "reason"), FILE, "left")
         .join(limits, "video_id")
         .filter(F.col("_taken").isNull() | (F.col("rank") < F.col("_taken")))
         .select("video_id", "rank", F.concat_ws(": ", "label", "reason").alias("note"))
@@ -182,7 +184,7 @@ def rejection_notes(ranked: DataFrame, quality: DataFrame, chosen: DataFrame) ->
 
 def choice_notes(ranked: DataFrame, chosen: DataFrame) -> DataFrame:
     """Why a candidate was taken when there were several, and a warning whenever its name says
-    forced. (video_id, note_no, part, note)"""
+    forced. (video_id, note_no, note)"""
     taken = chosen.filter("rank IS NOT NULL").select(
         "video_id", F.col("rank").alias("_taken"), F.col("label").alias("_label"), "n_candidates"
     )
@@ -197,13 +199,11 @@ def choice_notes(ranked: DataFrame, chosen: DataFrame) -> DataFrame:
     several = losers.join(taken, "video_id").select(
         "video_id",
         F.lit(0).alias("note_no"),
-        "part",
-        F.concat(F.when(F.col("part") == 0, lead).otherwise(""), "text").alias("note"),
+        F.concat(lead, "text").alias("note"),
     )
     forced = joined.filter("rank = _taken AND forced").select(
         "video_id",
         F.lit(1).alias("note_no"),
-        F.lit(0).cast("long").alias("part"),
         F.concat("label", F.lit(": the name says forced, it may hold only part of the dialogue")).alias("note"),
     )
     return several.unionByName(forced)
@@ -212,7 +212,7 @@ def choice_notes(ranked: DataFrame, chosen: DataFrame) -> DataFrame:
 def explicit_waiver(named: DataFrame, quality: DataFrame) -> DataFrame:
     """A file the user named is used whatever its quality (the reason becomes a note) unless it has
     no cue at all. ``named`` (video_id, path)."""
-    judged = named.join(quality.select("path", "ok", "reason", "n_cues"), "path", "left")
+    judged = named.join(quality.select(*FILE, "ok", "reason", "n_cues"), FILE, "left")
     empty = F.coalesce("n_cues", F.lit(0)) == 0
     return judged.select(
         "video_id",
@@ -224,13 +224,19 @@ def explicit_waiver(named: DataFrame, quality: DataFrame) -> DataFrame:
     )
 
 
-def transcript_source(chosen: DataFrame, quality: DataFrame, target: str | None, requested: bool) -> DataFrame:
+def transcript_source(
+    chosen: DataFrame, quality: DataFrame, target: str | None, requested: bool, notes: list[DataFrame] | None = None
+) -> DataFrame:
     """Audit record of where a transcript came from; every field is always present and the kind is
-    one of the known ones (others carry ``error``)."""
+    one of the known ones (others carry ``error``).
+
+    ``span`` is where its cues lie. ``notes`` are texts in order: of each given table (video_id, a
+    number, note) in turn, such as choice and rejection notes or those on SAMI files.
+    """
     want = lang_normalize(F.lit(target))
     joined = chosen.join(
-        quality.select("path", "n_cues", "coverage", "span_start", "span_end"), "path", "left"
-    )
+        quality.select(*FILE, "n_cues", "coverage", "span_start", "span_end"), FILE, "left"
+    ).join(_collected(notes or [], chosen), "video_id", "left")
     language = lang_normalize(F.col("language"))
     return joined.select(
         "video_id",
@@ -246,7 +252,19 @@ def transcript_source(chosen: DataFrame, quality: DataFrame, target: str | None,
         language_mismatch(language, want).alias("language_mismatch"),
         F.coalesce("n_cues", F.lit(0)).cast("long").alias("n_cues"),
         exact_round(F.coalesce("coverage", F.lit(0.0)), 4).alias("coverage"),
-        exact_round(F.col("span_start"), 2).alias("span_start"),
-        exact_round(F.col("span_end"), 2).alias("span_end"),
+        F.struct(
+            exact_round(F.col("span_start"), 2).alias("start"), exact_round(F.col("span_end"), 2).alias("end")
+        ).alias("span"),
+        F.coalesce("notes", F.array().cast("array<string>")).alias("notes"),
         F.when(~F.col("kind").isin(P.SOURCE_KINDS), F.lit("unknown kind")).alias("error"),
     )
+
+
+def _collected(notes: list[DataFrame], videos: DataFrame) -> DataFrame:
+    """(video_id, notes): the texts of the given tables, one after the other, by their numbers."""
+    numbered = [videos.select("video_id", F.lit(-1).alias("_of"), F.lit(0).cast("long").alias("_no"), F.lit(None).cast("string").alias("note"))]
+    for i, df in enumerate(notes):
+        number = next(c for c in df.columns if c not in ("video_id", "note"))
+        numbered.append(df.select("video_id", F.lit(i).alias("_of"), F.col(number).cast("long").alias("_no"), "note"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("note").isNotNull(), F.struct("_of", "_no", "note"))))
+    return union_all(numbered).groupBy("video_id").agg(F.transform(ordered, lambda n: n["note"]).alias("notes"))

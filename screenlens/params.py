@@ -48,7 +48,7 @@ DISPOSITION_HEARING_IMPAIRED = 0x80
 READ_LONG_EDGE = 768
 TOKEN_LONG_EDGE = 1568
 PIXELS_PER_TOKEN = 750
-TOKEN_RULE = "if the long edge exceeds 1568px shrink it to 1568px, then (w*h)/750"
+TOKEN_RULE = "width x height / 750 tokens once the longer side is at most 1568 px"
 DARK_LUMA = 5.0
 
 # Ground truth

@@ -96,18 +96,21 @@ class Corpus:
         )
 
     @cached_property
-    def changes(self) -> DataFrame:
-        """Screen-change events of a conversation: some of the same-numbered user's events, squeezed
-        into its duration."""
-        picked = self.timed_events.filter("event_type IN ('purchase', 'error')")
-        squeezed = picked.join(self.videos, "video_id").select(
-            "video_id",
-            "event_id",
-            (F.col("t") / 720.0 * F.col("duration")).alias("t"),
-            "value",
+    def squeezed_events(self) -> DataFrame:
+        """Every event as a moment of a conversation: users are dealt to conversations by their
+        number, and their hours are squeezed into the duration."""
+        dealt = (F.col("video_id").cast("long") % F.lit(self.videos.count())).cast("string")
+        return (
+            self.timed_events.withColumn("video_id", dealt)
+            .join(self.videos.select("video_id", "duration"), "video_id")
+            .withColumn("t", F.col("t") / 720.0 * F.col("duration"))
+            .drop("duration")
         )
-        timed = squeezed.select(
-            "video_id",
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        """Screen-change events of a conversation: all its events but clicks, which are points."""
+        timed = self.squeezed_events.filter("event_type <> 'click'").select(            "video_id",
             "event_id",
             "t",
             (F.col("t") - 0.2).alias("before_t"),
@@ -116,6 +119,12 @@ class Corpus:
         numbered = number_rows(timed, ["video_id"], ["t", "event_id"], "event_no")
         return materialize(numbered.drop("event_id"), "changes")
 
+    @cached_property
+    def points(self) -> DataFrame:
+        """Moments asked about: the clicks."""
+        clicks = self.squeezed_events.filter("event_type = 'click'")
+        return clicks.select("video_id", "event_id", F.col("t").alias("at"))
+
     @cached_property
     def runs(self) -> DataFrame:
         """The whole video and its stretch from 5 to 20 seconds."""

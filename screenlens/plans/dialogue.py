@@ -134,12 +134,19 @@ def render_index(c):
 
 
 def export_metadata_json(c):
+    titles = c.runs.join(c.videos.select("video_id", "fps"), "video_id").select(
+        "*",
+        F.lit("subtitle").alias("backend"),
+        F.lit(None).cast("string").alias("model"),
+        F.struct(F.lit(0.5).alias("merge_window"), F.lit(15).alias("fps_read")).alias("params"),
+    )
+    frames = c.frames_on_screens.withColumn("yavg", F.col("seq") + 16.5)
+    requested = c.points.select(
+        "video_id", F.lit("full").alias("run"), F.col("event_id").alias("request_no"), F.col("at").alias("time")
+    )
+    costs = budget.read_budget(B.images(c.frames_on_screens))
     return documents.export_metadata(
-        c.runs,
-        c.screens,
-        c.frames_on_screens,
-        c.scoped_segments,
-        "screenlens/metadata@1",
+        titles, c.screens, frames, c.scoped_segments, c.assigned, costs, requested, "screenlens/metadata@2"
     )
 
 
@@ -147,21 +154,13 @@ def read_budget(c):
     return budget.read_budget(B.images(c.frames_on_screens))
 
 
-def _points(c):
-    """Moments asked about: some of the user's clicks, squeezed into the conversation."""
-    clicks = c.timed_events.filter("event_type = 'click'")
-    return clicks.join(c.videos.select("video_id", "duration"), "video_id").select(
-        "video_id", "event_id", (F.col("t") / 720.0 * F.col("duration")).alias("at")
-    )
-
-
 def segment_at(c):
-    found = dialogue.segment_at(_points(c), c.segments, "at", ["event_id"])
+    found = dialogue.segment_at(c.points, c.segments, "at", ["event_id"])
     return found.select("video_id", "event_id", "seg_no")
 
 
 def segment_index_at(c):
-    return dialogue.segment_index_at(_points(c), c.segments, "at")
+    return dialogue.segment_index_at(c.points, c.segments, "at")
 
 
 def request_holder(c):
@@ -171,7 +170,7 @@ def request_holder(c):
         F.round("end", 2).alias("interval_end"),
     )
     held = frames.join(spans, ["video_id", "run", "screen"])
-    requests = _points(c).select(
+    requests = c.points.select(
         "video_id", F.lit("full").alias("run"), F.col("event_id").alias("request_no"), "at",
         (F.col("at") + 0.3).alias("time"),
     )
@@ -228,8 +227,9 @@ vid AS (SELECT conv_id::VARCHAR AS video_id, (max(turn) + 1) * 5.0::DOUBLE + 3 A
                'conversation ' || conv_id AS title, conv_id % 3 <> 0 AS has_audio
         FROM conversations GROUP BY conv_id)"""
 CHANGES = TIMED + "," + SEGMENTS + """,
-sq AS (SELECT t.video_id, event_id, t.t / 720 * duration AS t, value FROM timed t JOIN vid USING (video_id)
-       WHERE event_type IN ('purchase', 'error')),
+sqz AS (SELECT v.video_id, event_id, event_type, t.t / 720 * duration AS t, value
+        FROM timed t JOIN vid v ON v.video_id = (t.video_id::BIGINT % (SELECT count(*) FROM vid))::VARCHAR),
+sq AS (SELECT * FROM sqz WHERE event_type <> 'click'),
 chg AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) - 1 AS event_no, t,
                t - 0.2::DOUBLE AS before_t, t + value % 1 AS after_t FROM sq),
 runs AS (SELECT video_id, 'full' AS run, 0.0::DOUBLE AS lo, duration AS hi, duration, title FROM vid
@@ -287,18 +287,18 @@ spn AS (SELECT p.video_id, p.run, coalesce(h.host, p.screen) AS section, min(p.s
 img AS (SELECT video_id, run, section, count(*) AS n_images, string_agg(image, chr(10) ORDER BY screen, t, seq) AS images,
                string_agg('![](read/' || replace(image, 'frames/', '') || ')' || chr(10), '' ORDER BY screen, seq) AS links
         FROM acc GROUP BY 1, 2, 3),
-txt AS (SELECT video_id, run, screen AS section, count(*) AS n_segments, string_agg(trim(text), ' ' ORDER BY seg_no) AS text
+txt AS (SELECT video_id, run, screen AS section, count(*) AS n_segments, string_agg(trim(text), ' ' ORDER BY seg_no) FILTER (trim(text) <> '') AS text
         FROM asg GROUP BY 1, 2, 3),
-secs AS (SELECT s.*, 0 AS part, coalesce(n_images, 0) AS n_images, coalesce(n_segments, 0) AS n_segments, images, links, text
+secs AS (SELECT s.*, coalesce(n_images, 0) AS n_images, coalesce(n_segments, 0) AS n_segments, images, links, text
          FROM spn s LEFT JOIN img USING (video_id, run, section) LEFT JOIN txt USING (video_id, run, section)
          WHERE coalesce(n_images, 0) > 0 OR text <> '')"""
 SIZES = """,
 rd AS (SELECT *, CASE seq % 3 WHEN 0 THEN 768 WHEN 1 THEN 768 ELSE 640 END AS w,
               CASE seq % 3 WHEN 0 THEN 432 WHEN 1 THEN 614 ELSE 480 END AS h FROM fs WHERE status = 'accepted'),
 bud AS (SELECT video_id, run, count(*) AS n_images, sum(w * h // 750)::BIGINT AS tokens FROM rd GROUP BY 1, 2)"""
-RULE = "if the long edge exceeds 1568px shrink it to 1568px, then (w*h)/750"
+RULE = "width x height / 750 tokens once the longer side is at most 1568 px"
 POINTS = """,
-pts AS (SELECT t.video_id, t.event_id, t.t / 720 * duration AS at FROM timed t JOIN vid USING (video_id) WHERE event_type = 'click')"""
+pts AS (SELECT video_id, event_id, t AS at FROM sqz WHERE event_type = 'click')"""
 SEGMENT_AT = """,
 sa AS (SELECT p.video_id, p.event_id, p.at,
               coalesce(min(s.seg_no) FILTER (s.start <= p.at AND p.at <= s."end"),
@@ -351,15 +351,15 @@ SELECT h.video_id, h.event_id AS request_no, coalesce(iv.a, 0) AS interval_start
 FROM hl h JOIN vid v USING (video_id) LEFT JOIN iv ON iv.video_id = h.video_id AND iv.seq = h.seq
 JOIN sa ON sa.video_id = h.video_id AND sa.event_id = h.event_id LEFT JOIN seg s ON s.video_id = sa.video_id AND s.seg_no = sa.seg_no""",
     "hosts": f"WITH {SCREENS}{ASSIGNED}{HOSTS} SELECT video_id, run, screen, host FROM hst",
-    "sections": f"""WITH {SHOWN} SELECT video_id, run, section, start, "end", n_screens, n_images, n_segments, part, images, text FROM secs""",
-    "rag_rows": f"""WITH {SHOWN} SELECT video_id, run, section, part, start, "end", images, trim(text) AS text FROM secs
+    "sections": f"""WITH {SHOWN} SELECT video_id, run, section, start, "end", n_screens, n_images, n_segments, images, text FROM secs""",
+    "rag_rows": f"""WITH {SHOWN} SELECT video_id, run, section, start, "end", images, trim(text) AS text FROM secs
 WHERE images IS NOT NULL AND trim(text) <> ''""",
     "render_context": f"""WITH {SHOWN}{SIZES},
 ns AS (SELECT video_id, run, count(*) AS n FROM scr GROUP BY 1, 2),
 body AS (SELECT video_id, run, string_agg('## ' || round(start, 2) || '-' || round("end", 2) || 's' || chr(10)
            || coalesce(links, '(no image: the screen was empty)' || chr(10)) || coalesce(text, '(no speech)') || chr(10) || chr(10), '' ORDER BY section) AS b
          FROM secs GROUP BY 1, 2)
-SELECT r.video_id, r.run, 0 AS part, '# ' || r.title || chr(10) || chr(10) || ns.n || ' screens, ' || coalesce(bud.n_images, 0) || ' images, '
+SELECT r.video_id, r.run, '# ' || r.title || chr(10) || chr(10) || ns.n || ' screens, ' || coalesce(bud.n_images, 0) || ' images, '
   || r.duration::BIGINT || ' s' || chr(10) || chr(10) || 'Images are reading copies; opening all ' || coalesce(bud.n_images, 0) || ' costs about '
   || coalesce(bud.tokens, 0) || ' tokens (' || CASE WHEN bud.tokens IS NULL THEN '' ELSE '{RULE}' END || '). Longer screens hold more: open those first.'
   || chr(10) || chr(10) || coalesce(b, '') AS text
@@ -370,12 +370,30 @@ b AS (SELECT video_id, run, count(*) FILTER (status = 'accepted') AS n_frames FR
 l AS (SELECT r.video_id, string_agg('| ' || r.run || ' | ' || CASE r.run WHEN 'full' THEN 'whole video' ELSE printf('%.1f-%.1f s', lo, hi) END || ' | '
         || n_screens || ' | ' || coalesce(n_frames, 0) || ' | `runs/' || r.run || '/context.md` |' || chr(10), '' ORDER BY r.run = 'full' DESC) AS rows_, count(*) AS n
       FROM runs r JOIN a USING (video_id, run) LEFT JOIN b USING (video_id, run) GROUP BY 1)
-SELECT v.video_id, 0 AS part, '# ' || title || chr(10) || chr(10) || duration::BIGINT || ' s, ' || n || ' runs.' || chr(10) || chr(10)
+SELECT v.video_id, '# ' || title || chr(10) || chr(10) || duration::BIGINT || ' s, ' || n || ' runs.' || chr(10) || chr(10)
   || 'Runs are independent; where their ranges overlap they may divide the screens differently.' || chr(10) || chr(10)
   || '| run | range | screens | images | file |' || chr(10) || '|---|---|---|---|---|' || chr(10) || rows_ AS text
 FROM vid v JOIN l USING (video_id)""",
+    "export_metadata_json": f"""WITH {SCREENS}{CANDIDATES}{ASSIGNED}{PLACED}{SIZES}{POINTS},
+dl AS (SELECT video_id, run, screen, string_agg('{{"start":' || start || ',"end":' || "end" || ',"text":' || to_json(text) || '}}', ',' ORDER BY seg_no) AS said FROM asg GROUP BY 1, 2, 3),
+fj AS (SELECT f.*, '{{"time":' || round_even(f.t, 2) || ',"image":' || to_json(image) || ',"sources":["' || sources || '"],"screen":' || f.screen AS head,
+              ',"interval":[' || round_even(p.start, 2) || ',' || round_even(p."end", 2) || '],"dialogue":[' || coalesce(said, '') || '],"yavg":' || (seq + 16.5::DOUBLE) || '}}' AS tail
+       FROM fs f LEFT JOIN scr p ON p.video_id = f.video_id AND p.run = f.run AND p.screen = f.screen
+       LEFT JOIN dl ON dl.video_id = f.video_id AND dl.run = f.run AND dl.screen = f.screen),
+j1 AS (SELECT video_id, run, string_agg('[' || round_even(start, 2) || ',' || round_even("end", 2) || ']', ',' ORDER BY screen) AS x FROM scr GROUP BY 1, 2),
+j2 AS (SELECT video_id, run, string_agg(head || tail, ',' ORDER BY t, ord) FILTER (status = 'accepted') AS x,
+              string_agg(head || ',"reject_reason":' || to_json(reject_reason) || '}}', ',' ORDER BY t, ord) FILTER (status = 'rejected') AS y FROM fj GROUP BY 1, 2),
+j3 AS (SELECT video_id, 'full' AS run, string_agg('{{"request_no":' || event_id || ',"time":' || round_even("at", 2) || '}}', ',' ORDER BY event_id) AS x FROM pts GROUP BY 1),
+j4 AS (SELECT video_id, run, string_agg('{{"start":' || start || ',"end":' || "end" || ',"text":' || to_json(text) || '}}', ',' ORDER BY seg_no) AS x,
+              string_agg(text, ' ' ORDER BY seg_no) AS y FROM sc GROUP BY 1, 2)
+SELECT r.video_id, r.run, '{{"schema":"screenlens/metadata@2","source":{{"file":' || to_json(title) || ',"duration":' || round_even(duration, 2) || ',"fps":15.0}},"window":['
+  || round_even(lo, 2) || ',' || round_even(hi, 2) || '],"images":{{"count":' || coalesce(n_images, 0) || ',"tokens":' || coalesce(tokens, 0)
+  || ',"long_edge":' || CASE WHEN tokens IS NULL THEN 'null' ELSE '768' END || '}},"screens":[' || coalesce(j1.x, '') || '],"frames":[' || coalesce(j2.x, '') || '],"rejected":[' || coalesce(j2.y, '')
+  || '],"requested":[' || coalesce(j3.x, '') || '],"transcript":{{"backend":"subtitle","model":null,"text":' || to_json(coalesce(j4.y, '')) || ',"segments":[' || coalesce(j4.x, '')
+  || ']}},"transcript_file":"transcript.json","params":{{"merge_window":0.5,"fps_read":15}}}}' AS text
+FROM runs r LEFT JOIN bud USING (video_id, run) LEFT JOIN j1 USING (video_id, run) LEFT JOIN j2 USING (video_id, run) LEFT JOIN j3 USING (video_id, run) LEFT JOIN j4 USING (video_id, run)""",
     "read_budget": f"WITH {SCREENS}{CANDIDATES}{PLACED}{SIZES} SELECT *, 768 AS long_edge, '{RULE}' AS rule FROM bud",
-    "transcript_text": f"WITH {SEGMENTS} SELECT video_id, 0 AS part, string_agg(text, ' ' ORDER BY seg_no) AS text FROM seg GROUP BY 1",
+    "transcript_text": f"WITH {SEGMENTS} SELECT video_id, string_agg(text, ' ' ORDER BY seg_no) AS text FROM seg GROUP BY 1",
     "word_density": f"""WITH {SEGMENTS}, w AS (SELECT video_id, start, unnest(string_split(text, ' ')) AS word FROM seg)
 SELECT video_id, floor(start / 10)::BIGINT AS bin, count(*) AS n_words, floor(start / 10) * 10 AS bin_start FROM w GROUP BY 1, 2, 4""",
 }

@@ -47,9 +47,10 @@ def distinct_ranges(c):
     return screens.distinct_ranges(ranges)
 
 
-def _index(c, status):
+def _index(c, first):
+    """Runs recorded before (finished orders) and now (all others)."""
     lo = F.when(F.col("o_orderkey") % 4 != 0, (F.col("o_orderkey") % 4) * 10.0)
-    entries = _orders(c).filter(F.col("o_orderstatus") == status).select(
+    entries = _orders(c).filter((F.col("o_orderstatus") == "F") == F.lit(first)).select(
         F.col("o_custkey").cast("string").alias("video_id"),
         screens.run_name(lo, lo + 50).alias("run"),
         lo.alias("lo"),
@@ -68,11 +69,11 @@ def _live(c):
 
 
 def merge_run_index(c):
-    return screens.merge_run_index(_index(c, "F"), _index(c, "O"), _live(c))
+    return screens.merge_run_index(_index(c, True), _index(c, False), _live(c))
 
 
 def live_runs(c):
-    return screens.live_runs(_index(c, "F"), _live(c))
+    return screens.live_runs(_index(c, True), _live(c))
 
 
 def request_ledger_upsert(c):
@@ -87,7 +88,7 @@ def request_ledger_upsert(c):
     ledger = rows.filter("o_orderstatus = 'F'").groupBy("video_id", "run", "at", "reason").agg(
         F.min("o_orderkey").alias("request_no")
     )
-    asked = rows.filter("o_orderstatus = 'O'").select(
+    asked = rows.filter("o_orderstatus <> 'F'").select(
         "video_id", "run", "at", "reason", F.col("o_orderkey").alias("request_no")
     )
     return lineage.request_ledger_upsert(ledger, asked)
@@ -178,7 +179,6 @@ def _contexts(c):
         F.floor(F.col("doc_id") / 3).cast("string").alias("video_id"),
         F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string")).alias("run"),
         (F.col("doc_id") % 3).alias("position"),
-        F.lit(0).cast("long").alias("part"),
         "text",
     )
 
@@ -271,13 +271,13 @@ ix AS (SELECT o_custkey::VARCHAR AS video_id, CASE WHEN o_orderkey % 4 <> 0 THEN
          CASE WHEN lo IS NULL THEN 'full' ELSE replace(printf('%07.1f-%07.1f', lo, hi), '.', '_') END AS run,
          o_orderstatus AS st, o_orderkey AS k, o_orderpriority AS pr FROM orders),
 xa AS (SELECT video_id, run, lo, hi, max(k) AS n_frames FROM ix WHERE st = 'F' GROUP BY ALL),
-xb AS (SELECT video_id, run, lo, hi, max(k) AS n_frames FROM ix WHERE st = 'O' GROUP BY ALL),
+xb AS (SELECT video_id, run, lo, hi, max(k) AS n_frames FROM ix WHERE st <> 'F' GROUP BY ALL),
 xl AS (SELECT DISTINCT video_id, run FROM ix WHERE pr <> '5-LOW'),
 xm AS (SELECT * FROM xb UNION ALL SELECT * FROM xa WHERE NOT EXISTS (SELECT 1 FROM xb WHERE xb.video_id = xa.video_id AND xb.run = xa.run))"""
 LEDGER = """
 lr AS (SELECT o_custkey::VARCHAR AS video_id, 'full' AS run, o_orderkey % 3 * 1.5::DOUBLE AS "at", o_orderpriority AS reason, o_orderstatus AS st, o_orderkey AS k FROM orders),
 le AS (SELECT video_id, run, "at", reason, min(k) AS request_no FROM lr WHERE st = 'F' GROUP BY ALL),
-la AS (SELECT video_id, run, "at", reason, min(k) AS request_no FROM lr WHERE st = 'O' GROUP BY ALL)"""
+la AS (SELECT video_id, run, "at", reason, min(k) AS request_no FROM lr WHERE st <> 'F' GROUP BY ALL)"""
 DUE = """
 sg AS (SELECT o_custkey::VARCHAR AS video_id, max(o_orderkey) FILTER (o_orderkey % 3 = 0 AND o_orderstatus <> 'P') AS s,
          max(o_orderkey) FILTER (o_orderkey % 3 = 1 AND o_orderstatus <> 'P') AS t, max(o_orderkey) FILTER (o_orderkey % 3 = 2 AND o_orderstatus <> 'P') AS f FROM orders GROUP BY 1),
@@ -327,7 +327,7 @@ FROM (SELECT l_orderkey, (l_linenumber - 1) % 7 AS n, trunc(l_extendedprice)::BI
   '[\s\v\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '') || chr(10) AS body FROM documents""",
     "review_body_check": """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'empty' WHEN strlen(text) + CASE doc_id % 4 WHEN 1 THEN 30 ELSE 0 END > 2000 THEN 'too-large'
   WHEN doc_id % 4 = 1 THEN 'contains-marker' END AS refused FROM documents""",
-    "pending_head": f"WITH {REVIEWS} SELECT video_id, run, state, n_pending, 0 AS part, pending FROM pd",
+    "pending_head": f"WITH {REVIEWS} SELECT video_id, run, state, n_pending, pending FROM pd",
     "next_action": f"""WITH {REVIEWS}, {DUE},
 v AS (SELECT DISTINCT video_id FROM cx),
 j AS (SELECT v.video_id, due, p.run, p.state, p.n_pending, p.pending, c.doc_id % 40 AS n_images, c.doc_id % 40 * 442 AS tokens,

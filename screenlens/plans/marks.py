@@ -47,11 +47,8 @@ def series_at(c):
 
 def timeline_readout(c):
     """Conversation moments against candidates, segments and the user's series."""
-    points = _asked(c).join(c.videos.select("video_id", "duration"), "video_id").select(
-        "video_id", "event_id", (F.col("at") / 720.0 * F.col("duration")).alias("at")
-    )
     shown = c.candidates.filter("run = 'full'").select("video_id", F.col("seq").alias("frame_no"), "t")
-    return lookups.timeline_readout(points, shown, c.segments, c.signals, "at")
+    return lookups.timeline_readout(c.points, shown, c.segments, c.signals, "at")
 
 
 def _marks(c):
@@ -60,9 +57,7 @@ def _marks(c):
         frame=full.filter("status = 'accepted'"),
         rejected=full.filter("status = 'rejected'"),
         screen=c.screens.filter("run = 'full'").withColumnRenamed("start", "t"),
-        flag=c.timed_events.filter("event_type = 'click'")
-        .join(c.videos.select("video_id", "duration"), "video_id")
-        .withColumn("t", F.round(F.col("t") / 720.0 * F.col("duration"), 2)),
+        flag=c.points.withColumn("t", F.round("at", 2)),
         segment=c.segments.withColumnRenamed("start", "t"),
         transition=c.changes,
     )
@@ -158,7 +153,7 @@ MARKS = SCREENS + CANDIDATES + """,
 mk AS (SELECT video_id, 'frame' AS kind, t, 1 AS o FROM gated WHERE run = 'full' AND status = 'accepted'
        UNION ALL SELECT video_id, 'rejected', t, 2 FROM gated WHERE run = 'full' AND status = 'rejected'
        UNION ALL SELECT video_id, 'screen', start, 3 FROM scr WHERE run = 'full'
-       UNION ALL SELECT video_id, 'flag', round(t.t / 720 * duration, 2), 4 FROM timed t JOIN vid USING (video_id) WHERE event_type = 'click'
+       UNION ALL SELECT video_id, 'flag', round(t, 2), 4 FROM sqz WHERE event_type = 'click'
        UNION ALL SELECT video_id, 'transition', t, 6 FROM chg
        UNION ALL SELECT video_id, 'segment', start, 7 FROM seg)"""
 JUMPED = "('frame', 'rejected', 'flag', 'requested')"

@@ -217,7 +217,9 @@ def _candidates(c):
     return _documents(c).select(
         F.floor(doc / 5).cast("string").alias("video_id"),
         F.when(sidecar, "sidecar").otherwise("embedded").alias("kind"),
-        F.concat_ws("/", "source", name).alias("path"),
+        F.when(sidecar, F.concat_ws("/", "source", name))
+        .otherwise(F.format_string("subs/track%d.srt", doc % 6))
+        .alias("path"),  # the tracks of all videos have the same paths
         name.alias("name"),
         form.alias("format"),
         F.when(doc % 5 != 2, F.col("lang")).alias("language"),
@@ -230,11 +232,11 @@ def _candidates(c):
 
 
 def _judged(c):
-    """Quality by path from the labels; unlabelled documents have no verdict."""
-    labelled = _candidates(c).select("doc_id", "path").join(c.table("labels"), "doc_id")
+    """Quality by video and path from the labels; unlabelled documents have no verdict."""
+    labelled = _candidates(c).select("doc_id", "video_id", "path").join(c.table("labels"), "doc_id")
     ok = F.col("quality") == 1
     return labelled.select(
-        "path", ok.alias("ok"), F.when(~ok, "partial").alias("reason"),
+        "video_id", "path", ok.alias("ok"), F.when(~ok, "partial").alias("reason"),
         (F.col("doc_id") % 4).alias("n_cues"),
         F.lit(0.5).alias("coverage"), F.lit(0.0).alias("span_start"), F.lit(9.0).alias("span_end"),
     )
@@ -276,9 +278,14 @@ def explicit_waiver(c):
 
 def transcript_source(c):
     judged = _judged(c)
-    chosen = ranking.choose_subtitle(_ranked(c), judged, _videos(c))
-    rows = ranking.transcript_source(chosen, judged, TARGET, True)
-    return rows.select("video_id", "kind", "path", "language", "target_language", "language_mismatch", "n_cues", "coverage")
+    ranked = _ranked(c)
+    chosen = ranking.choose_subtitle(ranked, judged, _videos(c))
+    notes = [ranking.choice_notes(ranked, chosen), ranking.rejection_notes(ranked, judged, chosen)]
+    rows = ranking.transcript_source(chosen, judged, TARGET, True, notes)
+    return rows.select(
+        "video_id", "kind", "path", "language", "target_language", "language_mismatch", "n_cues", "coverage",
+        F.col("span.end").alias("span_end"), F.array_join("notes", " / ").alias("notes"),
+    )
 
 
 def safe_url(c):
@@ -325,19 +332,26 @@ en AS (SELECT file_id, turn * 9.0::DOUBLE AS start, class, text FROM cn
        UNION ALL SELECT file_id, turn * 9.0::DOUBLE + 3, class, '' FROM cn WHERE turn % 3 = 2),
 cl AS (SELECT file_id, class, count(*) FILTER (text <> '') AS n, min(start) AS f FROM en GROUP BY 1, 2),
 pk AS (SELECT file_id, arg_max(class, struct_pack(n := n, f := -f)) AS class, arg_max(n, struct_pack(n := n, f := -f)) AS n_texts, count(*) AS n_classes FROM cl GROUP BY 1)"""
-CUES = SEGMENTS + """,
-cu AS (SELECT video_id AS file_id, seg_no AS cue_no,
-              start + CASE video_id::INT % 7 WHEN 3 THEN 100.0::DOUBLE ELSE 0 END AS start,
-              CASE video_id::INT % 7 WHEN 5 THEN start + 0.5::DOUBLE ELSE "end" END + CASE video_id::INT % 7 WHEN 3 THEN 100.0::DOUBLE ELSE 0 END AS "end",
-              CASE video_id::INT % 5 WHEN 0 THEN repeat('la ', seg_no + 1) ELSE text END AS text FROM seg),
-cp AS (SELECT c.file_id, c.cue_no, greatest(start, 0) AS a, least("end", duration) AS b FROM cu c JOIN vid v ON v.video_id = c.file_id),
+#: From cues (cu) and videos (vid) to their coverage (cov) and roll-up ratio (rol).
+MEASURED = """cp AS (SELECT c.file_id, c.cue_no, greatest(start, 0) AS a, least("end", duration) AS b FROM cu c JOIN vid v ON v.video_id = c.file_id),
 isl AS (SELECT *, max(b) OVER (PARTITION BY file_id ORDER BY a, cue_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cp WHERE b > a),
 isn AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY a, cue_no) AS g FROM isl),
 cov AS (SELECT v.video_id AS file_id, coalesce(sum(len), 0) AS covered, coalesce(sum(len), 0) / any_value(duration) AS coverage
         FROM vid v LEFT JOIN (SELECT file_id, g, max(b) - min(a) AS len FROM isn GROUP BY 1, 2) i ON i.file_id = v.video_id GROUP BY 1),
 low AS (SELECT file_id, cue_no, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS now FROM cu),
 lag_ AS (SELECT *, lag(now) OVER (PARTITION BY file_id ORDER BY cue_no) AS was FROM low),
-rol AS (SELECT file_id, coalesce(count(*) FILTER (was <> '' AND starts_with(now, was)) / nullif(count(was), 0)::DOUBLE, 0) AS rollup FROM lag_ GROUP BY 1)""".replace("\\\\s", "\\s")
+rol AS (SELECT file_id, coalesce(count(*) FILTER (was <> '' AND starts_with(now, was)) / nullif(count(was), 0)::DOUBLE, 0) AS rollup FROM lag_ GROUP BY 1)"""
+#: From those to a verdict per file (r).
+VERDICTS = """
+q AS (SELECT c.file_id, any_value(v.duration) AS duration, count(*) AS n_cues, min(start) AS a, max("end") AS b FROM cu c JOIN vid v ON v.video_id = c.file_id GROUP BY 1),
+r AS (SELECT *, CASE WHEN n_cues < 5 THEN 'too-few-cues' WHEN rollup > 0.3 THEN 'auto-generated' WHEN b > duration * 1.1::DOUBLE + 5 OR a < -5 THEN 'other-video'
+        WHEN coverage < 0.3 THEN 'partial' END AS reason FROM q JOIN cov USING (file_id) JOIN rol USING (file_id))"""
+CUES = SEGMENTS + """,
+cu AS (SELECT video_id AS file_id, seg_no AS cue_no,
+              start + CASE video_id::INT % 7 WHEN 3 THEN 100.0::DOUBLE ELSE 0 END AS start,
+              CASE video_id::INT % 7 WHEN 5 THEN start + 0.5::DOUBLE ELSE "end" END + CASE video_id::INT % 7 WHEN 3 THEN 100.0::DOUBLE ELSE 0 END AS "end",
+              CASE video_id::INT % 5 WHEN 0 THEN repeat('la ', seg_no + 1) ELSE text END AS text FROM seg),
+""" + MEASURED
 TARGETS = "CASE doc_id % 6 WHEN 0 THEN 'ko' WHEN 1 THEN 'de-DE' WHEN 2 THEN 'deu' WHEN 3 THEN 'FRA' WHEN 4 THEN 'en_US' END"
 MATCHES = f"""
 lg AS (SELECT doc_id, lang, {TARGETS} AS target FROM documents),
@@ -363,17 +377,23 @@ tr AS (SELECT l_orderkey::VARCHAR AS video_id, l_linenumber AS track, l_linestat
 RANKED = f"""
 ca AS (SELECT (doc_id // 5)::VARCHAR AS video_id, doc_id, CASE WHEN substr(source, 4)::INT % 2 = 0 THEN 'sidecar' ELSE 'embedded' END AS kind,
          CASE doc_id % 3 WHEN 0 THEN 'srt' WHEN 1 THEN 'vtt' ELSE 'smi' END AS format, 'd' || doc_id || '.' || format AS name,
-         source || '/' || name AS path, CASE WHEN doc_id % 5 <> 2 THEN lang END AS language, 'candidate ' || name AS label,
+         CASE kind WHEN 'sidecar' THEN source || '/' || name ELSE 'subs/track' || doc_id % 6 || '.srt' END AS path, CASE WHEN doc_id % 5 <> 2 THEN lang END AS language, 'candidate ' || name AS label,
          doc_id % 7 = 0 AS forced, kind = 'embedded' AND doc_id % 4 = 0 AS is_default, CASE kind WHEN 'embedded' THEN doc_id % 6 END AS track
        FROM documents),
 rk AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY CASE WHEN language = '{TARGET}' THEN 0 WHEN language IS NULL THEN 1 ELSE 2 END,
          kind = 'embedded', forced, NOT is_default, doc_id % 3, coalesce(track, -1), name, path) AS rank FROM ca),
-ju AS (SELECT path, quality = 1 AS ok, CASE WHEN quality <> 1 THEN 'partial' END AS reason, doc_id % 4 AS n_cues FROM ca JOIN labels USING (doc_id)),
-tk AS (SELECT video_id, min(rank) AS rank FROM rk JOIN ju USING (path) WHERE ok GROUP BY 1),
+ju AS (SELECT video_id, path, quality = 1 AS ok, CASE WHEN quality <> 1 THEN 'partial' END AS reason, doc_id % 4 AS n_cues FROM ca JOIN labels USING (doc_id)),
+tk AS (SELECT video_id, min(rank) AS rank FROM rk JOIN ju USING (video_id, path) WHERE ok GROUP BY 1),
 nc AS (SELECT video_id, count(*) AS n FROM rk GROUP BY 1),
 ch AS (SELECT nc.video_id, coalesce(r.kind, CASE WHEN nc.video_id::INT % 2 = 0 THEN 'whisper' ELSE 'none' END) AS kind, r.path, r.format, r.language,
               r.label, r.track, r.rank, nc.n AS n_candidates, coalesce(r.rank - 1, nc.n) AS n_rejected, r.forced
        FROM nc LEFT JOIN tk USING (video_id) LEFT JOIN rk r ON r.video_id = tk.video_id AND r.rank = tk.rank)"""
+NOTES = """,
+cn_ AS (SELECT c.video_id, 0 AS note_no, 'chosen from ' || c.n_candidates || ' candidates: ' || c.label || ' (by language, then files beside the video, unforced, default, format, track number and name / others: '
+  || string_agg(r.label, ', ' ORDER BY r.rank) AS note FROM ch c JOIN rk r ON r.video_id = c.video_id AND r.rank <> c.rank WHERE c.rank IS NOT NULL GROUP BY c.video_id, c.n_candidates, c.label
+UNION ALL SELECT video_id, 1, label || ': the name says forced, it may hold only part of the dialogue' FROM ch WHERE forced),
+rn_ AS (SELECT r.video_id, r.rank, concat_ws(': ', r.label, j.reason) AS note FROM rk r LEFT JOIN ju j USING (video_id, path)
+JOIN ch c ON c.video_id = r.video_id WHERE c.rank IS NULL OR r.rank < c.rank)"""
 
 ORACLE = {
     "clean_text": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(
@@ -385,7 +405,7 @@ ORACLE = {
     "decode_subtitle_bytes": "SELECT conv_id, turn, text, CASE conv_id % 2 WHEN 1 THEN 'utf-16' ELSE 'utf-8' END AS encoding FROM conversations",
     "write_srt": f"""WITH {FLAT}, m AS (SELECT *, round_even(start * 1000, 0)::BIGINT AS sms, round_even("end" * 1000, 0)::BIGINT AS ems,
   row_number() OVER (PARTITION BY video_id ORDER BY seg_no) AS n FROM flat)
-SELECT video_id, 0 AS part, string_agg(n || chr(10) || {STAMP.replace("ms ", "sms ")} || ' --> ' || {STAMP.replace("ms ", "ems ")}
+SELECT video_id, string_agg(n || chr(10) || {STAMP.replace("ms ", "sms ")} || ' --> ' || {STAMP.replace("ms ", "ems ")}
   || chr(10) || text || chr(10), chr(10) ORDER BY seg_no) AS text FROM m GROUP BY 1""",
     "parse_timed_blocks": f"""WITH {FLAT}
 SELECT video_id AS file_id, row_number() OVER (PARTITION BY video_id ORDER BY start, "end", seg_no) - 1 AS cue_no, round(start, 3) AS start, round("end", 3) AS "end", text
@@ -405,10 +425,7 @@ n AS (SELECT *, lead(start) OVER (PARTITION BY video_id ORDER BY start, ord) AS
 SELECT video_id, ord, start, coalesce(e, least(start + 2, coalesce(nxt, start + 2))) AS "end" FROM n""",
     "coverage_union": f"WITH {CUES} SELECT file_id, round(covered, 6) AS covered, round(coverage, 6) AS coverage FROM cov",
     "rollup_ratio": f"WITH {CUES} SELECT file_id, round(rollup, 6) AS rollup FROM rol",
-    "subtitle_quality": f"""WITH {CUES},
-q AS (SELECT c.file_id, any_value(v.duration) AS duration, count(*) AS n_cues, min(start) AS a, max("end") AS b FROM cu c JOIN vid v ON v.video_id = c.file_id GROUP BY 1),
-r AS (SELECT *, CASE WHEN n_cues < 5 THEN 'too-few-cues' WHEN rollup > 0.3 THEN 'auto-generated' WHEN b > duration * 1.1::DOUBLE + 5 OR a < -5 THEN 'other-video'
-        WHEN coverage < 0.3 THEN 'partial' END AS reason FROM q JOIN cov USING (file_id) JOIN rol USING (file_id))
+    "subtitle_quality": f"""WITH {CUES},{VERDICTS}
 SELECT file_id, reason IS NULL AS ok, reason, n_cues, round(coverage, 6) AS coverage, round(a, 6) AS span_start, round(b, 6) AS span_end, round(rollup, 6) AS rollup FROM r""",
     "lang_matches": f"WITH {MATCHES} SELECT doc_id, lang, target, matches FROM lm",
     "lang_normalize": f"WITH {MATCHES} SELECT doc_id, b AS tag FROM lm",
@@ -422,17 +439,18 @@ SELECT video_id, 'sidecar' AS kind, dir || '/' || name AS path, 'sidecar ''' ||
 UNION ALL SELECT video_id, 'embedded', 'subs/track' || track || '.srt', 'embedded track ' || track || '(' || codec || ')' FROM tr WHERE skipped IS NULL""",
     "rank_subtitles": f"WITH {RANKED} SELECT video_id, path, rank FROM rk",
     "choose_subtitle": f"WITH {RANKED} SELECT video_id, kind, path, format, language, label, track, rank, n_candidates, n_rejected FROM ch",
-    "rejection_notes": f"""WITH {RANKED} SELECT r.video_id, r.rank, concat_ws(': ', r.label, j.reason) AS note FROM rk r LEFT JOIN ju j USING (path)
-JOIN ch c ON c.video_id = r.video_id WHERE c.rank IS NULL OR r.rank < c.rank""",
-    "choice_notes": f"""WITH {RANKED}
-SELECT c.video_id, 0 AS note_no, 0 AS part, 'chosen from ' || c.n_candidates || ' candidates: ' || c.label || ' (language match > undeclared > other, sidecar > embedded, forced last, default, format, track, name / others: '
-  || string_agg(r.label, ', ' ORDER BY r.rank) AS note FROM ch c JOIN rk r ON r.video_id = c.video_id AND r.rank <> c.rank WHERE c.rank IS NOT NULL GROUP BY c.video_id, c.n_candidates, c.label
-UNION ALL SELECT video_id, 1, 0, label || ': the name says forced, it may hold only part of the dialogue' FROM ch WHERE forced""",
+    "rejection_notes": f"WITH {RANKED}{NOTES} SELECT * FROM rn_",
+    "choice_notes": f"WITH {RANKED}{NOTES} SELECT * FROM cn_",
     "explicit_waiver": f"""WITH {RANKED}, nm AS (SELECT video_id, arg_min(path, doc_id) AS path FROM ca GROUP BY 1)
 SELECT video_id, path, coalesce(n_cues, 0) <> 0 AS used, CASE WHEN coalesce(n_cues, 0) = 0 THEN 'no dialogue in this file'
-  WHEN NOT ok THEN 'used because it was named; otherwise refused: ' || reason END AS note FROM nm LEFT JOIN ju USING (path)""",
-    "transcript_source": f"""WITH {RANKED} SELECT video_id, kind, path, language, '{TARGET}' AS target_language, language IS NOT NULL AND language <> '{TARGET}' AS language_mismatch,
-  coalesce(n_cues, 0) AS n_cues, CASE WHEN n_cues IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS coverage FROM ch LEFT JOIN ju USING (path)""",
+  WHEN NOT ok THEN 'used because it was named; otherwise refused: ' || reason END AS note FROM nm LEFT JOIN ju USING (video_id, path)""",
+    "transcript_source": f"""WITH {RANKED}{NOTES},
+nt AS (SELECT video_id, 0 AS o, note_no AS n, note FROM cn_ UNION ALL SELECT video_id, 1, rank, note FROM rn_),
+ns AS (SELECT video_id, string_agg(note, ' / ' ORDER BY o, n) AS notes FROM nt GROUP BY 1)
+SELECT video_id, kind, path, language, '{TARGET}' AS target_language, language IS NOT NULL AND language <> '{TARGET}' AS language_mismatch,
+  coalesce(n_cues, 0) AS n_cues, CASE WHEN n_cues IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS coverage,
+  CASE WHEN n_cues IS NOT NULL THEN 9.0::DOUBLE END AS span_end, coalesce(notes, '') AS notes
+FROM ch LEFT JOIN ju USING (video_id, path) LEFT JOIN ns USING (video_id)""",
     "safe_url": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN upper(url) END AS url FROM pages",
     "origin_url": """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url WHEN page_id % 3 = 0 THEN url || '#stem' ELSE url || '#tag' END AS url,
   CASE WHEN page_id % 4 = 0 OR page_id % 3 = 0 THEN 'info-json' ELSE 'container' END AS url_from FROM pages""",

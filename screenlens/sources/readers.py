@@ -18,11 +18,22 @@ WORD = "array<struct<word: string, start: double, end: double>>"
 TRANSCRIPT = f"text string, segments {SEGMENT}, words {WORD}, backend string, device string, model string"
 
 
+#: Frames of a run lie in <video>/runs/<run>/frames.
+RUN_FOLDER = r"([^/]+)/runs/([^/]+)/frames/[^/]+$"
+
+
+def _unescaped(text: Column) -> Column:
+    """Percent escapes decoded; a plus sign is a plus sign."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def _folder(path: Column) -> Column:
-    """Value of a ``video_id=`` folder in the path, otherwise the parent folder's name."""
+    """Value of a ``video_id=`` folder in the path (escaped there by the writer), otherwise the
+    folder that holds the runs, otherwise the parent folder's name."""
     parent = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    holder = F.regexp_extract(path, RUN_FOLDER, 1)
     keyed = F.regexp_extract(path, r"/video_id=([^/]+)/", 1)
-    return F.when(keyed != "", keyed).otherwise(parent)
+    return F.when(keyed != "", _unescaped(keyed)).when(holder != "", holder).otherwise(parent)
 
 
 def _documents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -32,7 +43,7 @@ def _documents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
         .option("pathGlobFilter", pattern)
         .text(path, wholetext=True)
     )
-    return raw.select(F.col("_metadata.file_path").alias("origin"), "value")
+    return raw.select(_unescaped(F.col("_metadata.file_path")).alias("origin"), "value")
 
 
 def _name(path: Column) -> Column:
@@ -41,11 +52,14 @@ def _name(path: Column) -> Column:
 
 def read_frame_images(spark: SparkSession, path: str, w: int = 64, h: int = 36) -> DataFrame:
     """Folder of extracted frames to the frames table: number and time from the file name, the
-    picture as gray values averaged down to ``w`` x ``h``. The parent folder names the video."""
-    image = spark.read.format("image").load(path)
-    name = _name(F.col("image.origin"))
+    picture as gray values averaged down to ``w`` x ``h``, null for a file that is no readable image.
+    The path gives the video and, below ``runs/<run>/frames``, the run; folders are searched at any depth."""
+    image = spark.read.format("image").option("recursiveFileLookup", "true").load(path)
+    origin = _unescaped(F.col("image.origin"))
+    name = _name(origin)
     return image.select(
-        _folder(F.col("image.origin")).alias("video_id"),
+        _folder(origin).alias("video_id"),
+        F.nullif(F.regexp_extract(origin, RUN_FOLDER, 2), F.lit("")).alias("run"),
         F.regexp_extract(name, FRAME_NAME, 1).try_cast("bigint").alias("frame_no"),
         F.regexp_extract(name, FRAME_NAME, 2).try_cast("double").alias("t"),
         F.lit(h).alias("h"),
@@ -59,6 +73,10 @@ def _gray(w: int, h: int):
     def shrink(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
         out = []
         for raw, rows, columns, n in zip(data, height, width, channels):
+            if raw is None or not rows > 0 or not columns > 0 or len(raw) != rows * columns * n:
+                out.append(None)
+                continue
+            rows, columns, n = int(rows), int(columns), int(n)
             pixels = np.frombuffer(raw, np.uint8).reshape(rows, columns, n).astype(np.float64)
             # The image source stores blue, green, red.
             luma = pixels[..., :3] @ [0.114, 0.587, 0.299] if n >= 3 else pixels[..., 0]

@@ -50,18 +50,16 @@ def replace_videos(spark: SparkSession, path: str, fresh: DataFrame, buckets: in
 
 
 def write_documents(documents: DataFrame, path: str, keys: list[str]) -> None:
-    """Documents (keys, part, text) as text files in a folder per document and part. The text goes
-    out as it is, plus the final newline the text sink adds."""
-    documents.select(*keys, "part", "text").write.mode("overwrite").partitionBy(*keys, "part").text(path)
+    """Documents (keys, text) as one text file in a folder per document. The text goes out as it
+    is, plus the final newline the text sink adds."""
+    documents.select(*keys, "text").write.mode("overwrite").partitionBy(*keys).text(path)
 
 
 def read_documents(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    schema = ", ".join(f"{k} string" for k in keys) + ", part bigint, text string"
-    raw = spark.read.text(path, wholetext=True)
-    cast = [F.col(k).cast("string").alias(k) for k in keys]
-    return raw.select(
-        *cast, F.col("part").cast("long").alias("part"), F.regexp_replace("value", r"\n\z", "").alias("text")
-    ).to(spark.createDataFrame([], schema).schema)
+    """(keys, text) as written; keys keep leading zeros and any character, as the schema is given."""
+    schema = "value string, " + ", ".join(f"{k} string" for k in keys)
+    raw = spark.read.schema(schema).text(path, wholetext=True)
+    return raw.select(*keys, F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

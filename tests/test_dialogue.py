@@ -137,7 +137,7 @@ def test_screens_without_pictures_keep_their_dialogue(spark):
     titles = spark.createDataFrame([("v", "full", "talk", 50.0)], "video_id string, run string, title string, duration double")
     costs = spark.createDataFrame([("v", "full", 1, 442, 768, "rule")], "video_id string, run string, n_images bigint, tokens bigint, long_edge int, rule string")
     (doc,) = documents.render_context(titles, shown, hosts, assigned, frames, costs).collect()
-    assert doc.part == 0 and doc.text.startswith("# talk\n\n3 screens, 1 images, 50 s\n")
+    assert doc.text.startswith("# talk\n\n3 screens, 1 images, 50 s\n")
     assert "## 0.0-10.0s\n![](read/a.jpg)\ns0\n" in doc.text and f"## 10.1-30.0s\n{documents.NO_IMAGE}\ns1\n" in doc.text
 
 
@@ -169,16 +169,30 @@ def test_run_names(spark):
 
 
 def test_audit_document_is_whole_json(spark):
-    titles = spark.createDataFrame([("v", "full", 'a "talk"', 50.004), ("w", "full", "empty", 1.0)], "video_id string, run string, title string, duration double")
+    titles = spark.createDataFrame(
+        [("v", "full", 'a "talk"', 50.004, 30.0, None, None, "whisper", "small", (0.5,)), ("w", "x", "empty", 1.0, 25.0, 0.25, 1.0, None, None, (0.5,))],
+        "video_id string, run string, title string, duration double, fps double, lo double, hi double, backend string, model string, params struct<merge: double>",
+    )
     shown = make_screens(spark, [(0, 10), (10.1, 30)])
     said = make_segments(spark, [(1, 3), (12, 20)])
     frames = spark.createDataFrame(
         [("v", "full", 0, 1.005, "a.jpg", ["initial"], 0, "accepted", None), ("v", "full", 1, 11.0, "b.jpg", ["screen-start"], 1, "rejected", "blank"), ("v", "full", 2, 12.0, "c.jpg", ["screen-end"], 1, "accepted", None)],
         "video_id string, run string, ord bigint, t double, image string, sources array<string>, screen bigint, status string, reject_reason string",
     )
-    got = {r.video_id: json.loads(r.text) for r in documents.export_metadata(titles, shown, frames, said, "s@1").collect()}
-    assert got["v"]["source"] == {"schema": "s@1", "title": 'a "talk"', "duration": 50.0}
-    assert got["v"]["screens"] == [{"start": 0.0, "end": 10.0}, {"start": 10.1, "end": 30.0}]
-    assert [f["image"] for f in got["v"]["frames"]] == ["a.jpg", "c.jpg"] and got["v"]["frames"][0]["time"] == round(1.005, 2)
-    assert got["v"]["rejected"][0]["reject_reason"] == "blank" and [s["text"] for s in got["v"]["segments"]] == ["s0", "s1"]
-    assert got["w"]["frames"] == got["w"]["screens"] == []
+    frames = frames.withColumn("yavg", F.col("ord") + 20.0)
+    assigned = said.withColumn("screen", F.col("seg_no"))
+    costs = spark.createDataFrame([("v", "full", 2, 900, 768)], "video_id string, run string, n_images bigint, tokens bigint, long_edge int")
+    asked = spark.createDataFrame([("v", "full", 7, 3.333)], "video_id string, run string, request_no bigint, time double")
+    rows = documents.export_metadata(titles, shown, frames, said, assigned, costs, asked, "s@2").collect()
+    got = {r.video_id: json.loads(r.text) for r in rows}
+    v, w = got["v"], got["w"]
+    assert list(v) == list(w) == [
+        "schema", "source", "window", "images", "screens", "frames", "rejected", "requested", "transcript", "transcript_file", "params",
+    ]
+    assert v["source"] == {"file": 'a "talk"', "duration": 50.0, "fps": 30.0} and v["window"] == [0.0, 50.0] and w["window"] == [0.25, 1.0]
+    assert v["screens"] == [[0.0, 10.0], [10.1, 30.0]] and v["images"] == {"count": 2, "tokens": 900, "long_edge": 768}
+    assert [f["image"] for f in v["frames"]] == ["a.jpg", "c.jpg"] and v["frames"][0]["time"] == round(1.005, 2)
+    assert v["frames"][0]["interval"] == [0.0, 10.0] and [s["text"] for s in v["frames"][1]["dialogue"]] == ["s1"]
+    assert v["rejected"][0]["reject_reason"] == "blank" and v["requested"] == [{"request_no": 7, "time": 3.33}]
+    assert v["transcript"]["text"] == "s0 s1" and [s["text"] for s in v["transcript"]["segments"]] == ["s0", "s1"]
+    assert w["transcript"] == {"backend": None, "model": None, "text": "", "segments": []} and w["frames"] == w["screens"] == []

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from screenlens.operators import detect, lineage, pixels
+from screenlens.operators import detect, documents, lineage, pixels
 from screenlens.sources import readers, writers
 from screenlens.streaming import streams
 
@@ -73,10 +73,34 @@ def test_tables_replace_only_the_given_videos(spark, tmp_path):
 
 
 def test_documents_round_trip(spark, tmp_path):
-    docs = spark.createDataFrame([("v", "full", 0, "# a\n\nb\n"), ("w", "full", 0, "x")], "video_id string, run string, part bigint, text string")
+    rows = [("007", "full", "# a\n\nb\n"), ("7", "full", "x"), ("my talk+50%: a/b", "1.0", "é"), ("2024-01-01", "full", "")]
+    docs = spark.createDataFrame(rows, "video_id string, run string, text string")
     writers.write_documents(docs, str(tmp_path / "d"), ["video_id", "run"])
     back = sorted(tuple(r) for r in writers.read_documents(spark, str(tmp_path / "d"), ["video_id", "run"]).collect())
-    assert back == [("v", "full", 0, "# a\n\nb\n"), ("w", "full", 0, "x")]
+    assert back == sorted(rows)
+
+
+def test_a_long_transcript_comes_back_whole(spark, tmp_path):
+    text = "a sentence of some length that somebody said in the lecture"
+    said = spark.range(70_000).select(
+        F.lit("my talk+1").alias("video_id"), F.col("id").alias("seg_no"), F.col("id").cast("double").alias("start"),
+        (F.col("id") + 1).cast("double").alias("end"), F.lit(text).alias("text"),
+    )
+    listed = documents.json_list_documents(said, "segments", "seg_no", F.struct("start", "end", "text"))
+    writers.write_documents(listed, str(tmp_path / "t"), ["video_id"])
+    got = readers.read_segments(spark, str(tmp_path / "t"), "*.txt")
+    assert got.count() == 70_000 and got.exceptAll(said).isEmpty()
+
+
+def test_frames_of_runs_and_broken_images(spark, tmp_path):
+    folder = tmp_path / "my talk" / "runs" / "full" / "frames"
+    folder.mkdir(parents=True)
+    (folder / "scene_000_t1.0.jpg").write_bytes(b"no image at all")
+    (folder / "scene_001_t2.5.bmp").write_bytes(bmp(np.full((2, 2), 20.0)))
+    got = sorted(readers.read_frame_images(spark, str(tmp_path), 1, 1).select("video_id", "run", "frame_no", "t", "gray").collect())
+    assert got[-1][:4] == ("my talk", "full", 1, 2.5) and abs(got[-1].gray[0] - 20) < 0.01
+    assert all(r.gray is None for r in got[:-1])
+
 
 
 def feed(spark, tmp_path, df, slices, operator, name):
@@ -87,15 +111,17 @@ def feed(spark, tmp_path, df, slices, operator, name):
     return spark.read.parquet(out)
 
 
-@pytest.mark.parametrize("cuts", [(30, 60), (7, 8)])
-def test_streamed_events_equal_batch_events(spark, tmp_path, cuts):
+@pytest.mark.parametrize(("cuts", "shift"), [((30, 60), 0), ((7, 8), 0), ((30, 60), 15), ((50, 90), 15)])
+def test_streamed_events_equal_batch_events(spark, tmp_path, cuts, shift):
+    """Also with every third sample arriving ``shift`` samples late, and with the end of the video in the last batch."""
     rng = np.random.default_rng(8)
     data = [("v", i, i / 10, 0.0, float(rng.choice([0.001, 0.02])), float(rng.choice([0.0, 0.0, 0.01])), False) for i in range(120)]
-    data.append(("v", 120, 99.0, 0.0, 0.0, 0.0, False))
     df = spark.createDataFrame(data, streams.SIGNAL_ROW)
+    fed = df.unionByName(spark.createDataFrame([("v", None)], "video_id string, idx bigint"), allowMissingColumns=True)
     a, b = cuts
-    slices = [F.col("idx") < a, (F.col("idx") >= a) & (F.col("idx") < b), F.col("idx") >= b]
-    got = feed(spark, tmp_path, df, slices, streams.stream_events, "events")
+    at = F.coalesce(F.col("idx") + F.when(F.col("idx") % 3 == 0, shift).otherwise(0), F.lit(999))
+    slices = [at < a, (at >= a) & (at < b), at >= b]
+    got = feed(spark, tmp_path, fed, slices, lambda s: streams.stream_events(s, lateness=shift / 10), "events")
     batch = detect.detect_events(df).withColumn("signals", F.array_join("signals", "+"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*got.columns).collect()))
 

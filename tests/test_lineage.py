@@ -52,10 +52,10 @@ def test_review_text_keeps_its_indent(spark):
 
 
 def test_context_hash(spark):
-    docs = spark.createDataFrame([("v", "full", 0, "abc"), ("w", "full", 0, "a"), ("w", "full", 1, "b")], "video_id string, run string, part bigint, text string")
+    docs = spark.createDataFrame([("v", "full", "abc"), ("w", "full", "ab" * 5_000_000)], "video_id string, run string, text string")
     got = {r.video_id: r.context_sha256 for r in lineage.context_fingerprint(docs).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    assert got == {"v": sha("abc"), "w": sha(sha("a") + sha("b"))}
+    assert got == {"v": sha("abc"), "w": sha("ab" * 5_000_000)}
 
 
 def test_run_index(spark):
@@ -106,17 +106,34 @@ def brute_dedupe(times, within):
     return sorted(kept)
 
 
-@pytest.mark.parametrize("limit", [512, 3])
-def test_dedupe_in_press_order(spark, limit):
+@pytest.mark.parametrize("n", [120, 10_000])
+def test_dedupe_in_press_order(spark, n):
     import random
 
     rng = random.Random(2)
-    times = [rng.choice([5.0, 20.0]) + rng.uniform(0, 4) for _ in range(120)]
+    times = [rng.choice([5.0, 20.0]) + rng.uniform(0, n / 30) for _ in range(n // 2)] + [i * 0.05 for i in range(n // 2)]
     presses = flags(spark, *times).withColumn("note", F.lit("n"))
-    got = sorted(r.t for r in truth.flag_dedupe(presses, 0.25, fold_limit=limit).collect())
+    got = sorted(r.t for r in truth.flag_dedupe(presses, 0.25).collect())
     assert got == brute_dedupe(times, 0.25)
 
 
+@pytest.mark.parametrize(("within", "dedupe"), [(0.6, 0.25), (0.1, 0.25), (0.3, 0.3)])
+def test_toggle_replay_against_brute_force(spark, within, dedupe):
+    import random
+
+    rng = random.Random(5)
+    times = [1.0, 1.2, *[rng.uniform(2, 60) for _ in range(300)]]
+    kept = []
+    for t in times:
+        nearest = min(sorted(kept), key=lambda f: abs(f - t), default=None)
+        if nearest is not None and abs(nearest - t) <= within:
+            kept.remove(nearest)
+        elif all(abs(f - round(t, 2)) > dedupe for f in kept):
+            kept.append(round(t, 2))
+    presses = flags(spark, *times).withColumn("note", F.lit("n"))
+    assert sorted(r.t for r in truth.flag_toggle_replay(presses, within, dedupe).collect()) == sorted(kept)
+
+
 def test_toggle_replay(spark):
     presses = flags(spark, 10.0, 10.4, 10.8, 30.004, 50.0).withColumn("note", F.lit("n"))
     got = sorted(r.t for r in truth.flag_toggle_replay(presses).collect())
