@@ -166,13 +166,16 @@ def _hashes(v: _Vocabulary) -> np.ndarray:
 
 
 def _cached(v: _Vocabulary, name: str, dtype) -> np.ndarray:
-    """The vocabulary's list as an array, grown by what has come since."""
-    values, old = getattr(v, name), v.__dict__.get(f"{name}_array")
-    if old is None or len(old) != len(values) or v.__dict__.get(f"{name}_of") is not values:
-        same = old is not None and v.__dict__.get(f"{name}_of") is values and len(old) < len(values)
-        new = np.concatenate([old, np.array(values[len(old) :], dtype)]) if same else np.array(values, dtype)
-        v.__dict__[f"{name}_array"], v.__dict__[f"{name}_of"] = new, values
-    return v.__dict__[f"{name}_array"]
+    """The vocabulary's list as an array with room to grow, filled up with what has come since."""
+    values = getattr(v, name)
+    of, filled, array = v.__dict__.get(f"{name}_array", (None, 0, np.zeros(1 << 12, dtype)))
+    if of is not values:
+        filled = 0
+    if len(values) > len(array):
+        array = np.concatenate([array, np.zeros(max(len(values), len(array)), dtype)])
+    array[filled : len(values)] = values[filled:]
+    v.__dict__[f"{name}_array"] = (values, len(values), array)
+    return array
 
 
 _WINDOWS = "doc_id long, names boolean, n_tokens int, pos array<int>, hash array<long>, slots array<array<string>>"
