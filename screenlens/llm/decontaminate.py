@@ -4,7 +4,10 @@ Numbers, units after numbers and names become typed placeholders, so a question
 same template. Windows of five canonical tokens of documents and of benchmark items are joined by hash; those on one
 diagonal (document position minus item position) are one occurrence of the item. Its slots must be filled consistently:
 equal values of the item are equal in the document. Diagonals that shift a little (words put in or left out) are taken
-together, and an item is found where windows cover SIMILARITY of its tokens.
+together, and an item is found where windows cover SIMILARITY of the tokens that its windows can cover.
+
+Items whose every window is poor in words, or that are shorter than a window, are sought as they stand: a literal view
+keeps numbers, units and names as their values, needs no words, and its window is the item where that is shorter.
 
 Of a document only windows whose hash passes a bit table of the benchmark's windows leave the scan; the table has a
 fixed size, its false hits fall out in the join. So the benchmark may be of any size, and no text is shuffled.
@@ -42,10 +45,14 @@ liter liters litre litres second seconds minute minutes hour hours day days week
 dollar dollars euro euros cent cents degree degrees percent
 """.split()
 
-_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[%.!?:;\n\"“”¿¡]")
+#: Letters of scripts that put no spaces between words; each is a token.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"\d+(?:[.,:/]\d+)*|(?=[^\W\d_])[{_UNSPACED}]|[^\W\d_{_UNSPACED}]+|[%.!?:;\n\"“”¿¡]")
 _BREAK, _WORD, _CAPITAL, _NUMBER, _UNIT = range(5)
 _NAME = 5
 _UNIT_WORDS = frozenset(UNITS)
+#: Views of a text: names as words, names as slots; LITERAL plus the size of the window: as it stands.
+_PLAIN, _NAMES, _LITERAL = 0, 1, 10
 
 
 class _Vocabulary(dict):
@@ -107,12 +114,16 @@ class Canonical:
     """Canonical tokens of a text: hash, kind (word or placeholder) and the value that filled each placeholder.
 
     ``names``: capitalised words within a sentence are names, and what follows of one name is part of its slot.
-    Otherwise they are words like others, so that a question in capitals is still the same question.
+    Otherwise they are words like others, so that a question in capitals is still the same question. ``literal``:
+    numbers and units are words too, and there is no slot.
     """
 
-    def __init__(self, tokens: Tokens, names: bool):
+    def __init__(self, tokens: Tokens, names: bool, literal: bool = False):
         kinds = tokens.kinds
-        if names:
+        if literal:
+            kinds = np.where(kinds == _BREAK, _BREAK, _WORD)
+            more = np.zeros(len(kinds), bool)
+        elif names:
             kinds = np.where(kinds == _CAPITAL, np.where(_before(kinds) == _BREAK, _WORD, _NAME), kinds)
             more = (kinds == _NAME) & (_before(kinds) == _NAME)
         else:
@@ -178,13 +189,19 @@ def _cached(v: _Vocabulary, name: str, dtype) -> np.ndarray:
     return array
 
 
-_WINDOWS = "doc_id long, names boolean, n_tokens int, pos array<int>, hash array<long>, slots array<array<string>>"
+_WINDOWS = (
+    "doc_id long, view int, n_tokens int, n_usable int, pos array<int>, hash array<long>, slots array<array<string>>"
+)
 
 
-def windows(docs: DataFrame, table: bytes | None, size: int, literals: int) -> DataFrame:
+def windows(
+    docs: DataFrame, table: bytes | None, size: int, literals: int, literal_sizes: tuple[int, ...] = ()
+) -> DataFrame:
     """Windows of every text of ``docs`` (doc_id, text): all, or those that ``table`` may hold.
 
-    One row per text and view: with names as slots, and with names as words.
+    One row per text and view: with names as slots, with names as words, and literal. Without ``table`` a text has the
+    literal view if it has no other window with names as words; with it, in windows of ``literal_sizes``. n_usable
+    counts the tokens that the row's windows cover.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,31 +210,47 @@ def windows(docs: DataFrame, table: bytes | None, size: int, literals: int) -> D
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                tokens = Tokens(text, vocabulary)
-                # without names both views are the same, and whatever has the slot of a name is elsewhere
-                for names in (False, True) if table is None or tokens.has_names() else (False,):
-                    view = Canonical(tokens, names)
-                    start, hashes = view.windows(size, literals)
+                for view, width, of, start, hashes in views(Tokens(text, vocabulary), table is None):
                     if bits is not None:
-                        found = bits[(hashes % np.uint64(len(bits))).astype(np.int64)]
+                        found = bits[(hashes & np.uint64(len(bits) - 1)).view(np.int64)]
                         start, hashes = start[found], hashes[found]
+                    if bits is not None and width < size:  # the window is the whole item: one place is enough
+                        hashes, first = np.unique(hashes, return_index=True)
+                        start = start[first]
                     if len(start):
-                        slots = [view.slots(s, size) for s in start.tolist()]
+                        slots = [of.slots(s, width) for s in start.tolist()]
+                        usable = int(np.minimum(np.diff(start, append=start[-1] + width), width).sum())
                         hashes = hashes.view(np.int64).tolist()
-                        out.append((doc_id, names, len(view), start.tolist(), hashes, slots))
-            found = pd.DataFrame(out, columns=["doc_id", "names", "n_tokens", "pos", "hash", "slots"])
-            yield found.astype({"doc_id": "Int64"})
+                        out.append((doc_id, view, len(of), usable, start.tolist(), hashes, slots))
+            names = ["doc_id", "view", "n_tokens", "n_usable", "pos", "hash", "slots"]
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+
+    def views(tokens: Tokens, every: bool) -> Iterator[tuple]:
+        plain = Canonical(tokens, names=False)
+        found = plain.windows(size, literals)
+        yield _PLAIN, size, plain, *found
+        # without names both views are the same, and whatever has the slot of a name is elsewhere
+        if every or tokens.has_names():
+            named = Canonical(tokens, names=True)
+            yield _NAMES, size, named, *named.windows(size, literals)
+        widths = literal_sizes
+        if every:
+            widths = (min(size, len(plain)),) if len(plain) and not len(found[0]) else ()
+        if widths:
+            literal = Canonical(tokens, names=False, literal=True)
+            for width in widths:
+                yield _LITERAL + width, width, literal, *literal.windows(width, 0)
 
     return docs.mapInPandas(scan, _WINDOWS)
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
-    each = rows.select("doc_id", "names", F.explode(F.arrays_zip("pos", "hash", "slots")).alias("w"))
-    return each.select("doc_id", "names", "w.pos", "w.hash", "w.slots")
+    each = rows.select("doc_id", "view", F.explode(F.arrays_zip("pos", "hash", "slots")).alias("w"))
+    return each.select("doc_id", "view", "w.pos", "w.hash", "w.slots")
 
 
 def _templates(benchmark: DataFrame, size: int, literals: int) -> DataFrame:
-    """Windows of the benchmark, once for each template: item_id (the smallest), n_items, n_tokens, pos, hash, slots.
+    """Windows of the benchmark, once for each template: item_id (the smallest), n_items, n_tokens, n_usable, pos, hash, slots.
 
     Items with the same windows and the same pattern of equal slots cannot be told apart by values: they are one.
     """
@@ -225,14 +258,17 @@ def _templates(benchmark: DataFrame, size: int, literals: int) -> DataFrame:
     values = F.flatten("slots")
     pattern = F.transform(values, lambda v: F.array_position(values, v))
     return (
-        rows.groupBy("names", "n_tokens", "pos", "hash", pattern.alias("pattern"))
+        rows.groupBy("view", "n_tokens", "n_usable", "pos", "hash", pattern.alias("pattern"))
         .agg(F.min("doc_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"), F.min("slots").alias("slots"))
-        .select("names", "item_id", "n_items", "n_tokens", F.explode(F.arrays_zip("pos", "hash", "slots")).alias("w"))
         .select(
-            F.col("names").alias("item_names"),
+            "view", "item_id", "n_items", "n_tokens", "n_usable", F.explode(F.arrays_zip("pos", "hash", "slots")).alias("w")
+        )
+        .select(
+            F.col("view").alias("item_view"),
             "item_id",
             "n_items",
             "n_tokens",
+            "n_usable",
             F.col("w.pos").alias("item_pos"),
             F.col("w.hash").alias("item_hash"),
             F.col("w.slots").alias("item_slots"),
@@ -269,21 +305,25 @@ def find_leaks(
     """doc_id, item_id, n_items, n_tokens, coverage: one row per document and template of the benchmark found in it.
 
     item_id is the smallest id of the items with that template, n_items their number, coverage the share of the
-    template's tokens that consistent windows of one occurrence cover (the best occurrence), at least ``similarity``.
+    template's tokens within usable windows that consistent windows of one occurrence cover (the best occurrence), at
+    least ``similarity``.
 
     Every text is seen twice, with names as slots and with names as words, and the better view counts.
-    Case, punctuation and white space do not count. Items with fewer than ``size`` tokens, or only windows with fewer
-    than ``literals`` words, are no evidence and never found; so are null and empty texts. Repeated rows of a document
-    are one. Rows with a null doc_id are searched together as one document with null doc_id. Either table empty: no
+    Case, punctuation and white space do not count. Windows with fewer than ``literals`` words are not usable. Items
+    without a usable window, such as those with fewer than ``size`` tokens, are found where they stand with their own
+    values; one of a single token is found wherever that token stands. Items without tokens, and null and empty texts,
+    are never found. Repeated rows of a document are one. Rows with a null doc_id are searched together as one document with null doc_id. Either table empty: no
     rows. Other columns are ignored; texts are read whole.
     """
     items = only(benchmark, doc_id=item_col, text=item_text_col)
     wanted = materialize(_templates(items, size, literals), "benchmark-windows")
     table = _bit_table(wanted, "item_hash")
     own = only(docs, doc_id=id_col, text=text_col)
-    met = _exploded(windows(own, table, size, literals))
-    hits = met.join(wanted, (F.col("hash") == F.col("item_hash")) & (F.col("names") == F.col("item_names")))
-    key = ["doc_id", "names", "item_id", "n_items", "n_tokens"]
+    literal = wanted.where(F.col("item_view") > _LITERAL).select("item_view").distinct().collect()  # at most ``size``
+    sizes = tuple(sorted(r["item_view"] - _LITERAL for r in literal))
+    met = _exploded(windows(own, table, size, literals, sizes))
+    hits = met.join(wanted, (F.col("hash") == F.col("item_hash")) & (F.col("view") == F.col("item_view")))
+    key = ["doc_id", "view", "item_id", "n_items", "n_tokens", "n_usable"]
     # two sets of overlapping bands, so that diagonals half a band apart always meet in one
     band = F.floor(F.col("diagonal") / SHIFT)
     shifted = F.floor((F.col("diagonal") + SHIFT // 2) / SHIFT)
@@ -293,12 +333,12 @@ def find_leaks(
         F.explode(F.array(F.struct(F.lit(0), band.alias("b")), F.struct(F.lit(1), shifted.alias("b")))).alias("near"),
     )
     covered = F.size(
-        F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + F.lit(size - 1)))))
+        F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + F.least(F.lit(size), "n_tokens") - 1))))
     )
     return (
         near.groupBy(*key, "near")
         .agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("starts"))
-        .select(*key, (covered / F.col("n_tokens")).alias("coverage"))
+        .select(*key, (covered / F.col("n_usable")).alias("coverage"))
         .where(F.col("coverage") >= similarity)
         .groupBy("doc_id", "item_id")
         .agg(*[F.max_by(c, F.struct("coverage", "n_items")).alias(c) for c in ("n_items", "n_tokens", "coverage")])

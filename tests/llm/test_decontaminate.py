@@ -42,6 +42,33 @@ def test_literal_and_new_values(spark, docs):
     assert got == {(10, 1), (11, 1), (12, 1), (14, 2), (15, 2), (19, 6), (21, 2), (None, 2)}
 
 
+@pytest.mark.parametrize(
+    "item",
+    [
+        "Compute 12 + 7 - 3 + 44 and then subtract 5 from 9.",
+        "What is 17 * 23?",
+        "1, 2, 3, 5, 8, 13 and 21",
+        "Define entropy",
+        "一列火车两小时行驶一百二十公里",
+        "鱼和熊掌",
+    ],
+)
+def test_items_poor_in_words_or_short(spark, docs, item):
+    glued = not item.isascii()
+    copy = "前面" + item + "后面的话" if glued else FILL + item + " " + FILL
+    other = item.translate(str.maketrans("一二三鱼", "九八七鸟")) if glued else item.replace("Define", "Explain")
+    pairs = [(10, copy), (11, FILL * 2), (12, "我们今天不说这件事"), (13, copy.upper()), (14, " ".join(item.split()[:-2])), (15, None)]
+    if not any(c.isdigit() for c in item) and len(item) < 20 and not item.startswith("一"):
+        pairs.append((16, FILL + other + FILL))
+    assert found(spark, docs, pairs, [(1, item), (2, None), (3, "?!")]) == {(10, 1), (13, 1)}
+
+
+def test_values_count_where_words_do_not(spark, docs):
+    pairs = [(10, FILL + "What is 17 * 24?"), (11, FILL + "Compute 1 + 2 - 3 + 4 and then subtract 6 from 8." + FILL)]
+    items = [(1, "What is 17 * 23?"), (2, "Compute 12 + 7 - 3 + 44 and then subtract 5 from 9.")]
+    assert found(spark, docs, pairs, items) == {(11, 2)}
+
+
 def test_values_of_equal_slots_must_agree(spark, docs):
     items = [(1, "there were 5 birds on the fence and 5 birds in the tree when 5 birds flew off together again")]
     same = "there were 8 birds on the fence and 8 birds in the tree when 8 birds flew off together again"
