@@ -51,8 +51,8 @@ _TOKEN = re.compile(rf"\d+(?:[.,:/]\d+)*|(?=[^\W\d_])[{_UNSPACED}]|[^\W\d_{_UNSP
 _BREAK, _WORD, _CAPITAL, _NUMBER, _UNIT = range(5)
 _NAME = 5
 _UNIT_WORDS = frozenset(UNITS)
-#: Views of a text: names as words, names as slots; LITERAL plus the size of the window: as it stands.
-_PLAIN, _NAMES, _LITERAL = 0, 1, 10
+#: Views of a text: names as words; names within sentences as slots; sentences' first names too; LITERAL plus the size of the window: as it stands.
+_PLAIN, _NAMES, _FIRST_NAMES, _LITERAL = 0, 1, 2, 10
 
 
 class _Vocabulary(dict):
@@ -104,6 +104,9 @@ class Tokens:
     def has_names(self) -> bool:
         return bool(((self.kinds == _CAPITAL) & (_before(self.kinds) != _BREAK)).any())
 
+    def has_first_capitals(self) -> bool:
+        return bool(((self.kinds == _CAPITAL) & (_before(self.kinds) == _BREAK)).any())
+
 
 def _before(kinds: np.ndarray) -> np.ndarray:
     """The kind of the token before each; a break before the first."""
@@ -113,18 +116,20 @@ def _before(kinds: np.ndarray) -> np.ndarray:
 class Canonical:
     """Canonical tokens of a text: hash, kind (word or placeholder) and the value that filled each placeholder.
 
-    ``names``: capitalised words within a sentence are names, and what follows of one name is part of its slot.
-    Otherwise they are words like others, so that a question in capitals is still the same question. ``literal``:
-    numbers and units are words too, and there is no slot.
+    ``names``: capitalised words within a sentence are names, and what follows of one name is part of its slot;
+    with ``first``, so is a capitalised word that begins a sentence, which may be a name or not. Without ``names`` they
+    are words like others, so that a question in capitals is still the same question. ``literal``: numbers and units
+    are words too, and there is no slot.
     """
 
-    def __init__(self, tokens: Tokens, names: bool, literal: bool = False):
+    def __init__(self, tokens: Tokens, names: bool, first: bool = False, literal: bool = False):
         kinds = tokens.kinds
         if literal:
             kinds = np.where(kinds == _BREAK, _BREAK, _WORD)
             more = np.zeros(len(kinds), bool)
         elif names:
-            kinds = np.where(kinds == _CAPITAL, np.where(_before(kinds) == _BREAK, _WORD, _NAME), kinds)
+            begins = (_before(kinds) == _BREAK) & (not first)
+            kinds = np.where(kinds == _CAPITAL, np.where(begins, _WORD, _NAME), kinds)
             more = (kinds == _NAME) & (_before(kinds) == _NAME)
         else:
             kinds = np.where(kinds == _CAPITAL, _WORD, kinds)
@@ -199,7 +204,7 @@ def windows(
 ) -> DataFrame:
     """Windows of every text of ``docs`` (doc_id, text): all, or those that ``table`` may hold.
 
-    One row per text and view: with names as slots, with names as words, and literal. Without ``table`` a text has the
+    One row per text and view: with names as words, with names as slots, where these begin sentences too, and literal. Without ``table`` a text has the
     literal view if it has no other window with names as words; with it, in windows of ``literal_sizes``. n_usable
     counts the tokens that the row's windows cover.
     """
@@ -233,6 +238,9 @@ def windows(
         if every or tokens.has_names():
             named = Canonical(tokens, names=True)
             yield _NAMES, size, named, *named.windows(size, literals)
+        if every or tokens.has_first_capitals():
+            named = Canonical(tokens, names=True, first=True)
+            yield _FIRST_NAMES, size, named, *named.windows(size, literals)
         widths = literal_sizes
         if every:
             widths = (min(size, len(plain)),) if len(plain) and not len(found[0]) else ()
@@ -308,7 +316,8 @@ def find_leaks(
     template's tokens within usable windows that consistent windows of one occurrence cover (the best occurrence), at
     least ``similarity``.
 
-    Every text is seen twice, with names as slots and with names as words, and the better view counts.
+    Every text is seen with names as words, with names within sentences as slots, and with what begins sentences as
+    slots too; the best view counts.
     Case, punctuation and white space do not count. Windows with fewer than ``literals`` words are not usable. Items
     without a usable window, such as those with fewer than ``size`` tokens, are found where they stand with their own
     values; one of a single token is found wherever that token stands. Items without tokens, and null and empty texts,

@@ -69,6 +69,20 @@ def test_values_count_where_words_do_not(spark, docs):
     assert found(spark, docs, pairs, items) == {(11, 2)}
 
 
+def test_names_that_begin_sentences(spark, docs):
+    anna = "{0} has 5 apples. {0} gives 2 to {1}. How many apples does {0} have left?"
+    once = "{0} has 5 apples in a basket. She gives 2 of them to {1}. How many apples are left in the basket?"
+    items = [(1, anna.format("Anna", "Ben")), (2, once.format("Anna", "Ben"))]
+    mixed = "Mary has 7 apples. Kim gives 3 to Tom. How many apples does Lee have left?"
+    pairs = [
+        (10, FILL + anna.replace("5", "7").replace("2", "3").format("Mary", "Tom")),
+        (11, FILL + once.replace("5", "8").format("Joe Smith", "Tom") + " " + FILL),
+        (12, FILL + mixed),
+        (13, FILL * 2),
+    ]
+    assert found(spark, docs, pairs, items) == {(10, 1), (11, 2)}
+
+
 def test_values_of_equal_slots_must_agree(spark, docs):
     items = [(1, "there were 5 birds on the fence and 5 birds in the tree when 5 birds flew off together again")]
     same = "there were 8 birds on the fence and 8 birds in the tree when 8 birds flew off together again"
