@@ -44,14 +44,23 @@ def _arriving(c, df, time, operator, label):
     return c.spark.read.schema(result.schema).parquet(out)
 
 
+def _late(df, number, time, late):
+    """Every other row arrives ``late`` after its ``time``, and last of all a row that ends each video."""
+    ends = df.select("video_id").distinct().withColumn("arrives", F.lit(1e9))
+    arrives = time + F.when(F.col(number) % 2 == 0, late).otherwise(0.0)
+    return df.withColumn("arrives", arrives).unionByName(ends, allowMissingColumns=True)
+
+
 def stream_signals(c):
+    """Every other frame arrives three frames late."""
     frames = P._frames(c)
     body = px.crop_rows(frames, px.overlay_body_band(px.row_change_frequency(frames, P.ROW_DELTA)))
 
     def measure(stream):
-        return streams.stream_signals(stream, P.ANCHOR, P.CUT, P.SETTLE)
+        return streams.stream_signals(stream, P.ANCHOR, P.CUT, P.SETTLE, lateness=0.25)
 
-    done = _arriving(c, body, F.col("frame_no") * 20, measure, "frames")
+    late = _late(body, "frame_no", F.col("frame_no") * 20, 60.0)
+    done = _arriving(c, late, F.col("arrives"), measure, "frames")
     return done.select(
         "video_id", F.col("idx").alias("frame_no"), F.round("anchor", 8).alias("anchor"), "is_anchor_reset"
     )
@@ -65,17 +74,16 @@ def stream_events(c):
         return streams.stream_events(stream, merge_window=12.0, settle_limit=24.0, lateness=24.0)
 
     signals = c.signals.select("video_id", "idx", "t", "anchor", "rate", "area")
-    ends = signals.select("video_id").distinct().withColumn("arrives", F.lit(1e9))
-    arrives = F.col("t") + F.when(F.col("idx") % 2 == 0, 20.0).otherwise(0.0)
-    late = signals.withColumn("arrives", arrives).unionByName(ends, allowMissingColumns=True)
-    return _arriving(c, late, F.col("arrives"), detect, "signals")
+    return _arriving(c, _late(signals, "idx", F.col("t"), 20.0), F.col("arrives"), detect, "signals")
 
 
 def stream_flags(c):
+    """Every other press arrives 20 hours late."""
+
     def replay(stream):
-        return streams.stream_flags(stream, 24.0)
+        return streams.stream_flags(stream, 24.0, lateness=24.0)
 
-    changes = _arriving(c, _presses(c), F.col("t"), replay, "presses")
+    changes = _arriving(c, _late(_presses(c), "press_no", F.col("t"), 20.0), F.col("arrives"), replay, "presses")
     return changes.groupBy("video_id", "t").agg(F.sum("change").alias("n")).where("n > 0").select("video_id", "t")
 
 

@@ -142,6 +142,51 @@ def test_streamed_signals_equal_batch_signals(spark, tmp_path):
         assert np.allclose([g.anchor, g.rate, g.area], [w.anchor, w.rate, w.area])
 
 
+FRAME = "video_id string, frame_no bigint, t double, gray array<float>"
+
+
+def test_late_frames_are_measured_in_order(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    data = [("v", i, float(i), rng.uniform(0, 255, 16).astype(np.float32).tolist()) for i in range(40)]
+    df = spark.createDataFrame(data, FRAME)
+    want = feed(spark, tmp_path, df, [F.lit(True)], streams.stream_signals, "whole").orderBy("idx").collect()
+    fed = df.unionByName(spark.createDataFrame([("v", None, None, None)], FRAME))
+    at = F.coalesce(F.col("frame_no") + F.when(F.col("frame_no") % 3 == 0, 6).otherwise(0), F.lit(99))
+    slices = [at < 3, (at >= 3) & (at < 20), at >= 20]
+    got = feed(spark, tmp_path, fed, slices, lambda s: streams.stream_signals(s, lateness=6.0), "late").orderBy("idx").collect()
+    assert len(got) == 40 and got == want
+
+
+def test_late_presses_are_replayed_in_order(spark, tmp_path):
+    times = [1.0, 5.0, 1.2, 9.0, 9.1, 14.0, 14.2, 20.0]
+    df = spark.createDataFrame([("v", i, t) for i, t in enumerate(times)], "video_id string, press_no bigint, t double")
+    want = sorted(map(tuple, feed(spark, tmp_path, df, [F.lit(True)], streams.stream_flags, "all").collect()))
+    fed = df.unionByName(spark.createDataFrame([("v", None, None)], df.schema))
+    slices = [F.col("press_no").isin(0, 2, 4), F.col("press_no").isin(1, 3, 6), F.coalesce("press_no", F.lit(7)).isin(5, 7)]
+    got = feed(spark, tmp_path, fed, slices, lambda s: streams.stream_flags(s, lateness=15.0), "late")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_a_timer_sends_the_tail_of_a_video(spark, tmp_path):
+    """Video a gets no end row; the watermark passes its last sample when b's come."""
+    seconds = [("a", i) for i in range(30)] + [("b", i) for i in range(500, 530)]
+    base = spark.createDataFrame(seconds, "video_id string, n long").withColumn("ts", F.timestamp_seconds("n"))
+    t = F.col("n").cast("double").alias("t")
+    slices = [F.col("video_id") == "a", F.col("video_id") == "b"]
+    frames = base.select("video_id", F.col("n").alias("frame_no"), t, F.array(F.lit(1.0), F.lit(2.0)).alias("gray"), "ts")
+    got = feed(spark, tmp_path, frames, slices, lambda s: streams.stream_signals(s, lateness=9.0, delay="20 seconds"), "f")
+    assert got.where("video_id = 'a'").count() == 30
+    presses = base.select("video_id", F.col("n").alias("press_no"), t, "ts")
+    got = feed(spark, tmp_path, presses, slices, lambda s: streams.stream_flags(s, lateness=9.0, delay="20 seconds"), "p")
+    assert got.where("video_id = 'a'").agg(F.max("press_no")).first()[0] == 29
+    peak = F.when(F.col("n") % 100 == 28, 0.5).otherwise(0.0)
+    signals = base.select(
+        "video_id", F.col("n").alias("idx"), t, F.lit(0.0).alias("anchor"), F.lit(0.0).alias("rate"), peak.alias("area"), "ts"
+    )
+    got = feed(spark, tmp_path, signals, slices, lambda s: streams.stream_events(s, delay="20 seconds"), "e")
+    assert [r.idx for r in got.where("video_id = 'a'").collect()] == [28]
+
+
 def test_newest_verdict_wins(spark):
     df = spark.createDataFrame([("a", False, 0), ("a", True, 2), ("b", False, 1)], "path string, ok boolean, batch int")
     assert {r.path: r.ok for r in streams.latest_verdicts(df).collect()} == {"a": True, "b": False}
