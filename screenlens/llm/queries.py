@@ -11,6 +11,7 @@ from screenlens.llm import (
     packing,
     preference,
     simhash,
+    token_alignment,
     toxicity,
     url_filter,
 )
@@ -58,6 +59,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    return token_alignment.token_alignment(table(spark, sf_dir, "documents"))[0]
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_preference_format": op2_preference_format,
@@ -69,6 +74,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 ORACLE = {
