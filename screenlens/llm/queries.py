@@ -6,6 +6,7 @@ from screenlens.llm import (
     decontaminate,
     hamming_search,
     language_id,
+    license_scan,
     line_dedup,
     lm_score,
     packing,
@@ -63,6 +64,10 @@ def op11_token_alignment(spark, sf_dir):
     return token_alignment.token_alignment(table(spark, sf_dir, "documents"))[0]
 
 
+def op12_license_scan(spark, sf_dir):
+    return license_scan.digest(license_scan.license_scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_preference_format": op2_preference_format,
@@ -75,6 +80,7 @@ QUERIES = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_token_alignment": op11_token_alignment,
+    "op12_license_scan": op12_license_scan,
 }
 
 ORACLE = {
