@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from screenlens.llm import (
+    conversation_repair,
     decontaminate,
     hamming_search,
     language_id,
@@ -68,6 +69,11 @@ def op12_license_scan(spark, sf_dir):
     return license_scan.digest(license_scan.license_scan(table(spark, sf_dir, "documents")))
 
 
+def op13_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.digest(conversations, conversation_repair.repair(conversation_repair.damaged(conversations)))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_preference_format": op2_preference_format,
@@ -81,6 +87,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_token_alignment": op11_token_alignment,
     "op12_license_scan": op12_license_scan,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE = {
