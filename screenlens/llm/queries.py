@@ -25,8 +25,8 @@ def op1_best_fit_packing(spark, sf_dir):
 
 
 def op2_preference_format(spark, sf_dir):
-    pairs = preference.swapped_answers(table(spark, sf_dir, "conversations"))
-    return preference.digest(preference.preference_format(*pairs))
+    pairs = preference.paired(preference.swapped_answers(table(spark, sf_dir, "conversations")))
+    return preference.digest(preference.formatted(pairs))
 
 
 def op3_decontaminate(spark, sf_dir):
