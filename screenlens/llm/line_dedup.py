@@ -69,9 +69,21 @@ def _with_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: int,
 
 
 def _kept(text: Column) -> Column:
-    """The text without the lines of __positions; no lines to drop leave it as it is."""
-    kept = F.array_join(F.filter(_lines(text), lambda _, i: ~F.array_contains("__positions", i)), "\n")
-    return F.when(F.col("__positions").isNull(), text).otherwise(kept)
+    """The text without the lines of __positions, put together from the stretches between them; no lines to drop leave it
+    as it is."""
+    lines = _lines(text)
+    ends = F.concat(F.array(F.lit(-1)), F.sort_array("__positions"), F.array(F.size(lines)))
+
+    def between(one: Column) -> Column:
+        def stretch(i: Column) -> Column:
+            start = F.get(one["ends"], i)
+            return F.slice(one["lines"], start + 2, F.get(one["ends"], i + 1) - start - 1)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(one["ends"]) - 2), stretch))
+
+    # as elements of an array, lines and ends are worked out once and not again for every stretch
+    whole = F.transform(F.array(F.struct(lines.alias("lines"), ends.alias("ends"))), between)
+    return F.when(F.col("__positions").isNull(), text).otherwise(F.array_join(F.get(whole, F.lit(0)), "\n"))
 
 
 def line_dedup(

@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import defaultdict
 
 from screenlens.llm.line_dedup import digest, line_dedup
@@ -56,3 +57,13 @@ def test_digest_and_empty_table(docs, rows):
     row = [r for r in rows(digest(line_dedup(docs(CASES)))) if r[0] == 4][0]
     assert row == (4, 1, 0, hashlib.sha256(b"").hexdigest())
     assert rows(line_dedup(docs([]))) == []
+
+
+def test_time_grows_with_the_lines(docs, rows):
+    """Texts that share all lines but every third, up to 120,000 of them; a square would take hours."""
+    text = "\n".join(f"shared line {i}" for i in range(80_000))
+    other = "\n".join(f"shared line {i}" + ("\nown line number %d" % i if i % 2 else "") for i in range(80_000))
+    pairs = [(1, text), (2, other), (3, text)]
+    start = time.perf_counter()
+    assert sorted(rows(line_dedup(docs(pairs))), key=str) == brute(pairs)
+    assert time.perf_counter() - start < 60
