@@ -12,6 +12,7 @@ A prediction needs no sparse vector: the margin of a language is the mean, over
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,9 @@ ALPHA, BETA, L1, L2, SCALE = 0.3, 1.0, 0.02, 0.1, 40.0
 TEMPERATURES = np.exp(np.linspace(np.log(0.02), np.log(20), 140))
 UNKNOWN = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+#: Characters that ``\w`` takes for part of a word though they are no letters: digits, and signs such as ² or Ⅷ.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_OTHER = re.compile(rf"[\W_{_NUMBERS}]+")
 _STEP = np.uint32(0x01000193)
 _MIX = np.uint32(0x9E3779B1)
 #: Characters whose n-grams are held at once.

@@ -38,6 +38,9 @@ def test_language_without_labels(spark):
 
 
 def test_ngrams_in_chunks_are_those_of_the_whole(monkeypatch):
+    for text in ("½ ² Ⅷ", "²", "12 ٣ ४", "_ - \n", "①"):
+        assert language_id.letters_of(text) == ""
+    assert language_id.letters_of("a²b") == " a b "
     letters = language_id.letters_of("Ein Wort, noch EIN Wort und élève " * 50)
     whole = np.sort(np.concatenate(list(language_id.grams(letters))))
     monkeypatch.setattr(language_id, "CHUNK", 37)
