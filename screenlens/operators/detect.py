@@ -7,15 +7,8 @@ from pyspark.sql import functions as F
 
 from screenlens import params as P
 from screenlens.functions.rounding import exact_round
-from screenlens.operators.ordered import (
-    Ordered,
-    asof,
-    latest,
-    neighbours,
-    replayed,
-    running_sum,
-    upcoming,
-)
+from screenlens.operators.clusters import with_leaders
+from screenlens.operators.ordered import Ordered, asof, latest, neighbours, running_sum, upcoming
 
 VIDEO = ["video_id"]
 
@@ -121,15 +114,14 @@ def neighbour_ratio_cut(
 ) -> DataFrame:
     """Auxiliary detector: rate at least ``ratio`` times the mean of the two samples on each side
     and above a floor; the first sample is a forced boundary and never reported."""
-    near = neighbours(
-        signals.select("video_id", "idx", "t", "rate"),
-        VIDEO,
-        "idx",
-        before={"_b1": F.col("rate")},
-        after={"_a1": F.col("rate")},
+    one, two = F.struct("rate"), F.struct("_b1", "_a1")
+    near = (
+        Ordered.of(signals.select("video_id", "idx", "t", "rate"), VIDEO, ["idx"])
+        .scan(_b1=latest(one, inclusive=False), _a1=upcoming(one, inclusive=False))
+        .scan(_b2=latest(two, inclusive=False), _a2=upcoming(two, inclusive=False))
+        .rows()
     )
-    near = neighbours(near, VIDEO, "idx", before={"_b2": F.col("_b1")}, after={"_a2": F.col("_a1")})
-    around = F.array_compact(F.array("_b2", "_b1", "_a1", "_a2"))
+    around = F.array_compact(F.array("_b2._b1.rate", "_b1.rate", "_a1.rate", "_a2._a1.rate"))
     mean = F.aggregate(around, F.lit(0.0), lambda a, x: a + x) / F.size(around)
     return near.filter(
         (F.col("idx") > 0)
@@ -172,26 +164,12 @@ def merge_peaks(peaks: DataFrame, merge_window: float = P.MERGE_WINDOW, keys: li
     """Leader clustering: a peak joins the open cluster while it is at most ``merge_window`` after
     the cluster's *first* peak.
 
-    A gap wider than the window always opens a cluster, so peaks split into independent trains
-    first. Each train is streamed in order with its open cluster's start as the only state, so a
-    train (endless animation) may be of any length.
+    Peaks are cut into even chunks in order. From a leader one binary search jumps to the next one, so a chunk is a map
+    from the cluster open on entry to the cluster open on exit. The maps of all chunks are worked out side by side and
+    composed, and each chunk is then finished from its entry. A train without gaps is spread like any other.
     """
-    samples = peaks.groupBy(*keys, "idx", "t").agg(F.collect_set("signal").alias("tags"))
-    trains = (
-        Ordered.of(samples, keys, ["idx"])
-        .scan(_before=latest(F.col("t"), inclusive=False))
-        .with_columns(_opens=F.coalesce(F.col("t") - F.col("_before") > merge_window, F.lit(True)))
-        .scan(train=latest(F.when(F.col("_opens"), F.col("idx"))))
-        .rows()
-        .select(*keys, "train", "idx", "t", "tags")
-    )
-    led = replayed(
-        trains,
-        [*keys, "train"],
-        ["idx"],
-        lambda: _leader(merge_window),
-        ", ".join(f"{k} string" for k in keys) + ", train long, idx long, t double, tags array<string>, leader long",
-    )
+    samples = peaks.groupBy(*keys, "idx", "t").agg(F.array_sort(F.collect_set("signal")).alias("tags"))
+    led = with_leaders(samples, keys, merge_window)
     return (
         led.groupBy(*keys, "leader")
         .agg(
@@ -210,18 +188,6 @@ def merge_peaks(peaks: DataFrame, merge_window: float = P.MERGE_WINDOW, keys: li
     )
 
 
-def _leader(merge_window: float):
-    first = None
-
-    def take(idx: int, t: float, tags) -> list[tuple]:
-        nonlocal first
-        if first is None or t - first[1] > merge_window:
-            first = (idx, t)
-        return [(idx, t, tags, first[0])]
-
-    return take
-
-
 def settle_points(
     clusters: DataFrame,
     signals: DataFrame,

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenlens.functions.rounding import exact_round
 from screenlens.operators.intervals import interval_at, overlap_pairs
-from screenlens.operators.ordered import asof, joined_text, union_all
-from screenlens.session import materialize
+from screenlens.operators.ordered import around, asof, joined_text
 
 RUN = ["video_id", "run"]
 VIDEO = ["video_id"]
@@ -43,35 +42,26 @@ def assign_segments(segments: DataFrame, screens: DataFrame) -> DataFrame:
     named = _screens_named(screens)
     seg = segments.select(*RUN, "seg_no", F.col("start").alias("_s"), F.col("end").alias("_e"))
     overlap = F.least("_e", "_b") - F.greatest("_s", "_a")
-    best = materialize(
+    best = (
         overlap_pairs(seg, named, RUN, ("_s", "_e"), ("_a", "_b"), overlap > 0)
         .groupBy(*RUN, "seg_no")
-        .agg(F.max_by("screen", F.struct(overlap, -F.col("screen"))).alias("screen")),
-        "overlaps",
-    )
-    rest = materialize(seg.join(best, [*RUN, "seg_no"], "left_anti"), "rest")
-    assigned = best.unionByName(_nearest_screen(rest, named))
-    return segments.join(assigned, [*RUN, "seg_no"])
-
-
-def _nearest_screen(rest: DataFrame, named: DataFrame) -> DataFrame:
-    # Starts and ends both rise with the screen number, so the nearest start and the nearest end
-    # are next to the last screen that began (ended) at or before the segment's start (end).
-    screen = {"_k": F.col("screen")}
-    by_start = asof(rest, named, RUN, F.col("_s"), F.col("_a"), screen, tie=F.col("screen"))
-    by_end = asof(rest, named, RUN, F.col("_e"), F.col("_b"), screen, tie=F.col("screen"))
-    k = F.coalesce("_k", F.lit(-1).cast("long"))
-    tries = (
-        union_all([by_start, by_end])
-        .select(*rest.columns, F.explode(F.array(k - 1, k, k + 1, k + 2)).alias("screen"))
-        .distinct()
-    )
-    distance = F.least(F.abs(F.col("_a") - F.col("_s")), F.abs(F.col("_b") - F.col("_e")))
-    return (
-        tries.join(named, [*RUN, "screen"])
-        .groupBy(*RUN, "seg_no")
-        .agg(F.min_by("screen", F.struct(distance, F.col("screen"))).alias("screen"))
+        .agg(F.max_by("screen", F.struct(overlap, -F.col("screen"))).alias("_best"))
     )
+    # Starts and ends both rise with the screen number, so the nearest start is that of the screen before or after the
+    # segment's start, and the nearest end likewise.
+    span = {"screen": F.col("screen"), "a": F.col("_a"), "b": F.col("_b")}
+    by_start = around(seg, named, RUN, F.col("_s"), F.col("_a"), span, F.col("screen"))
+    by_start = by_start.withColumnsRenamed({"_prev": "_n1", "_next": "_n2"})
+    near = around(by_start, named, RUN, F.col("_e"), F.col("_b"), span, F.col("screen"))
+
+    def reach(name: str) -> Column:
+        a, b, screen = (F.col(f"{name}.{c}") for c in ("a", "b", "screen"))
+        distance = F.least(F.abs(a - F.col("_s")), F.abs(b - F.col("_e")))
+        return F.when(screen.isNotNull(), F.struct(distance.alias("d"), screen.alias("screen")))
+
+    nearest = F.array_min(F.array_compact(F.array(*[reach(n) for n in ("_n1", "_n2", "_prev", "_next")])))["screen"]
+    chosen = near.join(best, [*RUN, "seg_no"], "left").select(*RUN, "seg_no", F.coalesce("_best", nearest).alias("screen"))
+    return segments.join(chosen.filter("screen IS NOT NULL"), [*RUN, "seg_no"])
 
 
 def frame_to_screen(frames: DataFrame, screens: DataFrame) -> DataFrame:
@@ -159,26 +149,18 @@ def request_holder(
     )
 
 
-def hosts(segments: DataFrame, screens: DataFrame, assigned: DataFrame) -> DataFrame:
+def hosts(screens: DataFrame, assigned: DataFrame) -> DataFrame:
     """Screens without dialogue of their own that a longer sentence runs across, with the screen
     that owns the sentence; of several such sentences the last one decides."""
-    seg = segments.select(*RUN, "seg_no", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    crossed = overlap_pairs(
-        seg,
-        _screens_named(screens),
-        RUN,
-        ("_s", "_e"),
-        ("_a", "_b"),
-        (F.col("_e") > F.col("_a")) & (F.col("_s") < F.col("_b")),
-    ).select(*RUN, "seg_no", "screen")
-    owner = assigned.select(*RUN, "seg_no", F.col("screen").alias("host"))
-    wide = crossed.groupBy(*RUN, "seg_no").agg(F.count("*").alias("_n")).filter("_n > 1")
+    # A sentence that lasts and crosses one screen only belongs to that screen, so others that it crosses are enough.
+    seg = assigned.filter("end > start").select(
+        *RUN, "seg_no", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("screen").alias("host")
+    )
+    crosses = (F.col("_e") > F.col("_a")) & (F.col("_s") < F.col("_b")) & (F.col("screen") != F.col("host"))
+    crossed = overlap_pairs(seg, _screens_named(screens), RUN, ("_s", "_e"), ("_a", "_b"), crosses)
     speaking = assigned.select(*RUN, "screen").distinct()
     return (
-        crossed.join(wide, [*RUN, "seg_no"])
-        .join(owner, [*RUN, "seg_no"])
-        .filter("screen <> host")
-        .join(speaking, [*RUN, "screen"], "left_anti")
+        crossed.join(speaking, [*RUN, "screen"], "left_anti")
         .groupBy(*RUN, "screen")
         .agg(F.max_by("host", "seg_no").alias("host"))
     )

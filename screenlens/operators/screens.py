@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from screenlens.functions.rounding import exact_round
 from screenlens import params as P
+from screenlens.operators.intervals import overlap_pairs
 from screenlens.operators.ordered import Ordered, latest, neighbours, number_rows, running_sum
 
 RUN = ["video_id", "run"]
@@ -252,16 +253,12 @@ def unanalysed_gaps(runs: DataFrame, videos: DataFrame) -> DataFrame:
     )
 
 
-def rejected_in(candidates: DataFrame, spans: DataFrame, width: float = 60.0) -> DataFrame:
+def rejected_in(candidates: DataFrame, spans: DataFrame) -> DataFrame:
     """Rejected candidates inside each half-open span (video_id, span_id, start, end)."""
-    buckets = spans.filter("end > start").withColumn(
-        "_bucket",
-        F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))),
-    )
-    rejected = candidates.filter("status = 'rejected'").withColumn(
-        "_bucket", F.floor(F.col("t") / width)
-    )
-    return rejected.join(buckets, ["video_id", "_bucket"]).filter("start <= t AND t < end").select(
+    rejected = candidates.filter("status = 'rejected'").select("video_id", "t", "reject_reason")
+    named = spans.filter("end > start").select("video_id", "span_id", "start", "end")
+    inside = (F.col("start") <= F.col("t")) & (F.col("t") < F.col("end"))
+    return overlap_pairs(rejected, named, ["video_id"], ("t", "t"), ("start", "end"), inside).select(
         "video_id", "span_id", "t", "reject_reason"
     )
 

@@ -96,13 +96,13 @@ def attach_dialogue(c):
 def hosts(c):
     all_screens, scoped = c.screens, c.scoped_segments
     said = dialogue.assign_segments(scoped, all_screens)
-    return dialogue.hosts(scoped, all_screens, said)
+    return dialogue.hosts(all_screens, said)
 
 
 def _shown(c):
     all_screens, scoped = c.screens, c.scoped_segments
     said = c.assigned
-    hosted = materialize(dialogue.hosts(scoped, all_screens, said), "hosts")
+    hosted = materialize(dialogue.hosts(all_screens, said), "hosts")
     frames = c.frames_on_screens.filter("status = 'accepted'")
     return all_screens, hosted, said, frames
 

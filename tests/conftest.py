@@ -24,8 +24,11 @@ def rows():
     return collect
 
 
-@pytest.fixture(params=["plain windows", "chunks"])
-def both_ways(request, monkeypatch):
-    """Run a test with plain windows per key and with every group cut into chunks."""
-    if request.param == "chunks":
-        monkeypatch.setattr("screenlens.operators.ordered.GROUP_LIMIT", 0)
+@pytest.fixture(params=[1, 7])
+def both_ways(request, spark, monkeypatch):
+    """Run a test with everything in one partition and with every sequence cut into several."""
+    monkeypatch.setattr("screenlens.operators.ordered.CHUNK_BYTES", 1 << 60 if request.param == 1 else 1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)

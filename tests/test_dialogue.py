@@ -88,7 +88,7 @@ def test_random_assignment_and_hosts_match_brute_force(spark, both_ways):
     assigned = dialogue.assign_segments(said, shown)
     owner = {r.seg_no: r.screen for r in assigned.collect()}
     assert owner == brute_assign(segs, spans)
-    hosts = {r.screen: r.host for r in dialogue.hosts(said, shown, assigned).collect()}
+    hosts = {r.screen: r.host for r in dialogue.hosts(shown, assigned).collect()}
     assert hosts == brute_hosts(segs, spans, owner)
 
 
@@ -131,7 +131,7 @@ def test_screens_without_pictures_keep_their_dialogue(spark):
         [("v", "full", 0, 1.0, 0, "frames/a.jpg")],
         "video_id string, run string, screen bigint, t double, frame_no bigint, image string",
     )
-    hosts = dialogue.hosts(said, shown, assigned)
+    hosts = dialogue.hosts(shown, assigned)
     got = documents.sections(shown, hosts, assigned, frames).orderBy("section").collect()
     assert [(r.section, r.n_images, r.text) for r in got] == [(0, 1, "s0"), (1, 0, "s1"), (2, 0, "s2")]
     titles = spark.createDataFrame([("v", "full", "talk", 50.0)], "video_id string, run string, title string, duration double")
