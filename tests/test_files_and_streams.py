@@ -187,6 +187,54 @@ def test_a_timer_sends_the_tail_of_a_video(spark, tmp_path):
     assert [r.idx for r in got.where("video_id = 'a'").collect()] == [28]
 
 
+def test_streamed_events_with_hits_equal_batch_events(spark, tmp_path):
+    """Hits of another detector come as a second stream, some of them late, one after the end of the samples."""
+    rng = np.random.default_rng(12)
+    data = [("v", i, i / 10, 0.0, float(rng.choice([0.001, 0.02])), float(rng.choice([0.0] * 9 + [0.01])), False) for i in range(150)]
+    df = spark.createDataFrame(data, streams.SIGNAL_ROW)
+    hits = spark.createDataFrame([("v", t) for t in (0.0, 1.23, 1.25, 4.0, 9.99, 14.9, 15.4)], "video_id string, t double")
+    fed = df.unionByName(spark.createDataFrame([("v", None)], "video_id string, idx bigint"), allowMissingColumns=True)
+    parts = {"s": (fed, F.coalesce(F.col("t"), F.lit(99.0))), "h": (hits, F.col("t") + 1.0)}
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for low, high in ((-1, 3.0), (3.0, 9.0), (9.0, 100.0)):
+        for name, (rows, at) in parts.items():
+            rows.filter((at >= low) & (at < high)).write.mode("append").parquet(str(tmp_path / name))
+        read = {n: spark.readStream.schema(rows.schema).parquet(str(tmp_path / n)) for n, (rows, _) in parts.items()}
+        figures = streams.run_to_table(streams.stream_events(read["s"], lateness=2.0, extra_hits=read["h"]), out, state)
+    batch = detect.detect_events(df, hits).withColumn("signals", F.array_join("signals", "+"))
+    got = spark.read.parquet(out)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*got.columns).collect()))
+    assert any("adaptive" in r.signals for r in got.collect()) and figures == [{"rows": 0}]
+
+
+@pytest.mark.parametrize("by_timer", [False, True])
+def test_no_state_is_left_when_videos_have_ended(spark, tmp_path, by_timer):
+    base = spark.createDataFrame([(v, i) for v in "abc" for i in range(20)], "video_id string, n long")
+    base = base.withColumn("ts", F.timestamp_seconds("n"))
+    names = base.select("video_id").distinct()
+    last = spark.createDataFrame([("z", 10_000)], "video_id string, n long").withColumn("ts", F.timestamp_seconds("n"))
+    t = F.col("n").cast("double").alias("t")
+    delay = "20 seconds" if by_timer else None
+    forms = {
+        "frame_no": ([F.array(F.lit(1.0), F.lit(2.0)).alias("gray")], streams.stream_signals),
+        "press_no": ([], streams.stream_flags),
+        "idx": ([F.lit(0.0).alias("anchor"), F.lit(0.0).alias("rate"), F.when(F.col("n") % 9 == 4, 0.5).otherwise(0.0).alias("area")], streams.stream_events),
+    }
+    for number, (more, operator) in forms.items():
+        rows = [df.select("video_id", F.col("n").alias(number), t, "ts", *more) for df in (base, last)]
+        ends = names.select("video_id", F.lit(None).cast("long").alias(number), F.lit(None).cast("double").alias("t"))
+        source, out, state = (str(tmp_path / f"{number}-{x}") for x in ("in", "out", "state"))
+        left = []
+        for part in (rows[0], rows[1] if by_timer else ends):
+            part.write.mode("append").parquet(source)
+            stream = spark.readStream.schema(rows[0].schema).parquet(source)
+            left.append(streams.run_to_table(operator(stream, lateness=5.0, delay=delay), out, state)[0]["rows"])
+        videos = {r.video_id for r in spark.read.parquet(out).select("video_id").distinct().collect()}
+        assert left[0] > 0 and videos == {"a", "b", "c"}
+        # by timer only z is open: its clock, what waits, its timer
+        assert left[1] <= 6 if by_timer else left[1] == 0, (number, left)
+
+
 def test_newest_verdict_wins(spark):
     df = spark.createDataFrame([("a", False, 0), ("a", True, 2), ("b", False, 1)], "path string, ok boolean, batch int")
     assert {r.path: r.ok for r in streams.latest_verdicts(df).collect()} == {"a": True, "b": False}
