@@ -36,9 +36,9 @@ ALPHA, BETA, L1, L2, SCALE = 0.3, 1.0, 0.02, 0.1, 40.0
 TEMPERATURES = np.exp(np.linspace(np.log(0.02), np.log(20), 140))
 UNKNOWN = "und"
 
-#: Characters that ``\w`` takes for part of a word though they are no letters: digits, and signs such as ² or Ⅷ.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_OTHER = re.compile(rf"[\W_{_NUMBERS}]+")
+#: Signs that ``\w`` takes for part of a word though they are neither letters nor digits, such as ² or Ⅷ.
+_SIGNS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+_OTHER = re.compile(r"[\W\d_]+")
 _STEP = np.uint32(0x01000193)
 _MIX = np.uint32(0x9E3779B1)
 #: Characters whose n-grams are held at once.
@@ -47,7 +47,11 @@ CHUNK = 1 << 18
 
 def letters_of(text: str | None) -> str:
     """Lower-case letters, words parted by one space; empty if there is no letter."""
-    words = _OTHER.sub(" ", (text or "").lower()).strip()
+    lowered = (text or "").lower()
+    if not lowered.isascii():
+        for sign in _SIGNS.intersection(lowered):
+            lowered = lowered.replace(sign, " ")
+    words = _OTHER.sub(" ", lowered).strip()
     return f" {words} " if words else ""
 
 
