@@ -12,58 +12,55 @@ from screenlens.functions.rounding import exact_round
 from screenlens.functions.text import srt_time
 from screenlens.operators.budget import read_path
 from screenlens.operators.ordered import joined_text, number_rows, union_all
-from screenlens.session import materialize
 
 RUN = ["video_id", "run"]
 NO_IMAGE = "(no image: the screen was empty)"
 NO_SPEECH = "(no speech)"
 
 
-def _section_of(df: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Rows keyed by screen, moved to the section that shows the screen."""
-    return df.join(hosts.select(*RUN, "screen", "host"), [*RUN, "screen"], "left").withColumn(
-        "section", F.coalesce("host", "screen")
-    ).drop("host")
-
-
-def section_spans(
+def sections(
     screens: DataFrame, hosts: DataFrame, assigned: DataFrame, frames: DataFrame
 ) -> DataFrame:
-    """(video_id, run, section, start, end, n_screens, n_images, n_segments): one row per screen
-    that is not hosted elsewhere and has an image or a sentence to show."""
-    spans = (
-        _section_of(screens, hosts)
-        .groupBy(*RUN, "section")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_screens"))
-    )
-    images = _section_of(frames, hosts).groupBy(*RUN, "section").agg(F.count("*").alias("n_images"))
-    said = assigned.groupBy(*RUN, F.col("screen").alias("section")).agg(
-        F.count("*").alias("n_segments"), F.max(F.trim("text") != "").alias("_says")
-    )
-    zero = F.lit(0).cast("long")
-    return (
-        spans.join(images, [*RUN, "section"], "left")
-        .join(said, [*RUN, "section"], "left")
-        .withColumns({c: F.coalesce(c, zero) for c in ("n_images", "n_segments")})
-        .filter((F.col("n_images") > 0) | F.coalesce("_says", F.lit(False)))
-        .drop("_says")
+    """Sections with their images (one path per line) and their text: (video_id, run, section, start, end, n_screens,
+    n_images, n_segments, images, text), one row per screen that is not hosted elsewhere and has an image or a sentence
+    to show. ``frames``: accepted frames with screen, t, frame_no, image.
+
+    Screens, images and sentences are one tagged table, joined once to the hosts and aggregated once.
+    """
+    at = F.struct(F.col("screen").alias("a"), F.col("t").alias("b"), F.col("frame_no").cast("long").alias("c"))
+    said = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0.0).alias("b"), F.col("seg_no").cast("long").alias("c"))
+    keys = [*RUN, "screen"]
+    rows = union_all(
+        [
+            screens.select(*keys, F.lit("screen").alias("kind"), "start", "end"),
+            frames.select(*keys, F.lit("image").alias("kind"), at.alias("at"), F.col("image").alias("piece")),
+            assigned.select(*keys, F.lit("said").alias("kind"), said.alias("at"), F.trim("text").alias("piece")),
+        ]
     )
+    shown_on = rows.join(hosts.select(*keys, "host"), keys, "left").withColumn("section", F.coalesce("host", "screen"))
 
+    def count(kind: str) -> Column:
+        return F.count_if(F.col("kind") == kind)
 
-def sections(
-    screens: DataFrame, hosts: DataFrame, assigned: DataFrame, frames: DataFrame
-) -> DataFrame:
-    """Sections with their images (one path per line) and their text, as (…, images, text).
-    ``frames``: accepted frames with screen, t, frame_no, image."""
-    spans = section_spans(screens, hosts, assigned, frames)
-    keys = [*RUN, "section"]
-    pictures = joined_text(
-        _section_of(frames, hosts), keys, ["screen", "t", "frame_no"], F.col("image"), "\n"
-    ).withColumnRenamed("text", "images")
-    speech = joined_text(
-        assigned.filter(F.trim("text") != "").withColumnRenamed("screen", "section"), keys, ["seg_no"], F.trim("text"), " "
+    def joined(kind: str, separator: str) -> Column:
+        wanted = (F.col("kind") == kind) & ((F.col("piece") != "") | F.lit(kind == "image"))
+        pieces = F.sort_array(F.collect_list(F.when(wanted, F.struct("at", F.coalesce("piece", F.lit("")).alias("piece")))))
+        text = F.array_join(F.transform(pieces, lambda x: x["piece"]), separator)
+        return F.when(F.size(pieces) > 0, text)
+
+    return (
+        shown_on.groupBy(*RUN, "section")
+        .agg(
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            count("screen").alias("n_screens"),
+            count("image").alias("n_images"),
+            count("said").alias("n_segments"),
+            joined("image", "\n").alias("images"),
+            joined("said", " ").alias("text"),
+        )
+        .filter("n_screens > 0 AND (n_images > 0 OR text IS NOT NULL)")
     )
-    return spans.join(pictures, keys, "left").join(speech, keys, "left")
 
 
 def rag_rows(section_rows: DataFrame) -> DataFrame:
@@ -97,9 +94,6 @@ def render_context(
         .select(
             *RUN,
             F.lit(-1).cast("long").alias("section"),
-            F.lit(0).alias("slot"),
-            F.lit(0).cast("long").alias("a"),
-            F.lit(0).cast("long").alias("b"),
             F.format_string(
                 "# %s\n\n%d screens, %d images, %d s\n\n"
                 "Images are reading copies; opening all %d costs about %d tokens (%s). "
@@ -114,38 +108,19 @@ def render_context(
             ).alias("piece"),
         )
     )
-    spans = materialize(section_spans(screens, hosts, assigned, frames), "sections")
-
-    def piece(df: DataFrame, slot: int, a: Column, b: Column, text: Column) -> DataFrame:
-        return df.select(
-            *RUN, "section", F.lit(slot).alias("slot"), a.cast("long").alias("a"),
-            b.cast("long").alias("b"), text.alias("piece"),
-        )
-
-    none = F.lit(0)
-    spoken = assigned.filter(F.trim("text") != "")
-    first_said = spoken.groupBy(*RUN, F.col("screen").alias("section")).agg(
-        F.min("seg_no").alias("_first")
+    title = F.concat(F.lit("## "), _seconds(F.col("start")), F.lit("-"), _seconds(F.col("end")), F.lit("s\n"))
+    links = F.transform(F.split("images", "\n"), lambda i: F.concat(F.lit("![]("), read_path(i), F.lit(")\n")))
+    body = sections(screens, hosts, assigned, frames).select(
+        *RUN,
+        F.col("section").cast("long").alias("section"),
+        F.concat(
+            title,
+            F.coalesce(F.array_join(links, ""), F.lit(NO_IMAGE + "\n")),
+            F.coalesce("text", F.lit(NO_SPEECH)),
+            F.lit("\n\n"),
+        ).alias("piece"),
     )
-    speech = spoken.withColumnRenamed("screen", "section").join(first_said, [*RUN, "section"])
-    gap = F.when(F.col("seg_no") == F.col("_first"), F.lit("")).otherwise(F.lit(" "))
-    silent = F.when(F.col("_first").isNull(), F.lit(NO_SPEECH + "\n\n")).otherwise(F.lit("\n\n"))
-    pieces = [
-        head,
-        piece(spans, 0, none, none, F.concat(F.lit("## "), _seconds(F.col("start")), F.lit("-"), _seconds(F.col("end")), F.lit("s\n"))),
-        piece(
-            _section_of(frames, hosts).join(spans.select(*RUN, "section"), [*RUN, "section"], "left_semi"),
-            1, F.col("screen"), F.col("frame_no"),
-            F.concat(F.lit("![]("), read_path(F.col("image")), F.lit(")\n")),
-        ),
-        piece(spans.filter("n_images = 0"), 2, none, none, F.lit(NO_IMAGE + "\n")),
-        piece(
-            speech.join(spans.select(*RUN, "section"), [*RUN, "section"], "left_semi"),
-            3, F.col("seg_no"), none, F.concat(gap, F.trim("text")),
-        ),
-        piece(spans.join(first_said, [*RUN, "section"], "left"), 4, none, none, silent),
-    ]
-    return joined_text(union_all(pieces), RUN, ["section", "slot", "a", "b"], F.col("piece"), "")
+    return joined_text(head.unionByName(body), RUN, ["section"], F.col("piece"), "")
 
 
 def render_index(titles: DataFrame, index: DataFrame) -> DataFrame:
@@ -190,32 +165,26 @@ def srt_documents(cues: DataFrame, key: str = "video_id", order: str = "seg_no")
     return joined_text(numbered, [key], [order], block, "\n")
 
 
-def _json_list(
-    df: DataFrame, slot: int, order: list[str], value: Column, keys: list[str] = RUN
-) -> DataFrame:
-    """Array elements of one list as pieces, every one but the first led by a comma."""
-    position = F.struct(*[F.col(c).cast("double") for c in order])
-    first = df.groupBy(*keys).agg(F.min(position).alias("_first"))
-    comma = F.when(position == F.col("_first"), F.lit("")).otherwise(F.lit(","))
+def _json_list(df: DataFrame, slot: int, order: list[str], value: Column, keys: list[str] = RUN) -> DataFrame:
+    """Elements of one list as pieces."""
     columns = [F.col(c).cast("double").alias(f"o{i}") for i, c in enumerate(order)]
-    return df.join(first, keys).select(
-        *keys, F.lit(slot).alias("slot"), *columns, F.concat(comma, F.to_json(value)).alias("piece")
-    )
+    return df.select(*keys, F.lit(slot).alias("slot"), *columns, F.to_json(value).alias("piece"))
+
+
+def _json_text(pieces: list[DataFrame], keys: list[str]) -> DataFrame:
+    """(keys, text): the slots of each document in order, the pieces of one slot parted by commas."""
+    order = [c for c in ("o0", "o1") if any(c in p.columns for p in pieces)]
+    filled = union_all(pieces).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in order})
+    slots = joined_text(filled, [*keys, "slot"], order, F.col("piece"), ",")
+    return joined_text(slots, keys, ["slot"], F.col("text"), "")
 
 
 def json_list_documents(df: DataFrame, field: str, order: str, value: Column) -> DataFrame:
     """One JSON object per video with a single list, such as ``segments`` or ``flags``
     (video_id, text)."""
     keys = ["video_id"]
-    videos = df.select(*keys).distinct()
-    opening = F.lit('{"' + field + '":[')
-    pieces = [
-        videos.select(*keys, F.lit(0).alias("slot"), opening.alias("piece")),
-        _json_list(df, 1, [order], value, keys),
-        videos.select(*keys, F.lit(2).alias("slot"), F.lit("]}").alias("piece")),
-    ]
-    filled = union_all(pieces).withColumn("o0", F.coalesce("o0", F.lit(0.0)))
-    return joined_text(filled, keys, ["slot", "o0"], F.col("piece"), "")
+    listed = joined_text(_json_list(df, 0, [order], value, keys), keys, ["o0"], F.col("piece"), ",")
+    return listed.select(*keys, F.concat(F.lit('{"' + field + '":['), "text", F.lit("]}")).alias("text"))
 
 
 _ALL_KEYS = {"ignoreNullFields": "false"}
@@ -287,9 +256,7 @@ def export_metadata(
         _json_list(segments, 9, ["seg_no"], F.struct("start", "end", "text")),
         literal(10, F.concat(F.lit(']},"transcript_file":"transcript.json","params":'), F.to_json("params", _ALL_KEYS), F.lit("}"))),
     ]
-    everything = union_all(pieces)
-    filled = everything.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("o0", "o1")})
-    return joined_text(filled, RUN, ["slot", "o0", "o1"], F.col("piece"), "")
+    return _json_text(pieces, RUN)
 
 
 def export_compare(metrics: DataFrame) -> DataFrame:

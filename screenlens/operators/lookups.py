@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenlens import params as P
-from screenlens.operators.dialogue import segment_index_at
-from screenlens.operators.ordered import asof, union_all
+from screenlens.operators.ordered import Ordered, asof, latest, union_all, upcoming
 
 VIDEO = ["video_id"]
 
@@ -80,11 +79,58 @@ def timeline_readout(
     rate_threshold: float = P.RATE_THRESHOLD,
     cut_area_threshold: float = P.CUT_AREA_THRESHOLD,
 ) -> DataFrame:
-    """Frame, running segment and series values at each moment, with threshold markers."""
-    shown = frame_index_at(points, frames, at)
-    spoken = segment_index_at(shown, segments, at)
-    measured = series_at(spoken, signals, at)
-    return measured.withColumns(
+    """Frame, running segment and series values at each moment, with threshold markers.
+
+    One table of all moments in order, read once: each point takes the latest frame and segment and the next sample
+    along. A frame is placed by its time less the slack, and what rounding may do to that is put right by its neighbours.
+    """
+    slack = F.lit(P.FRAME_INDEX_SLACK)
+
+    def placed(df: DataFrame, side: int, time: Column, tie: Column, name: str, columns: list[str]) -> DataFrame:
+        return df.select(
+            "video_id",
+            time.cast("double").alias("_time"),
+            F.lit(side).alias("_side"),
+            tie.cast("long").alias("_tie"),
+            F.struct(*columns).alias(name),
+        )
+
+    # At one moment frames and segments come before a point, and samples after it.
+    everything = union_all(
+        [
+            placed(frames.filter("t IS NOT NULL"), 0, F.col("t") - slack, F.col("frame_no"), "_frame", ["t", "frame_no"]),
+            placed(segments, 1, F.col("start"), F.col("seg_no"), "_segment", ["end", "seg_no"]),
+            placed(points, 2, F.col(at), F.lit(0), "_point", points.columns),
+            placed(signals, 3, F.col("t"), F.col("idx"), "_sample", ["idx", "anchor", "rate", "area"]),
+        ]
+    )
+    read = (
+        Ordered.of(everything, VIDEO, ["_time", "_side", "_tie"])
+        .scan(_earlier=latest(F.col("_frame"), inclusive=False))
+        .with_columns(_frames=F.when(F.col("_frame").isNotNull(), F.struct("_frame", "_earlier")))
+        .scan(
+            _shown=latest(F.col("_frames")),
+            _next=upcoming(F.col("_frame")),
+            _said=latest(F.col("_segment")),
+            _ahead=upcoming(F.col("_sample")),
+            _last=latest(F.col("_sample")),
+        )
+        .rows()
+        .filter(F.col("_point").isNotNull())
+    )
+    until = F.col(f"_point.{at}") + slack
+    shown = (
+        F.when(F.col("_next.t") <= until, F.col("_next.frame_no"))
+        .when(F.col("_shown._frame.t") <= until, F.col("_shown._frame.frame_no"))
+        .otherwise(F.col("_shown._earlier.frame_no"))
+    )
+    measured = F.coalesce("_ahead", "_last")
+    return read.select(
+        "_point.*",
+        shown.alias("frame_no"),
+        F.when(F.col("_said.end") >= F.col(f"_point.{at}"), F.col("_said.seg_no")).alias("seg_no"),
+        *[measured[c].alias(c) for c in ("idx", "anchor", "rate", "area")],
+    ).withColumns(
         {
             "anchor_above": F.col("anchor") > anchor_threshold,
             "rate_quiet": F.col("rate") <= rate_threshold,

@@ -31,19 +31,21 @@ from screenlens.session import materialize
 CHUNK, FIRST = "_chunk", "_first"
 #: Rows handled at once where that is free to choose.
 BATCH = 50_000
-#: Estimated bytes of a chunk; a table of one chunk is not cut.
-CHUNK_BYTES = 16 << 20
+#: Bytes of stored input that a chunk stands for; a table made of less is not cut.
+CHUNK_BYTES = 32 << 20
 _ENTRY = "chunk bigint, entry binary"
 
 
 def chunks_for(df: DataFrame) -> int:
-    """How many chunks to cut ``df`` into: by the optimizer's estimate of its size, as many as shuffles have partitions
-    at most. The estimate needs no job, and every number gives the same result."""
+    """How many chunks to cut ``df`` into: by the size of the tables it is made of, as many as shuffles have partitions at
+    most. No job is needed for that, and every number gives the same result."""
     most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
+    frame = getattr(df, "_jdf", None)
+    if frame is None:
         return most
-    size = int(plan.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # What the optimizer says of a join is the product of both sides, so the tables themselves are asked.
+    leaves = frame.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     return max(1, min(most, -(-size // CHUNK_BYTES)))
 
 
