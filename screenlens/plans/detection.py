@@ -177,6 +177,9 @@ ev AS (SELECT e.*, b.t AS before_t, a.t AS after_t FROM settled e
 
 EVENTS = TAGS + "," + _clusters() + "," + _settled()
 
+EVENTS_WITH_HITS = f"""{NEAR}, {RATIO},
+tags AS ({_tags(0.02, 0.0015, 0.002)} UNION ALL SELECT video_id, frame_no, t, 'adaptive' FROM ratio),{_clusters()},{_settled()}"""
+
 SWEPT_TAGS = "\n UNION ALL ".join(
     f"SELECT *, '{name}' AS setting, {rate}::DOUBLE AS thr FROM ({_tags(anchor, rate, cut)})"
     for name, anchor, rate, cut in SWEEP

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from screenlens.operators import detect, dialogue
 from screenlens.operators import pixels as px
 from screenlens.operators import ranking
 from screenlens.operators import subtitles as sub
 from screenlens.plans import pixels as P
 from screenlens.plans import subtitles as S
-from screenlens.plans.detection import EVENTS, SIG
+from screenlens.plans.detection import EVENTS, EVENTS_WITH_HITS, SIG
 from screenlens.plans.dialogue import SEGMENTS
 from screenlens.plans.marks import ORACLE as MARK_SQL
 from screenlens.plans.marks import _presses
 from screenlens.session import scratch_path
+from screenlens.sources import writers
 from screenlens.streaming import streams
 
 SLICES = [240.0, 480.0]
@@ -77,6 +79,26 @@ def stream_events(c):
     return _arriving(c, _late(signals, "idx", F.col("t"), 20.0), F.col("arrives"), detect, "signals")
 
 
+def stream_events_with_hits(c):
+    """As ``stream_events``, with the hits of another detector as a second stream, 20 hours late."""
+    signals = _late(c.signals.select("video_id", "idx", "t", "anchor", "rate", "area"), "idx", F.col("t"), 20.0)
+    hits = detect.neighbour_ratio_cut(c.signals).select("video_id", "t", (F.col("t") + 20.0).alias("arrives"))
+    sources = {name: scratch_path(c.spark, f"hits-{name}") for name in ("signals", "hits")}
+    out, state = scratch_path(c.spark, "hits-out"), scratch_path(c.spark, "hits-state")
+    edges = [float("-inf"), *SLICES, float("inf")]
+    for low, high in zip(edges, edges[1:]):
+        read = {}
+        for name, rows in (("signals", signals), ("hits", hits)):
+            now = rows.filter((F.col("arrives") >= low) & (F.col("arrives") < high))
+            now.write.mode("append").parquet(sources[name])
+            read[name] = c.spark.readStream.schema(rows.schema).parquet(sources[name])
+        found = streams.stream_events(
+            read["signals"], merge_window=12.0, settle_limit=24.0, lateness=24.0, extra_hits=read["hits"].drop("arrives")
+        )
+        streams.run_to_table(found, out, state)
+    return c.spark.read.schema(streams.EVENT_ROW).parquet(out)
+
+
 def stream_flags(c):
     """Every other press arrives 20 hours late."""
 
@@ -101,44 +123,43 @@ def stream_signal_windows(c):
     )
 
 
-def _judge(c):
-    durations = c.videos.select(F.col("video_id").alias("file_id"), "duration")
-
-    def judge(batch):
-        # A batch is judged whole, so its rows are fixed first.
-        cues = sub.parse_timed_blocks(batch.select("file_id", "text"), "basic")
-        files = batch.select("file_id", "path").join(durations, "file_id")
-        return sub.subtitle_quality(cues, files).join(files.select("file_id", "path"), "file_id")
-
-    return judge
+def _judge(batch):
+    """Verdicts of subtitle files (video_id, path, text, duration); a path may stand in any number of videos."""
+    named = batch.withColumn("file_id", F.concat("video_id", F.lit("/"), "path"))
+    cues = sub.parse_timed_blocks(named.select("file_id", "text"), "basic")
+    judged = sub.subtitle_quality(cues, named.select("file_id", "duration"))
+    return judged.join(named.select("file_id", "video_id", "path"), "file_id").drop("file_id")
 
 
 def _subtitle_files(c):
-    return S._srt_files(c).withColumn("path", F.concat("file_id", F.lit(".srt")))
+    return S._srt_files(c).join(c.videos.select(F.col("video_id").alias("file_id"), "duration"), "file_id")
 
 
 def stream_subtitle_intake(c):
-    arriving = _stream_of(c, _subtitle_files(c), "subtitles-in")
+    """Files of three names only, so that many videos share a path."""
+    path = F.concat(F.lit("subs/track"), (F.col("file_id").cast("long") % 3).cast("string"), F.lit(".srt"))
+    files = _subtitle_files(c).select(F.col("file_id").alias("video_id"), path.alias("path"), "text", "duration")
+    arriving = _stream_of(c, files, "subtitles-in")
     out, state = scratch_path(c.spark, "verdicts"), scratch_path(c.spark, "verdicts-state")
-    streams.subtitle_intake(arriving, out, state, _judge(c)).awaitTermination()
-    verdicts = streams.latest_verdicts(c.spark.read.parquet(out))
-    return verdicts.select("path", "ok", "reason", "n_cues", F.round("coverage", 6).alias("coverage"))
+    streams.subtitle_intake(arriving, out, state, _judge).awaitTermination()
+    verdicts = writers.read_table(c.spark, out)
+    return verdicts.select("video_id", "path", "ok", "reason", "n_cues", F.round("coverage", 6).alias("coverage"))
 
 
 def stream_subtitle_choice(c):
-    """Each video has three candidates, its own file and the next two, in three languages. Files arrive in three
-    slices; after each the videos it touches are ranked again."""
+    """Each video has three candidates of the same three paths, with the text of its own file and of the next two, in three
+    languages. Files arrive in three slices; after each the videos it touches are ranked again."""
     k = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
     each = c.videos.select("video_id", "has_audio", k.alias("k"))
-    file_id = (F.col("video_id").cast("long") + F.col("k")).cast("string")
+    path = F.concat(F.lit("subs/track"), F.col("k").cast("string"), F.lit(".srt"))
     candidates = each.select(
         "video_id",
         F.lit("sidecar").alias("kind"),
-        F.concat(file_id, F.lit(".srt")).alias("path"),
-        file_id.alias("name"),
+        path.alias("path"),
+        F.col("k").cast("string").alias("name"),
         F.lit("srt").alias("format"),
         F.when(F.col("k") == 0, "de").when(F.col("k") == 2, "fr").alias("language"),
-        file_id.alias("label"),
+        path.alias("label"),
         F.lit(False).alias("forced"),
         F.lit(False).alias("is_default"),
         F.lit(None).cast("int").alias("track"),
@@ -149,13 +170,37 @@ def stream_subtitle_choice(c):
         return ranking.choose_subtitle(ranking.rank_subtitles(again, "de"), verdicts, videos)
 
     source, out, state, chosen = (scratch_path(c.spark, f"choice-{x}") for x in ("in", "out", "state", "chosen"))
-    files = _subtitle_files(c)
+    text_of = each.withColumn("file_id", (F.col("video_id").cast("long") + F.col("k")).cast("string"))
+    files = text_of.join(_subtitle_files(c), "file_id").select("video_id", path.alias("path"), "text", "duration", "file_id")
     for n in range(3):
-        files.where(F.col("file_id").cast("long") % 3 == n).write.mode("append").parquet(source)
-        arriving = c.spark.readStream.schema(files.schema).parquet(source)
-        streams.subtitle_intake(arriving, out, state, _judge(c), candidates, choose, chosen).awaitTermination()
-    newest = streams.latest_verdicts(c.spark.read.parquet(chosen), "video_id")
-    return newest.select("video_id", "kind", "path", "n_candidates", "n_rejected")
+        files.where(F.col("file_id").cast("long") % 3 == n).drop("file_id").write.mode("append").parquet(source)
+        arriving = c.spark.readStream.schema(files.drop("file_id").schema).parquet(source)
+        streams.subtitle_intake(arriving, out, state, _judge, candidates, choose, chosen).awaitTermination()
+    return writers.read_table(c.spark, chosen).select("video_id", "kind", "path", "n_candidates", "n_rejected")
+
+
+def refresh_documents(c):
+    """Transcripts of all videos, then sightings of all of them again with two sources grown: only their documents are made
+    anew. The text names the size it was made from, ``generation`` the delivery."""
+    sizes = c.videos.select("video_id", F.col("title").alias("path"), (F.col("duration") * 100).cast("long").alias("size"))
+    grown = F.when(F.col("video_id").isin("1", "2"), F.col("size") + 1).otherwise(F.col("size"))
+    source, recorded, out, state = (scratch_path(c.spark, f"refresh-{x}") for x in ("in", "recorded", "out", "state"))
+
+    def render(generation):
+        def documents(videos):
+            said = dialogue.transcript_text(c.segments.join(videos.select("video_id"), "video_id", "left_semi"))
+            text = F.concat(F.lit("v"), F.col("size").cast("string"), F.lit(": "), "text")
+            return said.join(videos, "video_id").select(
+                "video_id", F.lit("full").alias("run"), F.lit(generation).alias("generation"), text.alias("text")
+            )
+
+        return documents
+
+    for number, seen in ((1, sizes), (2, sizes.withColumn("size", grown))):
+        seen.withColumn("seen_no", F.lit(number)).write.mode("append").parquet(source)
+        arriving = c.spark.readStream.schema("video_id string, path string, size long, seen_no int").parquet(source)
+        streams.refresh_outputs(arriving, recorded, out, state, render(number)).awaitTermination()
+    return writers.read_table(c.spark, out).select("video_id", "run", "generation", "text")
 
 
 def refresh_on_change(c):
@@ -176,8 +221,8 @@ def refresh_on_change(c):
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_signals, stream_events, stream_flags, stream_signal_windows, stream_subtitle_intake,
-        stream_subtitle_choice, refresh_on_change,
+        stream_signals, stream_events, stream_events_with_hits, stream_flags, stream_signal_windows, stream_subtitle_intake,
+        stream_subtitle_choice, refresh_on_change, refresh_documents,
     )
 }
 
@@ -188,22 +233,26 @@ cu AS (SELECT video_id AS file_id, seg_no AS cue_no, start, "end", text FROM seg
 ORACLE = {
     "stream_signals": P.ORACLE["anchor_diff"],
     "stream_events": f"""WITH RECURSIVE {EVENTS}
+SELECT e.video_id, event_no, e.idx, e.t, array_to_string(e.signals, '+') AS signals, before_idx, before_t, after_idx, after_t FROM ev e""",
+    "stream_events_with_hits": f"""WITH RECURSIVE {EVENTS_WITH_HITS}
 SELECT e.video_id, event_no, e.idx, e.t, array_to_string(e.signals, '+') AS signals, before_idx, before_t, after_idx, after_t FROM ev e""",
     "stream_flags": MARK_SQL["flag_toggle_replay"].replace("k.t AS t, k.note AS note", "k.t AS t"),
     "stream_signal_windows": f"""WITH {SIG}, w AS (SELECT *, floor(t / 60)::BIGINT * 60 AS window_start FROM sig)
 SELECT video_id, window_start, max(area) AS max_area, round(avg(rate), 8) AS mean_rate, round(avg((rate <= 0.0015::DOUBLE)::INT), 6) AS quiet_share, count(*) AS n_samples
 FROM w WHERE window_start + 60 <= (SELECT max(t) FROM sig) - 10 GROUP BY 1, 2""",
     "stream_subtitle_intake": f"""WITH {INTAKE}
-SELECT file_id || '.srt' AS path, reason IS NULL AS ok, reason, n_cues, round(coverage, 6) AS coverage FROM r""",
+SELECT file_id AS video_id, 'subs/track' || (file_id::INT % 3) || '.srt' AS path, reason IS NULL AS ok, reason, n_cues, round(coverage, 6) AS coverage FROM r""",
     "stream_subtitle_choice": f"""WITH {INTAKE},
-ca AS (SELECT video_id, substr('abc', k::INT, 1) AS side, (video_id::INT + k - 1)::VARCHAR AS file_id,
-         CASE k WHEN 1 THEN 'de' WHEN 2 THEN NULL ELSE 'fr' END AS language, k AS rank
-       FROM vid, (SELECT unnest([1, 2, 3]) AS k)),
+ca AS (SELECT video_id, (video_id::INT + k)::VARCHAR AS file_id, k AS rank FROM vid, (SELECT unnest([0, 1, 2]) AS k)),
 ok AS (SELECT ca.* FROM ca JOIN r USING (file_id) WHERE reason IS NULL),
 best AS (SELECT video_id, min(rank) AS rank FROM ok GROUP BY 1)
 SELECT v.video_id, CASE WHEN b.rank IS NOT NULL THEN 'sidecar' WHEN has_audio THEN 'whisper' ELSE 'none' END AS kind,
-       ca.file_id || '.srt' AS path, 3 AS n_candidates, coalesce(b.rank - 1, 3) AS n_rejected
-FROM vid v LEFT JOIN best b USING (video_id) LEFT JOIN ca ON ca.video_id = b.video_id AND ca.rank = b.rank""",
+       'subs/track' || b.rank || '.srt' AS path, 3 AS n_candidates, coalesce(b.rank, 3) AS n_rejected
+FROM vid v LEFT JOIN best b USING (video_id)""",
+    "refresh_documents": f"""WITH {SEGMENTS}, said AS (SELECT video_id, string_agg(text, ' ' ORDER BY seg_no) AS text FROM seg GROUP BY 1)
+SELECT v.video_id, 'full' AS run, CASE WHEN v.video_id IN ('1', '2') THEN 2 ELSE 1 END AS generation,
+       'v' || ((v.duration * 100)::BIGINT + CASE WHEN v.video_id IN ('1', '2') THEN 1 ELSE 0 END) || ': ' || s.text AS text
+FROM vid v JOIN said s USING (video_id)""",
     "refresh_on_change": """SELECT DISTINCT l_partkey::VARCHAR AS video_id, 'r' || l_linenumber AS run FROM lineitem JOIN part ON p_partkey = l_partkey
 WHERE p_size <= 5 OR p_retailprice > 1000""",
 }

@@ -36,19 +36,48 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def replace_videos(spark: SparkSession, path: str, fresh: DataFrame, buckets: int = BUCKETS) -> None:
     """Replace the rows of the videos in ``fresh``; only their buckets are rewritten."""
-    videos = _bucketed(fresh.select("video_id").distinct(), buckets)
-    touched = videos.select("video_bucket").distinct()
-    kept = (
-        spark.read.parquet(path)
-        .join(F.broadcast(touched), "video_bucket", "left_semi")  # at most ``buckets`` rows
-        .join(videos.select("video_id"), "video_id", "left_anti")
-    )
-    merged = materialize(kept.unionByName(_bucketed(fresh, buckets)), "replace")
+    upsert(spark, path, fresh, ["video_id"], buckets)
+
+
+def upsert(spark: SparkSession, path: str, fresh: DataFrame, keys: list[str], buckets: int = BUCKETS) -> None:
+    """Replace the rows of a table, written by ``write_table`` or not there yet, whose ``keys`` (video_id among them) stand
+    in ``fresh``, and add the others of ``fresh``.
+
+    Only the buckets of the videos in ``fresh`` are read and rewritten, so the cost does not depend on what earlier calls
+    wrote. The same call again changes nothing.
+    """
+    arrived = materialize(_bucketed(fresh, buckets), "upsert")
+    if not stored(spark, path):
+        merged = arrived
+    else:
+        # A table that grew new columns, or lacks some, keeps both sides' columns.
+        touched = arrived.select("video_bucket").distinct()
+        kept = (
+            spark.read.parquet(path)
+            .join(F.broadcast(touched), "video_bucket", "left_semi")  # at most ``buckets`` rows
+            .join(arrived.select(*keys).distinct(), keys, "left_anti")
+        )
+        merged = materialize(kept.unionByName(arrived, allowMissingColumns=True), "replace")
     merged.hint("rebalance", "video_bucket").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("video_bucket").parquet(path)
 
 
+def rows_of(spark: SparkSession, path: str, videos: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of some videos (video_id), read from their buckets only."""
+    wanted = _bucketed(videos.select("video_id").distinct(), buckets)
+    touched = wanted.select("video_bucket").distinct()
+    pruned = spark.read.parquet(path).join(F.broadcast(touched), "video_bucket", "left_semi")
+    return pruned.join(wanted.select("video_id"), "video_id", "left_semi").drop("video_bucket")
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a table has any bucket at ``path``."""
+    buckets = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "video_bucket=*")
+    found = buckets.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(buckets)
+    return found is not None and len(found) > 0
+
+
 def write_documents(documents: DataFrame, path: str, keys: list[str]) -> None:
     """Documents (keys, text) as one text file in a folder per document. The text goes out as it
     is, plus the final newline the text sink adds."""

@@ -235,6 +235,40 @@ def test_no_state_is_left_when_videos_have_ended(spark, tmp_path, by_timer):
         assert left[1] <= 6 if by_timer else left[1] == 0, (number, left)
 
 
-def test_newest_verdict_wins(spark):
-    df = spark.createDataFrame([("a", False, 0), ("a", True, 2), ("b", False, 1)], "path string, ok boolean, batch int")
-    assert {r.path: r.ok for r in streams.latest_verdicts(df).collect()} == {"a": True, "b": False}
+def test_upsert_by_several_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "video_id string, path string, ok boolean"
+    first = [("a", "subs/track1.srt", True), ("b", "subs/track1.srt", False), ("b", "x", True)]
+    second = [("b", "subs/track1.srt", True), ("c", "x", False)]
+    for rows in (first, second, second, []):
+        writers.upsert(spark, path, spark.createDataFrame(rows, schema), ["video_id", "path"], 4)
+    want = {("a", "subs/track1.srt"): True, ("b", "subs/track1.srt"): True, ("b", "x"): True, ("c", "x"): False}
+    assert {(r.video_id, r.path): r.ok for r in writers.read_table(spark, path).collect()} == want
+    some = writers.rows_of(spark, path, spark.createDataFrame([("b",), ("z",)], "video_id string"), 4)
+    assert sorted((r.video_id, r.path) for r in some.collect()) == [("b", "subs/track1.srt"), ("b", "x")]
+
+
+def test_a_refresh_that_failed_is_made_up_for(spark, tmp_path):
+    source, recorded, out, state = (str(tmp_path / x) for x in ("in", "recorded", "out", "state"))
+    schema = "video_id string, path string, size long, seen_no int"
+
+    def run(render, rows=()):
+        if rows:
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        streams.refresh_outputs(spark.readStream.schema(schema).parquet(source), recorded, out, state, render).awaitTermination()
+
+    made = []
+
+    def render(videos):
+        made.append(sorted(r.video_id for r in videos.collect()))
+        return videos.select("video_id", F.lit("full").alias("run"), F.col("size").cast("string").alias("text"))
+
+    def broken(videos):
+        raise OSError("no space left")
+
+    run(render, [("a", "p", 1, 0), ("b", "p", 2, 0), ("b", "p", 3, 1), ("c", None, None, 0)])
+    with pytest.raises(Exception, match="no space left"):
+        run(broken, [("a", "p", 1, 2), ("b", "q", 3, 2), ("c", None, None, 2)])
+    run(render)
+    assert made == [["a", "b", "c"], ["b"]]
+    assert {r.video_id: r.text for r in writers.read_table(spark, out).collect()} == {"a": "1", "b": "3", "c": None}
