@@ -29,14 +29,15 @@ SMI_PARAGRAPH = r"(?i)<p\b"
 SMI_CLASS = r"(?i)\bclass\s*=\s*\"?([\w.-]+)"
 
 
-def _seconds(stamp: Column) -> Column:
+def stamp_seconds(stamp: Column) -> Column:
+    """Seconds of a time stamp, null for any other text; hours are optional."""
     def part(i: int) -> Column:
         return F.coalesce(F.regexp_extract(stamp, STAMP_PARTS, i).try_cast("bigint"), F.lit(0))
 
     fraction = F.regexp_extract(stamp, STAMP_PARTS, 4)
     return (
         part(1) * 3600 + part(2) * 60 + part(3)
-        + fraction.cast("int") / F.pow(F.lit(10), F.length(fraction))
+        + fraction.try_cast("int") / F.pow(F.lit(10), F.length(fraction))
     )
 
 
@@ -75,8 +76,8 @@ def parse_timed_blocks(files: DataFrame, entities: str | None = "all") -> DataFr
         .select(
             "file_id",
             "_pos",
-            _seconds(F.get("_stamps", F.lit(0))).alias("start"),
-            _seconds(F.get("_stamps", F.lit(1))).alias("end"),
+            stamp_seconds(F.get("_stamps", F.lit(0))).alias("start"),
+            stamp_seconds(F.get("_stamps", F.lit(1))).alias("end"),
             voice_prefix(body, entities).alias("text"),
         )
         .filter("end > start AND text <> ''")

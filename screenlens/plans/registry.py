@@ -13,12 +13,13 @@ from screenlens.plans import (
     lineage,
     marks,
     pixels,
+    sqltext,
     streams,
     subtitles,
 )
 from screenlens.plans.bridges import Corpus
 
-MODULES = [detection, dialogue, marks, subtitles, lineage, pixels, files, streams]
+MODULES = [detection, dialogue, marks, subtitles, lineage, pixels, files, streams, sqltext]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
