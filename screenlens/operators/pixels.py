@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from screenlens import params as P
 from screenlens.operators.lookups import frame_at
-from screenlens.operators.ordered import Ordered, latest
+from screenlens.operators.ordered import Ordered, latest, union_all
 from screenlens.session import materialize
 
 VIDEO = ["video_id"]
@@ -165,14 +165,20 @@ def anchor_diff(
     anchor_threshold: float = P.ANCHOR_RESET_THRESHOLD,
     cut_threshold: float = P.CUT_RESET_THRESHOLD,
     settle_threshold: float = P.RATE_SETTLE_THRESHOLD,
+    chunk: int = CHUNK_FRAMES,
 ) -> DataFrame:
     """Distance to the anchor frame (video_id, frame_no, anchor, is_anchor_reset).
 
     The anchor starts as frame 0. A frame over the anchor or cut threshold unsettles the series and
     the next quiet frame after it becomes the new anchor; this is sequential by nature. But after a
     cut the next quiet frame becomes the anchor whatever the state was before, so those frames split
-    a video into pieces that can be folded independently. Each piece is streamed; only its anchor
-    is held.
+    a video into pieces that can be folded independently.
+
+    A piece without cuts may still be a whole recording, so it is cut into chunks of ``chunk`` frames, all of which run at
+    once from a guess: the piece's first anchor, settled. A chunk hands on the number of its last anchor and whether it
+    is settled. Chunks that began with another state than the one before them handed on run again from that, until none
+    is left; a chunk that sets an anchor of its own hands on the same whatever it began with. A task holds one anchor and
+    one batch of frames.
     """
     quiet = F.col("rate") <= settle_threshold
     cut = (F.col("area") > cut_threshold) & ~quiet
@@ -187,55 +193,108 @@ def anchor_diff(
             _sure=(number == 0)
             | (quiet & F.col("_cut").isNotNull() & F.coalesce(F.col("_cut") > F.col("_quiet"), F.lit(True)))
         )
-        .scan(_piece=latest(F.when(F.col("_sure"), number), inclusive=False))
+        .scan(piece=latest(F.when(F.col("_sure"), number), inclusive=False))
         .rows()
     )
-    roles = F.array_compact(
-        F.array(
-            F.when(F.col("_piece").isNotNull(), F.struct(F.col("_piece").alias("piece"), F.lit(False).alias("seed"))),
-            F.when(F.col("_sure"), F.struct(number.alias("piece"), F.lit(True).alias("seed"))),
-        )
-    )
-    placed = pieces.select("video_id", "frame_no", "rate", "area", F.explode(roles).alias("_r")).select(
-        "video_id", "frame_no", "rate", "area", "_r.*"
-    )
-    arranged = (
-        placed.join(frames.select("video_id", "frame_no", "gray"), ["video_id", "frame_no"])
-        .repartition("video_id", "piece")
-        .sortWithinPartitions("video_id", "piece", "frame_no")
+    key = ["video_id", "piece", "part"]
+    placed = materialize(
+        pieces.filter("piece IS NOT NULL").select(
+            "video_id", "frame_no", "rate", "area", "piece", F.floor((number - F.col("piece") - 1) / chunk).alias("part")
+        ),
+        "anchor-parts",
     )
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, unsettled, previous = None, False, -1
+        anchor, anchor_no, unsettled, last = None, -1, False, None
         for batch in batches:
-            numbers = batch.column("frame_no").to_numpy()
-            if np.any(np.diff(numbers) <= 0) or numbers[0] <= previous:
-                raise ValueError("frames arrived out of order")
-            previous = numbers[-1]
             pixels = _matrix(pa.Table.from_batches([batch]))
+            numbers, order = batch.column("frame_no").to_numpy(), batch.column("at").to_numpy()
+            if np.any(np.diff(order) <= 0):
+                raise ValueError("frames arrived out of order")
             rates, areas = batch.column("rate").to_numpy(), batch.column("area").to_numpy()
             distance = np.zeros(len(numbers))
             reset = np.zeros(len(numbers), dtype=bool)
-            for i in range(len(numbers)):
-                if anchor is None:
-                    anchor = pixels[i]
-                    continue
+            begin = 0
+            if anchor is None:  # the first row is the state that the chunk begins with
+                anchor, anchor_no, unsettled = pixels[0], int(numbers[0]), bool(batch.column("unsettled")[0].as_py())
+                begin = 1
+            for i in range(begin, len(numbers)):
                 distance[i] = np.abs(pixels[i] - anchor).mean() / 255.0
                 if not unsettled:
                     unsettled = distance[i] > anchor_threshold or areas[i] > cut_threshold
                 elif rates[i] <= settle_threshold:
-                    anchor, unsettled, reset[i] = pixels[i], False, True
+                    anchor, anchor_no, unsettled, reset[i] = pixels[i], int(numbers[i]), False, True
+            last = batch
+            rows = batch.select(key).slice(begin)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("video_id"), batch.column("frame_no"), batch.column("seed"),
-                 pa.array(distance), pa.array(reset)],
-                names=["video_id", "frame_no", "seed", "anchor", "is_anchor_reset"],
+                [*rows.columns, pa.array(numbers[begin:]), pa.array(distance[begin:]), pa.array(reset[begin:]),
+                 pa.array(np.zeros(len(numbers) - begin, bool))],
+                names=[*key, "frame_no", "anchor", "is_anchor_reset", "handed_on"],
             )
+        if last is not None:
+            yield pa.RecordBatch.from_arrays(
+                [*last.select(key).slice(0, 1).columns, pa.array([anchor_no]), pa.array([0.0]), pa.array([bool(unsettled)]),
+                 pa.array([True])],
+                names=[*key, "frame_no", "anchor", "is_anchor_reset", "handed_on"],
+            )
+
+    shown = frames.select("video_id", "frame_no", "gray")
+    schema = (
+        "video_id string, piece bigint, part bigint, frame_no bigint, anchor double, is_anchor_reset boolean, handed_on boolean"
+    )
 
-    folded = arranged.groupBy("video_id", "piece").applyInArrow(
-        fold, "video_id string, frame_no bigint, seed boolean, anchor double, is_anchor_reset boolean"
+    def run(entries: DataFrame) -> DataFrame:
+        """Chunks (key, begin_no, begin_unsettled) folded: a row per frame, and one with the state handed on."""
+        begun = entries.select(
+            *key, F.col("begin_no").alias("frame_no"), F.col("begin_unsettled").alias("unsettled"),
+            F.lit(0.0).alias("rate"), F.lit(0.0).alias("area"), F.lit(-1).cast("long").alias("at"),
+        )
+        members = placed.join(entries.select(*key), key, "left_semi").select(
+            *key, "frame_no", F.lit(False).alias("unsettled"), "rate", "area", F.col("frame_no").alias("at")
+        )
+        rows = begun.unionByName(members).join(shown, ["video_id", "frame_no"])
+        arranged = rows.repartition(*key).sortWithinPartitions(*key, "at")
+        return materialize(arranged.groupBy(*key).applyInArrow(fold, schema), "anchor-runs")
+
+    guess = {"begin_no": F.col("piece"), "begin_unsettled": F.lit(False)}
+    began = placed.select(*key).distinct().withColumns(guess)
+    results = [run(began)]
+    began = began.withColumn("run", F.lit(0))
+    while True:
+        # Of every chunk the run that counts, what it began with and what it handed on.
+        told = union_all([r.filter("handed_on").withColumn("run", F.lit(n)) for n, r in enumerate(results)])
+        state = began.join(told.select(*key, "run", "frame_no", "is_anchor_reset"), [*key, "run"])
+        before = state.select(
+            "video_id", "piece", (F.col("part") + 1).alias("part"),
+            F.col("frame_no").alias("true_no"), F.col("is_anchor_reset").alias("true_unsettled"),
+        )
+        wrong = (F.col("true_no") != F.col("begin_no")) | (F.col("true_unsettled") != F.col("begin_unsettled"))
+        checked = materialize(
+            state.select(*key, "begin_no", "begin_unsettled", "run").join(before, key, "left").withColumn(
+                "wrong", F.coalesce(wrong, F.lit(False))
+            ),
+            "anchor-states",
+        )
+        if checked.filter("wrong").isEmpty():
+            break
+        n = len(results)
+        results.append(
+            run(checked.filter("wrong").select(*key, F.col("true_no").alias("begin_no"), F.col("true_unsettled").alias("begin_unsettled")))
+        )
+        began = checked.select(
+            *key,
+            F.when(F.col("wrong"), F.col("true_no")).otherwise(F.col("begin_no")).alias("begin_no"),
+            F.when(F.col("wrong"), F.col("true_unsettled")).otherwise(F.col("begin_unsettled")).alias("begin_unsettled"),
+            F.when(F.col("wrong"), F.lit(n)).otherwise(F.col("run")).alias("run"),
+        )
+    first = change.filter("frame_no = 0").select(
+        "video_id", "frame_no", F.lit(0.0).alias("anchor"), F.lit(False).alias("is_anchor_reset")
     )
-    # A seed row only repeats its frame as the piece's anchor, except frame 0, which has no other row.
-    return folded.filter("NOT seed OR frame_no = 0").drop("seed")
+    kept = [r.filter("NOT handed_on").withColumn("run", F.lit(n)) for n, r in enumerate(results)]
+    done = union_all(kept) if len(kept) > 1 else kept[0]
+    if len(kept) > 1:
+        done = done.join(checked.select(*key, "run"), [*key, "run"], "left_semi")
+    return first.unionByName(done.select("video_id", "frame_no", "anchor", "is_anchor_reset"))
 
 
 def measure_signals(frames: DataFrame, bands: DataFrame | None = None) -> DataFrame:

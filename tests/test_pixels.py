@@ -30,6 +30,29 @@ def reference_fold(stack, a_thr, c_thr, r_thr):
     return out
 
 
+@pytest.mark.parametrize(("drift", "chunk"), [(0.0, 16), (3.0, 16), (3.0, 1), (12.0, 7)])
+def test_recordings_without_a_cut_run_in_chunks(spark, drift, chunk):
+    """A still picture, and ones that drift so slowly that no frame is a cut, but the anchor moves many times."""
+    rng = np.random.default_rng(5)
+    picture, stack = rng.uniform(60, 190, (9, 16)), []
+    for i in range(120 if chunk > 1 else 25):
+        if i % 5 == 3:
+            picture = np.clip(picture + drift, 0, 255)
+        if i % 40 == 39:
+            picture = rng.permutation(picture.ravel()).reshape(9, 16) * 0.1 + picture * 0.9
+        stack.append(picture.astype(np.float32))
+    stack = np.array(stack)
+    df = frames_of(spark, stack)
+    limits = (0.02, 0.5, 0.0015)  # nothing counts as a cut
+    change = pixels.frame_change(df)
+    got = pixels.anchor_diff(df, change, *limits, chunk=chunk).orderBy("frame_no").collect()
+    want = reference_fold(stack, *limits)
+    assert [r.frame_no for r in got] == list(range(len(stack)))
+    assert [r.is_anchor_reset for r in got] == [reset for _, reset in want]
+    assert np.allclose([r.anchor for r in got], [d for d, _ in want])
+    assert (sum(reset for _, reset in want) > 1) == (drift > 0)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_anchor_pieces_equal_the_sequential_fold(spark, seed, both_ways):
     rng = np.random.default_rng(seed)

@@ -17,7 +17,7 @@ def values(spark):
     sql.register(spark)
     rng = random.Random(2)
     rows = [tuple("".join(rng.choice(PIECES) for _ in range(rng.randint(0, 5))) for _ in range(2)) for _ in range(300)]
-    rows += [(None, "en"), ("en", None), (None, None), ("", "")]
+    rows += [("x.mkv.ko.srt", "x.mkv."), ("x.en-US.vtt", "x."), (None, "en"), ("en", None), (None, None), ("", "")]
     df = spark.createDataFrame([(*r, rng.choice([None, 0.0, 12.34, 3600.05])) for r in rows], "a string, b string, d double")
     return df.withColumn("e", F.col("d") + 100.25)
 
