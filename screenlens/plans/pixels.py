@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from screenlens.operators import budget, pixels
+from screenlens.operators import analysis, budget, documents, pixels
+from screenlens.operators.dialogue import assign_segments, hosts, segments_in
 from screenlens.operators.ordered import number_rows
 from screenlens.plans.dialogue import CANDIDATES, CHANGES
-from screenlens.session import materialize
+from screenlens.session import materialize, scratch_path
+from screenlens.sources import readers, writers
 
 ROW_DELTA = 120.0
 ANCHOR, CUT, SETTLE = 0.115, 0.5, 0.105
@@ -138,11 +140,44 @@ def read_path(c):
     return c.candidates.select("video_id", "run", "seq", budget.read_path(F.col("image")).alias("read_path"))
 
 
+def frames_document(c):
+    """Documents of the frames' videos, the text of the conversations of the same numbers spoken over them."""
+    frames = _frames(c)
+    frames = pixels.frame_time(frames, _videos(frames))
+    videos = _videos(frames).withColumn("title", F.concat(F.lit("frames "), "video_id"))
+    runs = videos.select("video_id", "title", "duration", F.lit("full").alias("run"), F.lit(0.0).alias("lo"), F.col("duration").alias("hi"))
+    bands = pixels.overlay_body_band(pixels.row_change_frequency(frames, ROW_DELTA))
+    found = analysis.analyse(frames, runs, videos, bands, ANCHOR, SETTLE / 8, CUT)
+    said = assign_segments(segments_in(c.segments, runs), found.screens)
+    accepted = found.candidates.filter("status = 'accepted'")
+    hosted = hosts(found.screens, said)
+    size = accepted.select("video_id", "run", "frame_no", "screen", F.lit(768).alias("w"), F.lit(432).alias("h"))
+    return documents.render_context(runs, found.screens, hosted, said, accepted, budget.read_budget(size))
+
+
+def read_frame_images(c):
+    """The frames written as pictures and read back; values are whole numbers then."""
+    path = scratch_path(c.spark, "pictures")
+    named = _frames(c).withColumns(
+        {
+            "run": F.lit("full"),
+            "image": F.format_string("scene_%03d_t%07.2f.bmp", "frame_no", F.col("frame_no") / 15.0),
+        }
+    )
+    writers.write_frame_images(named, path)
+    back = readers.read_frame_images(c.spark, path, 8, 8)
+    return back.select(
+        "video_id", "run", "frame_no", "t", F.size("gray").cast("long").alias("n"),
+        F.round(pixels.mean_luma(F.col("gray")), 4).alias("luma"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         frame_time, row_change_frequency, overlay_body_band, crop_rows, inst_diff, cut_area, anchor_diff,
         content_area, mean_luma, pair_changed, stable_capture_time, reduced_size, image_tokens, read_path,
+        read_frame_images, frames_document,
     )
 }
 
@@ -205,6 +240,9 @@ SELECT video_id, frame_no, round(d, 8) AS anchor, reset AS is_anchor_reset FROM
 SELECT video_id, frame_no, round(len(list_filter(gray, lambda x: abs(x - mid) > 25)) / 64.0::DOUBLE, 8) AS content_area FROM m""",
     "mean_luma": f"""WITH {FRAMES}, m AS (SELECT *, list_sum(list_transform(gray, lambda x: x::DOUBLE)) / 64 AS luma FROM fr)
 SELECT video_id, frame_no, round(luma, 4) AS luma, CASE WHEN luma - 120 < 5 THEN 'dark or empty screen' END AS warning FROM m""",
+    "read_frame_images": f"""WITH {FRAMES}
+SELECT video_id, 'full' AS run, frame_no, round(frame_no / 15.0::DOUBLE, 2) AS t, 64::BIGINT AS n,
+       round(list_sum(list_transform(gray, lambda x: least(greatest(round_even(x::DOUBLE, 0), 0), 255))) / 64, 4) AS luma FROM fr""",
     "pair_changed": f"""WITH {FRAMES},
 pr AS (SELECT video_id, frame_no AS pair_no, frame_no / 15.0::DOUBLE AS x, (frame_no + frame_no % 3) / 15.0::DOUBLE AS y FROM fr){SIMILAR}
 SELECT video_id, pair_no, x AS a, y AS b, round(similarity, 6) AS similarity, similarity < 0.93 AS changed FROM pr JOIN sm USING (video_id, pair_no)""",

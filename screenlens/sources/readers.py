@@ -12,7 +12,8 @@ from screenlens.functions.documents import json_object
 from screenlens.operators.ranking import subtitle_format
 
 SUBTITLE_GLOB = "*.{[sS][rR][tT],[vV][tT][tT],[wW][eE][bB][vV][tT][tT],[sS][mM][iI],[sS][aA][mM][iI]}"
-FRAME_NAME = r"scene_(\d+)_t([\d.]+)\.[A-Za-z]+$"
+#: A frame's file, or the folder that a writer gave it.
+FRAME_NAME = r"scene_(\d+)_t([\d.]+)\.[A-Za-z]+(?:/part-[^/]+)?$"
 SEGMENT = "array<struct<start: double, end: double, text: string>>"
 WORD = "array<struct<word: string, start: double, end: double>>"
 TRANSCRIPT = f"text string, segments {SEGMENT}, words {WORD}, backend string, device string, model string"
@@ -53,15 +54,16 @@ def _name(path: Column) -> Column:
 def read_frame_images(spark: SparkSession, path: str, w: int = 64, h: int = 36) -> DataFrame:
     """Folder of extracted frames to the frames table: number and time from the file name, the
     picture as gray values averaged down to ``w`` x ``h``, null for a file that is no readable image.
-    The path gives the video and, below ``runs/<run>/frames``, the run; folders are searched at any depth."""
+    The path gives the video and the run (``runs/<run>/frames``, or the folders of ``write_frame_images``); folders are
+    searched at any depth."""
     image = spark.read.format("image").option("recursiveFileLookup", "true").load(path)
     origin = _unescaped(F.col("image.origin"))
-    name = _name(origin)
+    keyed, held = F.regexp_extract(origin, r"/run=([^/]+)/", 1), F.regexp_extract(origin, RUN_FOLDER, 2)
     return image.select(
         _folder(origin).alias("video_id"),
-        F.nullif(F.regexp_extract(origin, RUN_FOLDER, 2), F.lit("")).alias("run"),
-        F.regexp_extract(name, FRAME_NAME, 1).try_cast("bigint").alias("frame_no"),
-        F.regexp_extract(name, FRAME_NAME, 2).try_cast("double").alias("t"),
+        F.nullif(F.when(keyed != "", _unescaped(keyed)).otherwise(held), F.lit("")).alias("run"),
+        F.regexp_extract(origin, FRAME_NAME, 1).try_cast("bigint").alias("frame_no"),
+        F.regexp_extract(origin, FRAME_NAME, 2).try_cast("double").alias("t"),
         F.lit(h).alias("h"),
         F.lit(w).alias("w"),
         _gray(w, h)("image.data", "image.height", "image.width", "image.nChannels").alias("gray"),

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from screenlens.session import materialize
 
@@ -91,6 +96,34 @@ def read_documents(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     return raw.select(*keys, F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
+def write_frame_images(frames: DataFrame, path: str) -> None:
+    """Gray frames (video_id, run, image, h, w, gray) as uncompressed pictures that image readers take, each in a folder
+    that carries its video, run and ``image`` name. A frame without pixels, or of another size than h x w, is left out.
+
+    The text sink writes a string's bytes as they are, on any file system Spark reaches; the line end that it adds lies
+    behind the picture.
+    """
+    pictures = frames.filter("h > 0 AND w > 0 AND size(gray) = h * w").select(
+        "video_id", "run", F.substring_index("image", "/", -1).alias("image"), bitmap("gray", "h", "w").cast("string").alias("value")
+    )
+    pictures.write.mode("overwrite").partitionBy("video_id", "run", "image").text(path)
+
+
+@F.pandas_udf(T.BinaryType())
+def bitmap(gray: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+    """Gray values, rounded and kept to 0..255, as a BMP file of 24 bits a pixel."""
+    out = []
+    for pixels, rows, columns in zip(gray, h, w, strict=True):
+        levels = np.rint(np.nan_to_num(np.asarray(pixels, np.float64))).clip(0, 255).astype(np.uint8)
+        # Lines run upwards and are filled up to four bytes.
+        lines = np.zeros((rows, (3 * columns + 3) // 4 * 4), np.uint8)
+        lines[:, : 3 * columns] = np.repeat(levels.reshape(rows, columns)[::-1], 3, axis=1)
+        size = lines.size
+        head = struct.pack("<2sIHHI", b"BM", 54 + size, 0, 0, 54)
+        out.append(head + struct.pack("<IiiHHIIiiII", 40, columns, rows, 1, 24, 0, size, 0, 0, 0, 0) + lines.tobytes())
+    return pd.Series(out)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     """One JSON object per row, such as the ``export_compare`` documents."""
     df.select(F.col("json").alias("value")).write.mode("overwrite").text(path)
