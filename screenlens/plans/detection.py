@@ -103,13 +103,14 @@ timed AS (SELECT user_id::VARCHAR AS video_id, event_id,
                  (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 3600000000::DOUBLE AS t,
                  event_type, value
           FROM events)"""
-SIG = TIMED + """,
-sig AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) - 1 AS idx, t,
+#: The series of a table ``timed``.
+SERIES = """sig AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) - 1 AS idx, t,
                CASE WHEN event_type = 'signup' THEN value / 5000 ELSE 0.0::DOUBLE END AS anchor,
                value / 5000 AS rate,
                CASE WHEN event_type IN ('error', 'purchase') THEN value / 5000 ELSE 0.0::DOUBLE END AS area,
                event_type = 'click' AND value > 40 AS is_anchor_reset
         FROM timed)"""
+SIG = f"{TIMED},\n{SERIES}"
 NEAR = SIG + """,
 nb AS (SELECT *, lag(area) OVER w AS pa, lead(area) OVER w AS na, lag(anchor) OVER w AS pn,
               lead(anchor) OVER w AS nn, lag(rate) OVER w AS pr, lead(rate) OVER w AS nr

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from screenlens.operators import documents, lookups, truth
-from screenlens.plans.detection import SIG
+from screenlens.plans.detection import SERIES, SIG
 from screenlens.plans.dialogue import CANDIDATES, POINTS, SCREENS
 
 TOLERANCE = 6.0
@@ -131,16 +131,19 @@ QUERIES = {
 BASE = SIG + """,
 fr AS (SELECT video_id, event_id AS frame_no, t FROM timed WHERE event_type = 'view'),
 ask AS (SELECT video_id, event_id, t AS "at" FROM timed WHERE event_type = 'click')"""
-FLAGS = SIG + """,
+DETECTED = "det AS (SELECT video_id, event_id, t FROM timed WHERE event_type = 'purchase')"
+FLAGS = f"""{SIG},
 fl AS (SELECT video_id, event_id AS press_no, round(t, 2) AS t FROM timed WHERE event_type = 'click'),
-det AS (SELECT video_id, event_id, t FROM timed WHERE event_type = 'purchase')"""
+{DETECTED}"""
 MATCH = """,
 mt AS (SELECT f.video_id, f.press_no, f.t, arg_min(d.t, struct_pack(g := abs(d.t - f.t), t := d.t)) AS d
        FROM fl f LEFT JOIN det d USING (video_id) GROUP BY 1, 2, 3),
 mm AS (SELECT video_id, press_no, t, CASE WHEN abs(d - t) <= 6 THEN d END AS detected_t,
               CASE WHEN abs(d - t) <= 6 THEN round(d - t, 2) END AS gap FROM mt),
 ud AS (SELECT * FROM det d WHERE NOT EXISTS (SELECT 1 FROM fl f WHERE f.video_id = d.video_id AND abs(d.t - f.t) <= 6))"""
-METRICS = f"""WITH {FLAGS.replace("event_type = 'click')", "event_type = 'click' AND round(t, 2) BETWEEN 100 AND 600)")}{MATCH},
+METRICS = f"""WITH {SIG},
+fl AS (SELECT video_id, event_id AS press_no, round(t, 2) AS t FROM timed WHERE event_type = 'click' AND round(t, 2) BETWEEN 100 AND 600),
+{DETECTED}{MATCH},
 a AS (SELECT video_id, count(*) AS n_flags, count(detected_t) AS n_matched FROM mm GROUP BY 1),
 b AS (SELECT video_id, count(*) AS n_detected FROM det GROUP BY 1),
 e AS (SELECT video_id, count(*) AS n_extra FROM ud GROUP BY 1),
@@ -161,6 +164,19 @@ PRESSES = SIG + """,
 pr AS (SELECT video_id, event_id AS press_no, t, event_type AS note,
               row_number() OVER (PARTITION BY video_id ORDER BY event_id) AS n FROM timed WHERE event_type IN ('click', 'view'))"""
 
+#: Flags left after all presses (un: video_id, k).
+TOGGLED = f"""WITH RECURSIVE {PRESSES},
+fold AS (SELECT video_id, 1 AS n, [struct_pack(t := round(t, 2), note := note)] AS kept FROM pr WHERE n = 1
+         UNION ALL
+         SELECT f.video_id, p.n,
+           CASE WHEN len(list_filter(f.kept, lambda k: abs(k.t - p.t) <= 24)) > 0
+                THEN list_filter(f.kept, lambda k: k.t <> list_sort(list_transform(f.kept, lambda j: struct_pack(d := abs(j.t - p.t), t := j.t)))[1].t)
+                ELSE list_append(f.kept, struct_pack(t := round(p.t, 2), note := p.note)) END
+         FROM fold f JOIN pr p ON p.video_id = f.video_id AND p.n = f.n + 1),
+fin AS (SELECT video_id, arg_max(kept, n) AS kept FROM fold GROUP BY 1),
+un AS (SELECT video_id, unnest(kept) AS k FROM fin)
+"""
+
 ORACLE = {
     "frame_at": f"""WITH {BASE}
 SELECT a.video_id, a.event_id, a."at", coalesce(arg_min(f.frame_no, f.t) FILTER (f.t >= a."at" - 0.001::DOUBLE), arg_max(f.frame_no, f.frame_no)) AS frame_no,
@@ -172,7 +188,7 @@ FROM ask a LEFT JOIN fr f ON f.video_id = a.video_id AND f.t <= a."at" + 0.05::D
     "series_at": f"""WITH {BASE},
 k AS (SELECT a.video_id, a.event_id, a."at", coalesce(min(s.idx) FILTER (s.t >= a."at"), max(s.idx)) AS idx FROM ask a JOIN sig s USING (video_id) GROUP BY 1, 2, 3)
 SELECT k.*, s.anchor, s.rate, s.area FROM k JOIN sig s ON s.video_id = k.video_id AND s.idx = k.idx""",
-    "timeline_readout": f"""WITH {SCREENS}{CANDIDATES}{POINTS}, {SIG.split("timed AS", 1)[1].split("event_type, value", 1)[1].split("),", 1)[1]},
+    "timeline_readout": f"""WITH {SCREENS}{CANDIDATES}{POINTS}, {SERIES},
 k AS (SELECT a.video_id, a.event_id, a."at", coalesce(min(s.idx) FILTER (s.t >= a."at"), max(s.idx)) AS idx FROM pts a JOIN sig s USING (video_id) GROUP BY 1, 2, 3)
 SELECT k.*, (SELECT max(seq) FROM gated g WHERE g.video_id = k.video_id AND g.run = 'full' AND g.t <= k."at" + 0.05::DOUBLE) AS frame_no,
   (SELECT z.seg_no FROM seg z WHERE z.video_id = k.video_id AND z.seg_no = (SELECT max(y.seg_no) FROM seg y WHERE y.video_id = k.video_id AND y.start <= k."at") AND z."end" >= k."at") AS seg_no,
@@ -200,15 +216,5 @@ fin AS (SELECT video_id, arg_max(kept, n) AS kept FROM fold GROUP BY 1),
 un AS (SELECT video_id, unnest(kept) AS t FROM fin)
 SELECT u.video_id, min(p.press_no) AS press_no, u.t, arg_min(p.note, p.press_no) AS note
 FROM un u JOIN pr p ON p.video_id = u.video_id AND round(p.t, 2) = u.t GROUP BY u.video_id, u.t""",
-    "flag_toggle_replay": f"""WITH RECURSIVE {PRESSES},
-fold AS (SELECT video_id, 1 AS n, [struct_pack(t := round(t, 2), note := note)] AS kept FROM pr WHERE n = 1
-         UNION ALL
-         SELECT f.video_id, p.n,
-           CASE WHEN len(list_filter(f.kept, lambda k: abs(k.t - p.t) <= 24)) > 0
-                THEN list_filter(f.kept, lambda k: k.t <> list_sort(list_transform(f.kept, lambda j: struct_pack(d := abs(j.t - p.t), t := j.t)))[1].t)
-                ELSE list_append(f.kept, struct_pack(t := round(p.t, 2), note := p.note)) END
-         FROM fold f JOIN pr p ON p.video_id = f.video_id AND p.n = f.n + 1),
-fin AS (SELECT video_id, arg_max(kept, n) AS kept FROM fold GROUP BY 1),
-un AS (SELECT video_id, unnest(kept) AS k FROM fin)
-SELECT video_id, k.t AS t, k.note AS note FROM un""",
+    "flag_toggle_replay": f"{TOGGLED}SELECT video_id, k.t AS t, k.note AS note FROM un",
 }

@@ -12,8 +12,7 @@ from screenlens.plans import pixels as P
 from screenlens.plans import subtitles as S
 from screenlens.plans.detection import EVENTS, EVENTS_WITH_HITS, SIG
 from screenlens.plans.dialogue import SEGMENTS
-from screenlens.plans.marks import ORACLE as MARK_SQL
-from screenlens.plans.marks import _presses
+from screenlens.plans.marks import TOGGLED, _presses
 from screenlens.session import scratch_path
 from screenlens.sources import writers
 from screenlens.streaming import streams
@@ -236,7 +235,7 @@ ORACLE = {
 SELECT e.video_id, event_no, e.idx, e.t, array_to_string(e.signals, '+') AS signals, before_idx, before_t, after_idx, after_t FROM ev e""",
     "stream_events_with_hits": f"""WITH RECURSIVE {EVENTS_WITH_HITS}
 SELECT e.video_id, event_no, e.idx, e.t, array_to_string(e.signals, '+') AS signals, before_idx, before_t, after_idx, after_t FROM ev e""",
-    "stream_flags": MARK_SQL["flag_toggle_replay"].replace("k.t AS t, k.note AS note", "k.t AS t"),
+    "stream_flags": f"{TOGGLED}SELECT video_id, k.t AS t FROM un",
     "stream_signal_windows": f"""WITH {SIG}, w AS (SELECT *, floor(t / 60)::BIGINT * 60 AS window_start FROM sig)
 SELECT video_id, window_start, max(area) AS max_area, round(avg(rate), 8) AS mean_rate, round(avg((rate <= 0.0015::DOUBLE)::INT), 6) AS quiet_share, count(*) AS n_samples
 FROM w WHERE window_start + 60 <= (SELECT max(t) FROM sig) - 10 GROUP BY 1, 2""",
