@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from screenlens.plans import registry
-from screenlens.session import local_session
+from screenlens.session import local_session, release
 
 HEADLINE = [
     "signal_peaks",
@@ -39,7 +39,9 @@ HEADLINE = [
 def timed(query, spark, sf_dir: str) -> float:
     start = time.perf_counter()
     query(spark, sf_dir).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    seconds = time.perf_counter() - start
+    release(spark)
+    return seconds
 
 
 def main() -> None:

@@ -161,8 +161,8 @@ def smi_end_times(starts: DataFrame, keys: list[str], cap: float = P.SMI_MAX_CUE
     return ended.filter("text <> '' AND end > start").drop("_next")
 
 
-def parse_smi_corpus(files: DataFrame, entities: str | None = "all") -> DataFrame:
-    """SAMI files to cues of the chosen language class."""
+def _smi_ended(files: DataFrame, entities: str | None) -> tuple[DataFrame, DataFrame]:
+    """Cues of each file's chosen class with ``capped``, and the choices."""
     entries = smi_entries(files, entities)
     picked = smi_class_pick(entries)
     marks = entries.select("file_id", "pos", "start").distinct()
@@ -172,7 +172,23 @@ def parse_smi_corpus(files: DataFrame, entities: str | None = "all") -> DataFram
     texts = marks.join(chosen.select("file_id", "pos", "text"), ["file_id", "pos"], "left").withColumn(
         "text", F.coalesce("text", F.lit(""))
     )
-    return _numbered(smi_end_times(texts, FILE).withColumnRenamed("pos", "_pos"))
+    return smi_end_times(texts, FILE), picked
+
+
+def parse_smi_corpus(files: DataFrame, entities: str | None = "all") -> DataFrame:
+    """SAMI files to cues of the chosen language class."""
+    return _numbered(_smi_ended(files, entities)[0].withColumnRenamed("pos", "_pos"))
+
+
+def smi_notes(files: DataFrame, entities: str | None = "all") -> DataFrame:
+    """What a reader of the cues should know (file_id, notes): that a file has several language classes and which one was
+    taken, and how many cues had no end of their own and were cut. Files without either have no row."""
+    ended, picked = _smi_ended(files, entities)
+    cut = ended.groupBy("file_id").agg(F.count_if("capped").alias("_cut"))
+    several = F.format_string("%d language classes, %s taken", "n_classes", F.coalesce("class", F.lit("that without a name")))
+    long = F.format_string("%d cues without an end of their own cut to %.0f s", "_cut", F.lit(P.SMI_MAX_CUE))
+    notes = F.array_compact(F.array(F.when(F.col("n_classes") > 1, several), F.when(F.col("_cut") > 0, long)))
+    return picked.join(cut, "file_id", "left").select("file_id", notes.alias("notes")).filter(F.size("notes") > 0)
 
 
 def cue_order(cues: DataFrame, keys: list[str] = FILE) -> DataFrame:

@@ -67,6 +67,11 @@ def parse_smi_corpus(c):
     return subtitles.parse_smi_corpus(_smi_files(c), "basic")
 
 
+def smi_notes(c):
+    notes = subtitles.smi_notes(_smi_files(c), "basic")
+    return notes.select("file_id", F.array_join("notes", "; ").alias("notes"))
+
+
 def smi_class_pick(c):
     return subtitles.smi_class_pick(subtitles.smi_entries(_smi_files(c), "basic"))
 
@@ -314,7 +319,7 @@ def origin_url(c):
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_text, voice_prefix, decode_subtitle_bytes, write_srt, parse_timed_blocks, parse_smi_corpus,
+        clean_text, voice_prefix, decode_subtitle_bytes, write_srt, parse_timed_blocks, parse_smi_corpus, smi_notes,
         smi_class_pick, smi_end_times, cue_order, close_open_cues, coverage_union, rollup_ratio,
         subtitle_quality, lang_matches, lang_normalize, language_mismatch, sidecar_match, language_tag,
         forced_name, embedded_track_filter, candidate_pools, rank_subtitles, choose_subtitle,
@@ -414,6 +419,12 @@ FROM flat WHERE text <> ''""",
 nx AS (SELECT *, lead(start) OVER (PARTITION BY file_id ORDER BY start) AS nxt FROM en),
 ou AS (SELECT n.file_id, n.start, least(coalesce(nxt, n.start + 7), n.start + 7) AS "end", n.text FROM nx n JOIN pk USING (file_id) WHERE n.class = pk.class AND n.text <> '')
 SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY start, "end") - 1 AS cue_no, start, "end", text FROM ou""",
+    "smi_notes": f"""WITH {SMI},
+nx AS (SELECT *, lead(start) OVER (PARTITION BY file_id ORDER BY start) AS nxt FROM en),
+ct AS (SELECT n.file_id, count(*) AS n FROM nx n JOIN pk USING (file_id) WHERE n.class = pk.class AND n.text <> '' AND nxt > n.start + 7 GROUP BY 1)
+SELECT file_id, concat_ws('; ', CASE WHEN n_classes > 1 THEN n_classes || ' language classes, ' || class || ' taken' END,
+                          CASE WHEN n > 0 THEN n || ' cues without an end of their own cut to 7 s' END) AS notes
+FROM pk LEFT JOIN ct USING (file_id) WHERE n_classes > 1 OR n > 0""",
     "smi_class_pick": f"WITH {SMI} SELECT * FROM pk",
     "smi_end_times": f"""WITH {SEGMENTS}, s AS (SELECT video_id, seg_no AS pos, seg_no * 4.5::DOUBLE AS start, seg_no % 3 = 2 AS blank FROM seg),
 n AS (SELECT *, lead(start) OVER (PARTITION BY video_id ORDER BY start) AS nxt FROM s)

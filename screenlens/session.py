@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,7 +31,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     app = spark.sparkContext.applicationId
-    return f"{scratch_root(spark)}/screenlens/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/screenlens/{app}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(app, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far. Call it when the results of a query are stored; DataFrames made
+    before cannot be read any more. What is left when the session ends goes then."""
+    context = spark.sparkContext
+    for path in _written.pop(context.applicationId, []):
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:

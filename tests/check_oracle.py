@@ -11,7 +11,7 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry
-from screenlens.session import local_session
+from screenlens.session import local_session, release
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -90,6 +90,7 @@ def main():
             status, rows, note = "ERROR", 0, f"{type(e).__name__}: {str(e)[:1500]}"
         if status not in ("ok", "rows-only"):
             bad += 1
+        release(spark)
         print(f"{status:9} {name:28} rows={rows:<7} {time.time() - t0:6.2f}s {note}", flush=True)
     print("problems:", bad)
 

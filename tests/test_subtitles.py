@@ -162,3 +162,12 @@ def test_origin_priority(spark):
     df = spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "i int, a string, b string, tags map<string,string>, url string, url_from string")
     for r in df.select("url", "url_from", urls.origin_url(F.col("a"), F.col("b"), F.col("tags")).alias("o")).collect():
         assert tuple(r.o) == (r.url, r.url_from)
+
+
+def test_notes_on_sami_files(spark):
+    head = "<SAMI><BODY>"
+    two = head + "<SYNC Start=1000><P Class=KRCC>a<P Class=ENCC>b<SYNC Start=30000><P Class=KRCC>c<SYNC Start=31000><P Class=KRCC>&nbsp;"
+    one = head + "<SYNC Start=1000><P Class=KRCC>a<SYNC Start=2000><P Class=KRCC>&nbsp;"
+    files = spark.createDataFrame([("two", two), ("one", one), ("none", "")], "file_id string, text string")
+    got = {r.file_id: list(r.notes) for r in subtitles.smi_notes(files).collect()}
+    assert got == {"two": ["2 language classes, KRCC taken", "1 cues without an end of their own cut to 7 s"]}
