@@ -99,7 +99,8 @@ class Corpus:
     def squeezed_events(self) -> DataFrame:
         """Every event as a moment of a conversation: users are dealt to conversations by their
         number, and their hours are squeezed into the duration."""
-        dealt = (F.col("video_id").cast("long") % F.lit(self.videos.count())).cast("string")
+        n_videos = self.videos.agg(F.count("*")).scalar()
+        dealt = (F.col("video_id").cast("long") % n_videos).cast("string")
         return (
             self.timed_events.withColumn("video_id", dealt)
             .join(self.videos.select("video_id", "duration"), "video_id")
@@ -110,7 +111,8 @@ class Corpus:
     @cached_property
     def changes(self) -> DataFrame:
         """Screen-change events of a conversation: all its events but clicks, which are points."""
-        timed = self.squeezed_events.filter("event_type <> 'click'").select(            "video_id",
+        timed = self.squeezed_events.filter("event_type <> 'click'").select(
+            "video_id",
             "event_id",
             "t",
             (F.col("t") - 0.2).alias("before_t"),
