@@ -140,14 +140,18 @@ def read_path(c):
     return c.candidates.select("video_id", "run", "seq", budget.read_path(F.col("image")).alias("read_path"))
 
 
-def frames_document(c):
-    """Documents of the frames' videos, the text of the conversations of the same numbers spoken over them."""
+def _analysed(c):
     frames = _frames(c)
     frames = pixels.frame_time(frames, _videos(frames))
     videos = _videos(frames).withColumn("title", F.concat(F.lit("frames "), "video_id"))
     runs = videos.select("video_id", "title", "duration", F.lit("full").alias("run"), F.lit(0.0).alias("lo"), F.col("duration").alias("hi"))
     bands = pixels.overlay_body_band(pixels.row_change_frequency(frames, ROW_DELTA))
-    found = analysis.analyse(frames, runs, videos, bands, ANCHOR, SETTLE / 8, CUT)
+    return frames, videos, runs, analysis.analyse(frames, runs, videos, bands, ANCHOR, SETTLE / 8, CUT)
+
+
+def frames_document(c):
+    """Documents of the frames' videos, the text of the conversations of the same numbers spoken over them."""
+    _, _, runs, found = _analysed(c)
     said = assign_segments(segments_in(c.segments, runs), found.screens)
     accepted = found.candidates.filter("status = 'accepted'")
     hosted = hosts(found.screens, said)
@@ -155,6 +159,17 @@ def frames_document(c):
     return documents.render_context(runs, found.screens, hosted, said, accepted, budget.read_budget(size))
 
 
+def answer_requests(c):
+    """A picture asked for at every fifth frame, some before the start; of every tenth frame the ledger has one already."""
+    frames, videos, runs, found = _analysed(c)
+    at = F.col("frame_no") / 15.0 - F.when(F.col("frame_no") % 25 == 0, 1.0).otherwise(0.0)
+    asked = frames.filter("frame_no % 5 = 0").select("video_id", F.lit("full").alias("run"), at.alias("at"), F.lit("look").alias("reason"))
+    ledger = frames.filter("frame_no % 10 = 0").select(
+        "video_id", F.lit("full").alias("run"), at.alias("at"), F.lit("look").alias("reason"), at.alias("time")
+    )
+    return analysis.answer_requests(asked, ledger, frames, videos, runs, found, c.segments)
+
+
 def read_frame_images(c):
     """The frames written as pictures and read back; values are whole numbers then."""
     path = scratch_path(c.spark, "pictures")
@@ -177,7 +192,7 @@ QUERIES = {
     for f in (
         frame_time, row_change_frequency, overlay_body_band, crop_rows, inst_diff, cut_area, anchor_diff,
         content_area, mean_luma, pair_changed, stable_capture_time, reduced_size, image_tokens, read_path,
-        read_frame_images, frames_document,
+        read_frame_images, frames_document, answer_requests,
     )
 }
 

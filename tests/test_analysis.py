@@ -52,6 +52,39 @@ def test_frames_become_a_document(spark):
     assert documents.NO_IMAGE + "\nnothing to see" in text and text.count("![](read/scene_") == 4
 
 
+def test_pictures_asked_for_by_hand(spark):
+    frames = spark.createDataFrame(clip(), FRAMES)
+    videos = spark.createDataFrame([("v", 16.0, 10.0)], "video_id string, duration double, fps double")
+    runs = spark.createDataFrame([("v", "full", 0.0, 16.0), ("v", "part", 4.0, 8.0)], "video_id string, run string, lo double, hi double")
+    bands = spark.createDataFrame([("v", 0.0, 1.0)], "video_id string, lo double, hi double")
+    found = analysis.analyse(frames, runs, videos, bands, cut_area_threshold=0.01)
+    said = spark.createDataFrame([("v", 0, 1.0, 2.0, "first"), ("v", 1, 9.0, 10.0, " later ")], "video_id string, seg_no bigint, start double, end double, text string")
+    key = "video_id string, run string, at double, reason string"
+    asked = [("v", "full", 1.5, "a"), ("v", "full", 1.5, "a"), ("v", "full", 1.5, "b"), ("v", "full", 9.5, "a"), ("v", "full", 3.9, "a"),
+             ("v", "full", 17.0, "a"), ("v", "part", 9.0, "a"), ("v", "part", 5.0, "a"), ("w", "full", 1.0, "a"), ("v", "full", 2.0, "old")]
+    ledger = spark.createDataFrame([("v", "full", 2.0, "old", 2.3)], key + ", time double")
+    batch = spark.createDataFrame(asked, key)
+    rows = analysis.answer_requests(batch, ledger, frames, videos, runs, found, said).collect()
+    by_key = {(r.video_id, r.run, r.at, r.reason): r for r in rows}
+    assert len(by_key) == len(rows) == 9
+    errors = {k: r.error for k, r in by_key.items() if r.status == "refused"}
+    assert errors == {("v", "full", 17.0, "a"): "out-of-range", ("v", "part", 9.0, "a"): "out-of-window", ("w", "full", 1.0, "a"): "unknown-run"}
+    assert (by_key["v", "full", 2.0, "old"].status, by_key["v", "full", 2.0, "old"].time) == ("known", 2.3)
+    one = by_key["v", "full", 1.5, "a"]
+    assert (one.status, one.time, one.image, one.image_tokens, one.said_at) == ("new", 1.8, "requested/req_0001.80.jpg", 3, "first")
+    assert one.interval_start == 0.0 and one.warning is None
+    # Just before the cut the picture is not yet still, so it is taken a second later.
+    assert by_key["v", "full", 3.9, "a"].time in (4.2, 5.2)
+    assert by_key["v", "full", 9.5, "a"].said_at == "later"
+    after = analysis.answer_requests(batch, spark.createDataFrame([r for r in rows if r.status != "refused"], _schema(rows)).drop("status"), frames, videos, runs, found, said)
+    assert {r.status for r in after.collect()} == {"known", "refused"}
+
+
+def _schema(rows):
+    types = {"time": "double", "yavg": "double", "at": "double", "interval_start": "double", "interval_end": "double", "image_tokens": "long"}
+    return ", ".join(f"{c} {types.get(c, 'string')}" for c in rows[0].__fields__)
+
+
 def test_images_round_trip(spark, tmp_path):
     rng = np.random.default_rng(1)
     rows = [("my talk+1", "0004_0-0008_0", f"frames/scene_{n:03d}_t{n / 4:07.2f}.jpg", 5, 7, rng.uniform(-9, 270, 35).astype(np.float32).tolist()) for n in range(6)]
