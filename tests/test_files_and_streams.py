@@ -126,6 +126,28 @@ def test_streamed_events_equal_batch_events(spark, tmp_path, cuts, shift):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*got.columns).collect()))
 
 
+@pytest.mark.parametrize("hit", [False, True])
+def test_a_sample_waits_for_a_late_neighbour(spark, tmp_path, hit):
+    """Sample 1 lies before all that may still come, but what follows it is late: a higher sample, so it is no peak."""
+    times, areas = [0.0, 1.0, 10.0, 11.0, 30.0, 31.0], [0.0, 0.5, 0.9, 0.0, 0.0, 0.0]
+    data = [("v", i, t, 0.0, 0.001, area, False) for i, (t, area) in enumerate(zip(times, areas, strict=True))]
+    df = spark.createDataFrame(data, streams.SIGNAL_ROW)
+    fed = df.unionByName(spark.createDataFrame([("v", None)], "video_id string, idx bigint"), allowMissingColumns=True)
+    hits = spark.createDataFrame([("v", 0.5)], "video_id string, t double") if hit else None
+    path = str(tmp_path / "hits")
+    if hit:
+        hits.write.parquet(path)
+
+    def detected(stream):
+        extra = spark.readStream.schema(hits.schema).parquet(path) if hit else None
+        return streams.stream_events(stream, merge_window=1.0, settle_limit=2.0, lateness=4.0, extra_hits=extra)
+
+    slices = [F.col("idx").isin(0, 1, 3), F.col("idx").isNull() | F.col("idx").isin(2, 4, 5)]
+    got = feed(spark, tmp_path, fed, slices, detected, "gap")
+    batch = detect.detect_events(df, hits, merge_window=1.0, settle_limit=2.0).withColumn("signals", F.array_join("signals", "+"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*got.columns).collect()))
+
+
 def test_streamed_signals_equal_batch_signals(spark, tmp_path):
     rng = np.random.default_rng(9)
     picture, data = rng.uniform(0, 255, 64), []
