@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from screenlens.functions.rounding import exact_round
 from screenlens.operators import ordered as O
 from screenlens.operators.clusters import with_leaders
-from screenlens.operators.intervals import overlap_pairs
+from screenlens.operators.intervals import overlap_pairs, stretches
 
 
 def test_scans_cross_chunks_of_one_huge_key(spark, both_ways):
@@ -150,3 +150,35 @@ def test_an_endless_train_is_spread_over_all_tasks(spark, monkeypatch):
     table, is_cut = O.cut(train, ["k"], ["idx"])
     sizes = [r["count"] for r in table.groupBy(O.CHUNK).count().collect()]
     assert is_cut and len(sizes) == 4 and max(sizes) < n / 2
+
+
+def test_chunks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """However many rows a partition or a key has, a task works through chunks of the stated size; results stay the same."""
+    monkeypatch.setattr("screenlens.operators.ordered.CHUNK_BYTES", 1)
+    monkeypatch.setattr("screenlens.operators.ordered.CHUNK_BITS", 4)
+    df = spark.range(1000).select(F.when(F.col("id") < 900, "a").otherwise("b").alias("k"), F.col("id").alias("n"))
+    staged, is_cut = O.cut(df, ["k"], ["n"])
+    assert is_cut
+    sizes = staged.groupBy(O.CHUNK).agg(F.count("*").alias("c"), F.count_if(O.FIRST).alias("f")).collect()
+    assert max(r.c for r in sizes) <= 16 and {r.f for r in sizes} == {1}
+    scans = {"total": O.running_sum(F.col("n")), "ahead": O.upcoming(F.when(F.col("n") % 300 == 7, F.col("n")))}
+    got = O.Ordered.of(df, ["k"], ["n"]).scan(**scans).rows().collect()
+    for r in got:
+        begin, end = (0, 900) if r.k == "a" else (900, 1000)
+        assert r.total == sum(range(begin, r.n + 1))
+        assert r.ahead == next((m for m in range(r.n, end) if m % 300 == 7), None)
+    assert len(got) == 1000
+
+
+def test_stretches_of_an_interval_join_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr("screenlens.operators.ordered.CHUNK_BYTES", 1)
+    monkeypatch.setattr("screenlens.operators.ordered.CHUNK_BITS", 4)
+    spans = spark.range(1000).select(F.lit("v").alias("k"), F.col("id").cast("double").alias("_s"))
+    (row,) = stretches(spans, ["k"], 4).collect()
+    edges = [*row["_cuts"], 1000.0]
+    assert max(b - a for a, b in zip(edges, edges[1:])) <= 16
+    left = spans.select("k", F.col("_s").alias("a"), (F.col("_s") + F.when(F.col("_s") % 100 == 5, 300).otherwise(2)).alias("b"))
+    right = spans.where("_s % 7 = 0").select("k", F.col("_s").alias("p"), (F.col("_s") + 3).alias("q"))
+    got = overlap_pairs(left, right, ["k"], ("a", "b"), ("p", "q"), F.lit(True)).select("a", "p").collect()
+    want = [(float(i), float(p)) for i in range(1000) for p in range(0, 1000, 7) if i <= p + 3 and p <= i + (300 if i % 100 == 5 else 2)]
+    assert sorted(map(tuple, got)) == want
