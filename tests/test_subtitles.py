@@ -70,6 +70,16 @@ def verdict(spark, spans, duration, texts=None):
     return subtitles.subtitle_quality(df, given).first()
 
 
+def test_a_file_covered_to_exactly_the_required_share_is_not_partial(spark, both_ways):
+    """Lengths whose sum in doubles is a little below 8.4 of 28 seconds in some order of the rows."""
+    tenths = {"a": [0, 0, 0, 0, 34], "b": [0, 0, 0, 2, 32], "c": [34, 0, 0, 0, 0], "d": [7, 7, 7, 7, 6], "e": [0, 4, 0, 30, 0], "f": [0, 0, 0, 0, 33]}
+    rows = [(f, n, n * 5.0, n * 5.0 + 1 + x / 10.0, f"text {n}") for f, xs in tenths.items() for n, x in enumerate(xs)]
+    said = spark.createDataFrame(rows, "file_id string, cue_no long, start double, end double, text string")
+    files_ = spark.createDataFrame([(f, 28.0) for f in tenths], "file_id string, duration double")
+    got = {r.file_id: (r.coverage, r.reason) for r in subtitles.subtitle_quality(said, files_).collect()}
+    assert got == {**dict.fromkeys("abcde", (0.3, None)), "f": (8.3 / 28, "partial")}
+
+
 def test_coverage_is_a_union(spark, both_ways):
     got = verdict(spark, [(0, 10), (1, 9), (5, 12), (50, 55), (56, 58)], 100)
     assert abs(got.coverage - 0.19) < 1e-12 and (got.span_start, got.span_end) == (0.0, 58.0)
