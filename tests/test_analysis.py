@@ -105,3 +105,15 @@ def test_a_video_without_frames(spark):
     found = analysis.analyse(none, runs, videos)
     assert [(r.screen, r.start, r.end) for r in found.screens.collect()] == [(0, 0.0, 16.0)]
     assert [(r.status, r.reject_reason) for r in found.candidates.collect()] == [("rejected", "extract-failed")]
+
+
+def test_pictures_of_a_run_lie_in_one_folder(spark, tmp_path):
+    """A folder a picture made a task of every folder when the pictures were listed, and three for every write."""
+    frames = spark.range(40).selectExpr("'v/1' AS video_id", "'full' AS run", "format_string('scene_%03d_t%07.2f.bmp', id, id / 4) AS image", "2 AS h", "3 AS w", "array_repeat(cast(id AS float), 6) AS gray")
+    path = tmp_path / "pictures"
+    for _ in range(2):  # the second time replaces what the first one wrote
+        writers.write_frame_images(frames, str(path))
+    (folder,) = {p.parent for p in path.rglob("*.bmp") if p.is_file()}
+    assert sorted(p.name for p in folder.iterdir()) == [f"scene_{n:03d}_t{n / 4:07.2f}.bmp" for n in range(40)]
+    got = readers.read_frame_images(spark, str(path), 3, 2).orderBy("frame_no").collect()
+    assert [(r.video_id, r.run, r.frame_no, r.t, r.gray) for r in got] == [("v/1", "full", n, n / 4, [float(n)] * 6) for n in range(40)]
