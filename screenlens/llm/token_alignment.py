@@ -2,7 +2,7 @@
 
 Both tokenizers cover the same bytes, so a document is two increasing arrays of token ends. While the tokens are one to
 one, the ends agree at a constant shift of the index: slices of doubling width are compared at that shift, and the
-first failing slice is halved until the run's end is found. What follows is an irregular group, resolved by two
+lowest bit that differs in the first failing slice is the run's end. What follows is an irregular group, resolved by two
 pointers up to the next end that both share; its sizes give the new shift.
 
 Only ids and counts leave a task. Documents are gathered into shards of about SHARD tokens, a shard being one row: what
@@ -32,6 +32,9 @@ from screenlens.session import materialize
 SHARD = 1_000_000
 #: Shards of one task are numbered from its number times this.
 SHARDS_OF_TASK = 1 << 24
+#: A Python worker keeps the ids of at most so many different words, none longer than WORD_LENGTH signs.
+WORDS_KEPT = 200_000
+WORD_LENGTH = 32
 
 _SHARD_SCHEMA = (
     "shard long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
@@ -71,6 +74,56 @@ def pieces_of(path: str):
     return model, [read(model.id_to_piece(i)) for i in range(model.get_piece_size())]
 
 
+class Words(dict):
+    """Ids of single words by a SentencePiece model, as bytes of int32, and of texts by their words.
+
+    No piece holds a space mark after another sign, so nothing merges across a single space: the ids of a text are those
+    of its words, and the words of a text that are new are encoded together. Frequent words come early and are kept.
+    """
+
+    def __init__(self, model, tokens: list[bytes]):
+        self.model, self.tokens = model, tokens
+        self.opens = np.array([t.startswith(b" ") for t in tokens])
+        # A model that joins words, drops or adds spaces, or has no bytes for a rare sign is asked for whole texts.
+        self.apart = (
+            not any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(len(tokens)))
+            and any(model.is_byte(i) for i in range(len(tokens)))
+            and b"".join(map(tokens.__getitem__, model.encode(" a  b "))) == b"  a  b "
+        )
+
+    def whole(self, text: str) -> list[int] | None:
+        """The model's ids of ``text``, None if they do not give it back."""
+        ids = self.model.encode(text)
+        return ids if b"".join(map(self.tokens.__getitem__, ids)) == (" " + text).encode() else None
+
+    def ids(self, text: str) -> np.ndarray | None:
+        """The ids of a text that is not empty, None if they do not give it back."""
+        words = text.split(" ")
+        if not self.apart or "" in words or "▁" in text:
+            ids = self.whole(text)
+            return None if ids is None else np.array(ids, np.int64)
+        new = [word for word in dict.fromkeys(words) if word not in self]
+        if new:
+            ids = self.whole(" ".join(new))
+            if ids is None:
+                return None
+            line = np.array(ids, "<i4")
+            cuts = [*(4 * np.flatnonzero(self.opens[line])).tolist(), 4 * len(line)]
+            data = line.tobytes()
+            self.update(zip(new, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        found = np.frombuffer(b"".join(map(self.__getitem__, words)), "<i4").astype(np.int64)
+        full = len(self) > WORDS_KEPT
+        for word in new:
+            if full or len(word) > WORD_LENGTH:
+                del self[word]
+        return found
+
+
+@lru_cache(maxsize=2)
+def words_of(path: str) -> Words:
+    return Words(*pieces_of(path))
+
+
 def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Groups and links of two arrays of token ends that rise strictly to the same last end.
 
@@ -85,20 +138,16 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     size_a, size_b = [], []
     left, right = [], []
     while i < n:
-        from_i, from_j, width = i, j, 4
-        while a[8 * i : 8 * (i + width)] == b[8 * j : 8 * (j + width)] and i + width <= n and j + width <= m:
-            i, j, width = i + width, j + width, 2 * width
-        width = min(width, n - i, m - j)
-        if width and a[8 * i : 8 * (i + width)] != b[8 * j : 8 * (j + width)]:
-            low, high = 0, width  # the first ``low`` ends agree, the first ``high`` do not
-            while high - low > 1:
-                middle = (low + high) // 2
-                if a[8 * (i + low) : 8 * (i + middle)] == b[8 * (j + low) : 8 * (j + middle)]:
-                    low = middle
-                else:
-                    high = middle
-            width = low
-        i, j = i + width, j + width
+        from_i, from_j, width = i, j, 16
+        while i < n:
+            x, y = a[8 * i : 8 * (i + width)], b[8 * j : 8 * (j + width)]
+            if x != y:  # the lowest bit that differs is in the first end that does
+                differ = int.from_bytes(x, "little") ^ int.from_bytes(y, "little")
+                same = (differ & -differ).bit_length() - 1 >> 6
+                i, j = i + same, j + same
+                break
+            same = len(x) >> 3
+            i, j, width = i + same, j + same, 2 * width
         starts_i.append(from_i)
         starts_j.append(from_j)
         runs.append(i - from_i)
@@ -139,24 +188,26 @@ class Aligner:
     def __init__(self, byte_level: str, pieces: str):
         self.encode = encoder(byte_level)
         self.tokens_a = byte_level_tokens(byte_level)
-        self.model, self.tokens_b = pieces_of(pieces)
+        self.tokens_b = pieces_of(pieces)[1]
+        self.words = words_of(pieces)
         self.length_a = np.array([len(t) for t in self.tokens_a], np.int64)
         self.length_b = np.array([len(t) for t in self.tokens_b], np.int64)
         va, vb = len(self.tokens_a), len(self.tokens_b)
-        self.written = [
-            f"{i}{mark}" for count, marks in ((va, ",|"), (vb, ",;")) for mark in marks for i in range(count)
-        ]
+        self.written = np.array(
+            [f"{i}{mark}" for count, marks in ((va, ",|"), (vb, ",;")) for mark in marks for i in range(count)], "S"
+        )
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both sides, None for a text without tokens."""
         if not text:
             return None
-        whole = (" " + text).encode()
-        a, b = self.encode(" " + text), self.model.encode(text)
-        for ids, tokens in ((a, self.tokens_a), (b, self.tokens_b)):
-            if b"".join(map(tokens.__getitem__, ids)) != whole:
-                return None
-        return np.array(a, np.int64), np.array(b, np.int64)
+        b = self.words.ids(text)
+        if b is None:
+            return None
+        a = self.encode(" " + text)
+        if b"".join(map(self.tokens_a.__getitem__, a)) != (" " + text).encode():
+            return None
+        return np.array(a, np.int64), b
 
     def groups(self, text: str | None):
         """n_a, n_b, n_groups, n_links, groups as text, codes of linked id pairs and how often each is linked."""
@@ -178,7 +229,7 @@ class Aligner:
         line = np.empty(len(a) + len(b), np.int64)
         line[np.arange(len(a)) + np.repeat(ends_b - groups_b, groups_a)] = a
         line[np.arange(len(b)) + np.repeat(ends_a, groups_b)] = b
-        return "".join(map(self.written.__getitem__, line.tolist()))[:-1]
+        return self.written[line].tobytes().translate(None, b"\0")[:-1].decode()  # short ones are filled up with zeros
 
 
 def shards(docs: DataFrame, byte_level: str, pieces: str, size: int = SHARD) -> DataFrame:

@@ -114,3 +114,26 @@ def test_sample_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     done, _ = token_alignment.token_alignment(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     assert sorted(map(tuple, done.collect())) == sorted(brute(rows)[0])
+
+
+def test_new_words_are_encoded_together_and_kept(monkeypatch):
+    """Ids of a text are put together from those of its words, however many are kept."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    model, tokens = token_alignment.pieces_of(path)
+    rng = random.Random(7)
+    words = ["the", "a\nb", "\t", "Étion", "ﬁ", "\x00", "x" * 50, "日本", "\U0001f600é", "<s>", "zzyx", "12,5", "　", "é"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ".", "s"]) for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    for kept in (0, 5, token_alignment.WORDS_KEPT):
+        monkeypatch.setattr(token_alignment, "WORDS_KEPT", kept)
+        held = token_alignment.Words(model, tokens)
+        assert held.apart
+        for text in [*texts, *[t for t in ODD if t], "a  b", " a", "a ", "  ", "a▁b c"]:
+            ids = model.encode(text)
+            same = b"".join(tokens[i] for i in ids) == (" " + text).encode()
+            found = held.ids(text)
+            assert (found.tolist() if found is not None else None) == (ids if same else None), text
+        assert len(held) <= kept and max(map(len, held), default=0) <= token_alignment.WORD_LENGTH
+    calls = []
+    held.model = type("Counted", (), {"encode": lambda _, text: calls.append(text) or model.encode(text)})()
+    held.ids("the brandnew the zzyx brandnew")
+    assert calls == ["brandnew"]
