@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +13,14 @@ from pyspark.sql import types as T
 
 from screenlens.functions.documents import json_object
 from screenlens.operators.ranking import subtitle_format
+from screenlens.sources import small
 
 SUBTITLE_GLOB = "*.{[sS][rR][tT],[vV][tT][tT],[wW][eE][bB][vV][tT][tT],[sS][mM][iI],[sS][aA][mM][iI]}"
 #: A frame's file, or the folder that a writer gave it.
 FRAME_NAME = r"scene_(\d+)_t([\d.]+)\.[A-Za-z]+(?:/part-[^/]+)?$"
 SEGMENT = "array<struct<start: double, end: double, text: string>>"
+PLAIN_ENDING = re.compile(r"\*([\w.]*\.(?:json|txt))")
+GLOB = re.compile(r"[*?{}\[\]\\]")
 WORD = "array<struct<word: string, start: double, end: double>>"
 TRANSCRIPT = f"text string, segments {SEGMENT}, words {WORD}, backend string, device string, model string"
 
@@ -38,7 +44,12 @@ def _folder(path: Column) -> Column:
 
 
 def _documents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Whole small files (origin, value)."""
+    """Whole small files (origin, value). Tasks list and read them where the file system is mounted and ``pattern`` is a plain
+    ending of files that are not compressed."""
+    ending = PLAIN_ENDING.fullmatch(pattern)
+    root = small.mounted(spark, path) if ending and not GLOB.search(path) else None
+    if root is not None and os.path.isdir(root):
+        return small.read_whole(spark, root.rstrip("/"), ending[1])
     raw = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from screenlens.operators import detect, documents, lineage, pixels
+from screenlens.plans import registry
 from screenlens.sources import readers, writers
 from screenlens.streaming import streams
 
@@ -294,3 +295,41 @@ def test_a_refresh_that_failed_is_made_up_for(spark, tmp_path):
     run(render)
     assert made == [["a", "b", "c"], ["b"]]
     assert {r.video_id: r.text for r in writers.read_table(spark, out).collect()} == {"a": "1", "b": "3", "c": None}
+
+
+def sidecar_files(root):
+    """Files in folders that readers look into, files and folders that they leave out, and names with odd characters."""
+    files = {
+        "a.info.json": b'{"n": 1}', "deep/er/b.info.json": b'{"n": 2}\n', "my talk+50%41 \xc3\xa9/c#1.info.json".encode("latin-1").decode(): b'{"n": 3}',
+        "video_id=x%2Fy/d.info.json": b"\xff\xfe", "e.json": b'{"n": 5}', ".f.info.json": b"{}", "_g/h.info.json": b"{}", "i.info.json": b"",
+        "_k=1/l.info.json": b'{"n": 6}',
+    }
+    for name, content in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+
+
+def test_tasks_find_the_files_that_spark_finds(spark, tmp_path):
+    sidecar_files(tmp_path)
+    got = readers._documents(spark, str(tmp_path), "*.info.json")
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.info.json").text(str(tmp_path), wholetext=True)
+    want = raw.select(readers._unescaped(F.col("_metadata.file_path")).alias("origin"), "value")
+    both = [sorted(df.select("origin", F.col("value").cast("binary")).collect()) for df in (got, want)]
+    assert both[0] == both[1] and len(both[0]) == 5
+    assert not any("FileScan" in line for line in got._jdf.queryExecution().toString().splitlines())
+
+
+def test_documents_are_written_as_the_text_sink_does(spark, tmp_path):
+    rows = [("a:b/é[1]", "full", "x\ny"), ("", None, "index"), ("k", "r", None), ("k", "r", "two"), ("k", "s", "")]
+    docs = spark.createDataFrame(rows, "video_id string, run string, text string").coalesce(1)
+    ours, sink = tmp_path / "ours", tmp_path / "sink"
+    for _ in range(2):
+        writers.write_documents(docs, str(ours), ["video_id", "run"])
+    docs.write.partitionBy("video_id", "run").text(str(sink))
+
+    def files(root):
+        return sorted((str(f.parent.relative_to(root)), f.read_bytes()) for f in root.rglob("part-*"))
+
+    assert files(ours) == files(sink) and len(files(ours)) == 4
+    back = {(r.video_id, r.run): r.text for r in writers.read_documents(spark, str(ours), ["video_id", "run"]).collect()}
+    assert back == {("a:b/é[1]", "full"): "x\ny", (None, None): "index", ("k", "r"): "\ntwo", ("k", "s"): ""}
