@@ -333,3 +333,16 @@ def test_documents_are_written_as_the_text_sink_does(spark, tmp_path):
     assert files(ours) == files(sink) and len(files(ours)) == 4
     back = {(r.video_id, r.run): r.text for r in writers.read_documents(spark, str(ours), ["video_id", "run"]).collect()}
     assert back == {("a:b/é[1]", "full"): "x\ny", (None, None): "index", ("k", "r"): "\ntwo", ("k", "s"): ""}
+
+
+def test_a_document_of_every_run_and_an_index_of_every_video(spark, tmp_path):
+    said = [(0, 0, "user", "hello there"), (0, 1, "assistant", "good day"), (7, 0, "user", "one more")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    seen = [(i, "2024-01-03 04:05:06", i % 3, kind, 7.5) for i, kind in enumerate(["view", "click", "signup", "error"])]
+    events = spark.createDataFrame(seen, "event_id long, ts string, user_id long, event_type string, value double")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    found = registry.queries()["write_context_markdown"](spark, str(tmp_path)).collect()
+    want = {(v, run) for v in "07" for run in ("full", "0005_0-0020_0", None)}
+    assert {(r.video_id, r.run) for r in found} == want and len(found) == 6
+    (index,) = [r.text for r in found if (r.video_id, r.run) == ("7", None)]
+    assert index.startswith("# conversation 7\n") and "`runs/full/context.md`" in index and "`runs/0005_0-0020_0/context.md`" in index
