@@ -346,3 +346,35 @@ def test_a_document_of_every_run_and_an_index_of_every_video(spark, tmp_path):
     assert {(r.video_id, r.run) for r in found} == want and len(found) == 6
     (index,) = [r.text for r in found if (r.video_id, r.run) == ("7", None)]
     assert index.startswith("# conversation 7\n") and "`runs/full/context.md`" in index and "`runs/0005_0-0020_0/context.md`" in index
+
+
+def test_intake_ranks_the_touched_videos_again(spark, tmp_path):
+    """A verdict of b comes again and another way; a's choice stays as it was made."""
+    schema, touched = "video_id string, path string, ok boolean", []
+    source, out, state, chosen = (str(tmp_path / x) for x in ("in", "out", "state", "chosen"))
+    pool = [(v, p, r) for v in "abc" for r, p in ((1, "x"), (2, "y"))]
+    candidates = spark.createDataFrame(pool, "video_id string, path string, rank int")
+
+    def choose(again, verdicts):
+        touched.append(sorted({r.video_id for r in again.collect()}))
+        good = again.join(verdicts, ["video_id", "path"], "left").groupBy("video_id")
+        return good.agg(F.min(F.when(F.col("ok"), F.col("rank"))).alias("rank"), F.lit(len(touched)).alias("made"))
+
+    for rows in ([("a", "x", False), ("a", "y", True), ("b", "x", True)], [("b", "x", False)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(schema).parquet(source)
+        streams.subtitle_intake(arriving, out, state, lambda batch: batch, candidates, choose, chosen).awaitTermination()
+    assert touched == [["a", "b"], ["b"]]
+    assert {(r.video_id, r.rank, r.made) for r in writers.read_table(spark, chosen).collect()} == {("a", 2, 1), ("b", None, 2)}
+
+
+def test_subtitle_intake_tells_what_each_video_takes(spark, tmp_path):
+    said = [(v, turn, "user", f"sentence {turn} of some length that is said here") for v in (0, 1, 2) for turn in range(6 if v < 2 else 2)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = registry.queries()["stream_subtitle_intake"](spark, str(tmp_path)).collect()
+    got = {r.video_id: (r.path, r.reason, r.kind, r.n_candidates, r.n_rejected) for r in found}
+    assert got == {
+        "0": ("subs/track0.srt", None, "sidecar", 3, 0),
+        "1": ("subs/track1.srt", None, "sidecar", 3, 1),
+        "2": ("subs/track2.srt", "too-few-cues", "whisper", 3, 3),
+    }
