@@ -3,6 +3,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from screenlens.operators import detect, documents, lineage, pixels
@@ -378,3 +379,43 @@ def test_subtitle_intake_tells_what_each_video_takes(spark, tmp_path):
         "1": ("subs/track1.srt", None, "sidecar", 3, 1),
         "2": ("subs/track2.srt", "too-few-cues", "whisper", 3, 3),
     }
+
+
+def test_a_video_costs_one_read_and_one_write_a_batch(monkeypatch):
+    """However many rows come at a time. Nulls, repeated samples and hits are taken as the batch form takes them."""
+    calls, value = [], {}
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return value.get("v")
+
+        def update(self, new):
+            calls.append("update")
+            value["v"] = new
+
+        def clear(self):
+            value.clear()
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return State()
+
+    one = Row("video_id", "idx", "t", "anchor", "rate", "area", "hit")
+    rng = np.random.default_rng(4)
+    rows = [one("v", i, float(i), None if i % 9 == 4 else 0.0, float(rng.choice([0.001, 0.02])), float(rng.choice([0.0, 0.01])), False) for i in range(60)]
+    late = [one("v", -5, 20.5, None, None, None, True), one("v", 30, 99.0, 1.0, 1.0, 1.0, False)]
+    heights = {"cut": ("area", 0.002), "anchor": ("anchor", 0.02), "rate": ("rate", 0.012)}
+    found = []
+    for size in (10_000, 7):
+        monkeypatch.setattr(streams, "BATCH", size)
+        video = streams._Events(0.0, False, heights, 0.0015, 1.5, 2.0)
+        video.init(Handle())
+        got = [*video.handleInputRows(("v",), iter(rows[:40]), None), *video.handleInputRows(("v",), iter(late + rows[40:]), None)]
+        assert calls == ["get", "update"] * 2
+        got += [*video.handleInputRows(("v",), iter([one("v", None, None, None, None, None, False)]), None)]
+        assert calls == ["get", "update"] * 2 + ["get"] and not value
+        found.append(got)
+        calls.clear()
+    assert found[0] == found[1] and len(found[0]) > 5
+    assert all(type(x) in (str, int, float) for event in found[0] for x in event)
